@@ -67,16 +67,30 @@ def overlap_seconds(stamp: Column, on: Column, off: Column, step: timedelta) ->
 
 
 def parse_time(text: Column) -> Column:
-    """Text with or without fractional seconds; anything else gives NULL."""
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")).cast("timestamp_ntz")
+    """Text with or without fractional seconds; anything else gives NULL.
+
+    Parsed without a time zone, so local times in a clock change stay as written.
+    """
+    shape = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
+    return F.when(text.rlike(shape), text.try_cast("timestamp_ntz"))
+
+
+def parse_whole_seconds(text: Column) -> Column:
+    """As :func:`parse_time`, but fractional seconds also give NULL."""
+    return F.when(F.length(text) == 19, parse_time(text))
 
 
 def iso(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    text = ts.cast("string")
+    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8))
 
 
 def period_of(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    return F.substring(ts.cast("string"), 1, 7)
+
+
+def midnight(ts: Column) -> Column:
+    return ts.cast("date").cast("timestamp_ntz")
 
 
 def period_start(period: Column) -> Column:
@@ -103,14 +117,13 @@ def scan_range(period: Column, now, first_day=None, last_day=None) -> tuple[Colu
     if first_day is not None:
         start = F.greatest(start, as_ntz(first_day))
     if last_day is not None:
-        day = F.date_trunc("day", as_ntz(last_day)).cast("timestamp_ntz")
-        end = F.least(end, plus(day, timedelta(days=1, seconds=-1)))
+        end = F.least(end, plus(midnight(as_ntz(last_day)), timedelta(days=1, seconds=-1)))
     return start, end
 
 
 def week_window(target: Column) -> tuple[Column, Column]:
     """Seven days ending on the target day: first midnight and last 10-minute stamp."""
-    day = F.date_trunc("day", target).cast("timestamp_ntz")
+    day = midnight(target)
     return plus(day, timedelta(days=-6)), plus(day, timedelta(hours=23, minutes=50))
 
 
@@ -122,4 +135,4 @@ def days_in_range(start: Column, end: Column) -> Column:
 def periods_between(start: Column, end: Column) -> Column:
     """Array of the ``YYYY-MM`` months from the month of ``start`` to that of ``end``."""
     months = F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("INTERVAL 1 MONTH"))
-    return F.transform(months, lambda d: F.date_format(d, "yyyy-MM"))
+    return F.transform(months, lambda d: F.substring(d.cast("string"), 1, 7))

@@ -28,7 +28,7 @@ def when_parsed(column: str) -> Column:
 
 
 def strict_time(column: str) -> Column:
-    return F.try_to_timestamp(F.col(column), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    return tg.parse_whole_seconds(F.col(column))
 
 
 # ----------------------------------------------------------------- overlay
