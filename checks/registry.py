@@ -28,7 +28,7 @@ def with_views(body: str, names) -> str:
 
     for name in names:
         visit(name)
-    clauses = ",\n".join(f"{n} AS ({VIEWS[n][0]})" for n in ordered)
+    clauses = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][0]})" for n in ordered)
     return f"WITH {clauses}\n{body}" if ordered else body
 
 

@@ -10,8 +10,9 @@ from gustledger.sources.readers import read_results
 
 
 def weekly(
-    spark: SparkSession, path: str, periods: list[str], start, end, turbines: int = S.TURBINES, masts=S.MASTS
+    spark: SparkSession, path: str, periods: list[str], start, end, turbines: int = S.TURBINES, masts=S.MASTS,
+    first_station: int = S.FIRST_STATION,
 ) -> tuple[DataFrame, DataFrame]:
     """Weekly indicators and the turbines that lost most, from the months the week touches."""
     results = read_results(spark, path, periods)
-    return K.weekly_report(K.weekly_kpi(results, start, end, turbines, masts)), K.top_loss(results, start, end)
+    return K.weekly_report(K.weekly_kpi(results, start, end, turbines, masts)), K.top_loss(results, start, end, first_station=first_station)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gustledger.functions import timegrid as tg
 from gustledger.functions.nulls import nan_to_null
@@ -22,15 +23,17 @@ def month_files(root: str, kind: str, periods: list[str] | None) -> list[str]:
 
 def read_signal(spark: SparkSession, root: str, kind: str, periods: list[str] | None = None) -> DataFrame:
     """Raw monthly files of one kind; a month that is asked for and absent is an error."""
-    schema = S.ALARM_SCHEMA if kind == "sum" else S.signal_schema(kind)
-    # Month files carry the columns of their export in any order, so match them by name.
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .csv(month_files(root, kind, periods))
-    )
-    return raw.select("*", F.substring("_metadata.file_name", 1, 7).alias("period"))
+    wanted = S.ALARM_SCHEMA if kind == "sum" else S.signal_schema(kind)
+    paths = month_files(root, kind, periods)
+    text = spark.read.option("header", True).option("escape", '"')
+    # Columns may stand in any order: their names come from the header of the first file, and a
+    # file whose header differs is refused instead of being read by position.
+    types = {f.name: f.dataType for f in wanted}
+    header = text.csv(paths).columns
+    layout = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in header])
+    raw = text.schema(layout).option("enforceSchema", False).csv(paths)
+    month = F.regexp_extract("_metadata.file_path", rf"(\d{{4}}-\d{{2}})-{kind}\.csv", 1)
+    return raw.select(*[n for n in wanted.names if n in header], month.alias("period"))
 
 
 def load_signal(raw: DataFrame, kind: str) -> DataFrame:
@@ -110,9 +113,12 @@ def read_alarm_codes(spark: SparkSession, path: str, stopping_only: bool = False
     return alarm_code_dim(raw, stopping_only)
 
 
-def read_adjustments(spark: SparkSession, path: str) -> DataFrame:
-    """Correction list, one row per entry with its place in the list (``pos``)."""
-    document = spark.read.schema(S.ADJUSTMENT_DOCUMENT).option("multiLine", True).json(path)
+def read_adjustments(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """Correction list, one row per entry with its place in the list (``pos``).
+
+    A file holds one document, or with ``one_document=False`` one document per line.
+    """
+    document = spark.read.schema(S.ADJUSTMENT_DOCUMENT).option("multiLine", one_document).json(path)
     return document.select(F.posexplode("adjustments").alias("pos", "entry")).select(
         F.col("pos").cast("long").alias("pos"), "entry.*"
     )
