@@ -12,6 +12,7 @@ from gustledger.functions import timegrid as tg
 from gustledger.operators import alarms as A
 from gustledger.operators import energy as E
 from gustledger.operators import grid as G
+from gustledger.plans.monthly import alarm_segments
 from gustledger.sources import extracts
 
 STEP = tg.TEN_MINUTES
@@ -271,7 +272,8 @@ view("v_segments", CASCADE.format(source="v_pieces"), "v_pieces")
 
 @query("union_segments", CASCADE_OUT + "v_segments", ["v_segments"])
 def union_segments(spark, d):
-    return A.cascade(A.subtract_alarms(A.cascade(typed(spark, d)))).select(*CASCADE_COLS)
+    al = complete(spark, d).withColumn("OldTimeOn", F.col("TimeOn")).withColumn("OldTimeOff", F.col("TimeOff"))
+    return alarm_segments(al, V.v_code(spark)).select(*CASCADE_COLS)
 
 
 # ---------------------------------------------------------------- intervals

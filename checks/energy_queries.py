@@ -20,7 +20,8 @@ KEY_SQL = '"StationId", "TimeStamp"'
 
 
 def rounded(df, digits=6):
-    return round_numeric(df, digits)
+    """Round for the comparison of both engines."""
+    return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if kind == "double" else F.col(f"`{n}`") for n, kind in df.dtypes])
 
 
 def sql_round(columns, digits=6):
@@ -158,7 +159,7 @@ BOUNDED = """SELECT g.*, b.ev AS counter_before, a.ev AS counter_after, a.en AS
     ON g.missing AND b.p = g.period AND b.s = g."StationId" AND b.k = g.seen
   LEFT JOIN (SELECT period AS p, "StationId" AS s, seen AS k, "wtc_kWG1TotE_endvalue" AS ev, "wtc_kWG1TotE_accum" AS en FROM ({gaps}) WHERE NOT missing) a
     ON g.missing AND a.p = g.period AND a.s = g."StationId" AND a.k = g.seen + 1"""
-IMPUTED = """SELECT * EXCLUDE ("wtc_kWG1TotE_accum"), CASE WHEN rest IS NULL THEN "wtc_kWG1TotE_accum" WHEN rest > 0 AND is_free THEN round(CAST(CAST(rest / free_rows AS VARCHAR) AS DECIMAL(38, 18)), 2)::DOUBLE ELSE 0.0 END::DOUBLE AS "wtc_kWG1TotE_accum",
+IMPUTED = """SELECT * EXCLUDE ("wtc_kWG1TotE_accum"), CASE WHEN rest IS NULL THEN "wtc_kWG1TotE_accum" WHEN rest > 0 AND is_free THEN round_even(rest / free_rows * 100, 0) / 100 ELSE 0.0 END::DOUBLE AS "wtc_kWG1TotE_accum",
     CASE WHEN rest > 0 AND is_free THEN 'interpolated' ELSE 'actual' END AS "Energy_Source"
   FROM (SELECT *, count(*) FILTER (WHERE is_free) OVER (PARTITION BY period, "StationId", seen) AS free_rows
     FROM (SELECT *, missing AND "EffectiveAlarmTime" < 600 AS is_free,
@@ -252,7 +253,7 @@ def correction_factor(spark, d):
 
 view(
     "v_potential",
-    f"""SELECT period, "TimeStamp", round(mean * {CF.format(n='n')}, 2) AS "Epot", {CF.format(n='n')} AS "Correction Factor", n AS "Available Turbines"
+    f"""SELECT period, "TimeStamp", round_even(mean * {CF.format(n='n')} * 100, 0) / 100 AS "Epot", {CF.format(n='n')} AS "Correction Factor", n AS "Available Turbines"
   FROM (SELECT period, "TimeStamp", avg("Energy_To_Use") AS mean, count(*) AS n FROM v_use WHERE running GROUP BY 1, 2) x""",
     "v_use",
 )
@@ -510,7 +511,8 @@ def text_contains(spark, d):
 
 @query(
     "round_results",
-    f'SELECT period, {KEY_SQL}, round("wtc_AcWindSp_mean", 2) AS "wtc_AcWindSp_mean", round("wtc_ActPower_mean", 2) AS "wtc_ActPower_mean" FROM v_wide',
+    f'''SELECT period, {KEY_SQL}, round_even("wtc_AcWindSp_mean" * 100, 0) / 100 AS "wtc_AcWindSp_mean",
+  round_even("wtc_ActPower_mean" * 100, 0) / 100 AS "wtc_ActPower_mean" FROM v_wide''',
     ["v_wide"],
 )
 def round_results(spark, d):

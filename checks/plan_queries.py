@@ -14,13 +14,16 @@ from checks.registry import VIEWS, query, view
 from checks.source_queries import fresh_folder
 from gustledger.plans import monthly
 from gustledger.plans.export import export_rows
+from gustledger.plans.settle import settle
 from gustledger.plans.weekly import weekly
 from gustledger.sources import readers, writers
 from gustledger.sources import schemas as S
 
 
 def frames(spark, d):
-    out = {k: V.v_signal(spark, d, k) for k in ("cnt", "grd", "tur", "din", "flg")}
+    # All signals of the check come from one table of cells: made once, read per signal.
+    cells = settle(V.v_sig(spark, d))
+    out = {k: cells.select(*V.KEY, *V.values(k)) for k in ("cnt", "grd", "tur", "din", "flg")}
     out["sum"] = V.v_alarm(spark, d)
     out["met"] = readers.pivot_met(V.v_mast(spark, d))
     return out
@@ -78,13 +81,12 @@ NUMBERS = [
 TEXTS = ["UK Text", "Energy_Source", "Epot_Method"]
 
 
-def exact_round(column: str, digits: int = 2) -> str:
-    """Round the decimal text of a double half away from zero, as Spark does."""
-    return f'CAST(round(CAST(CAST("{column}" AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE) AS "{column}"'
+def even_round(column: str) -> str:
+    return f'round_even("{column}" * 100, 0) / 100 AS "{column}"'
 
 
 FULL_SQL = f"""SELECT period, "StationId", "TimeStamp", "Available Turbines", {", ".join(f'"{t}"' for t in TEXTS)},
-  {", ".join(exact_round(c) for c in NUMBERS)} FROM f_patterns"""
+  {", ".join(even_round(c) for c in NUMBERS)} FROM f_patterns"""
 
 
 @query("full_calculation", FULL_SQL, ["f_patterns"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gustledger.functions.numbers import half_even
 from gustledger.functions.nulls import clip_zero, differs, is_true, or_zero
 from gustledger.sources import schemas as S
 
@@ -53,27 +54,25 @@ def energy_gaps(res: DataFrame, keys=tuple(STATION_MONTH)) -> DataFrame:
     Adds ``gap`` (number of the run within its station, NULL outside gaps),
     ``gap_rows``, and the counter before, the counter after and the energy after.
     The neighbours are kept as structs, since their values may be missing too.
+
+    ``_run`` counts the known rows before a row: a gap and the known row that ends it
+    share it, so one window per run sees both, and nothing is read backwards.
     """
     missing = F.col(ACCUM).isNull()
-    forward = Window.partitionBy(*keys).orderBy("TimeStamp")
-    past = forward.rowsBetween(Window.unboundedPreceding, -1)
-    # The rows after, read in descending order: the frame grows instead of being re-read.
-    future = Window.partitionBy(*keys).orderBy(F.desc("TimeStamp")).rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy(*keys).orderBy("TimeStamp").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(*keys, "_run")
     known = F.when(~missing, F.struct(F.col(COUNTER).alias("counter"), F.col(ACCUM).alias("energy")))
-    marked = (
-        res.withColumn("_seen", F.count(ACCUM).over(forward.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_past", F.last(known, ignorenulls=True).over(past))
-        .withColumn("_future", F.last(known, ignorenulls=True).over(future))
-    )
-    run = Window.partitionBy(*keys, "_seen")
-    return (
-        marked.withColumn("gap", F.when(missing, F.col("_seen")))
-        .withColumn("gap_rows", F.when(missing, F.count(F.when(missing, 1)).over(run)))
-        .withColumn("counter_before", F.when(missing, F.col("_past.counter")))
-        .withColumn("counter_after", F.when(missing, F.col("_future.counter")))
-        .withColumn("energy_after", F.when(missing, F.col("_future.energy")))
-        .drop("_past", "_future")
-    )
+    marked = res.withColumns({"_run": F.count(ACCUM).over(past), "_past": F.last(known, ignorenulls=True).over(past)})
+    marked = marked.withColumns({"_end": F.max(known).over(run), "_rows": F.count(F.when(missing, 1)).over(run)})
+    return marked.withColumns(
+        {
+            "gap": F.when(missing, F.col("_run")),
+            "gap_rows": F.when(missing, F.col("_rows")),
+            "counter_before": F.when(missing, F.col("_past.counter")),
+            "counter_after": F.when(missing, F.col("_end.counter")),
+            "energy_after": F.when(missing, F.col("_end.energy")),
+        }
+    ).drop("_past", "_end", "_rows")
 
 
 def gap_energy(max_per_interval: float) -> Column:
@@ -98,21 +97,20 @@ def impute_energy(
         res = res.withColumn("Energy_Source", F.lit("actual"))
     if COUNTER not in res.columns:
         return res
-    free = is_true(F.col("EffectiveAlarmTime") < full_alarm) | F.col("EffectiveAlarmTime").isNull()
-    run = Window.partitionBy(*keys, "_seen")
-    gaps = (
-        energy_gaps(res, keys)
-        .withColumn("_free", F.col("gap").isNotNull() & free)
-        .withColumn("_free_rows", F.count(F.when(F.col("_free"), 1)).over(run))
-        .withColumn("_energy", F.when(F.col("gap").isNotNull(), gap_energy(max_per_interval)))
+    in_gap = F.col("gap").isNotNull()
+    free = in_gap & (is_true(F.col("EffectiveAlarmTime") < full_alarm) | F.col("EffectiveAlarmTime").isNull())
+    run = Window.partitionBy(*keys, "_run")
+    gaps = energy_gaps(res, keys).withColumns(
+        {"_free": free, "_free_rows": F.count(F.when(free, 1)).over(run), "_energy": F.when(in_gap, gap_energy(max_per_interval))}
     )
     spread = (F.col("_energy") > 0) & F.col("_free")
-    part = F.round(F.try_divide("_energy", F.col("_free_rows")), 2)
-    out = (
-        gaps.withColumn("Energy_Source", F.when(is_true(spread), "interpolated").otherwise(F.col("Energy_Source")))
-        .withColumn(ACCUM, F.when(F.col("_energy").isNull(), F.col(ACCUM)).when(spread, part).otherwise(0.0))
-        .drop("_seen", "_free")
-    )
+    part = half_even(F.try_divide("_energy", F.col("_free_rows")))
+    out = gaps.withColumns(
+        {
+            "Energy_Source": F.when(is_true(spread), "interpolated").otherwise(F.col("Energy_Source")),
+            ACCUM: F.when(F.col("_energy").isNull(), F.col(ACCUM)).when(spread, part).otherwise(0.0),
+        }
+    ).drop("_run", "_free")
     if keep_gap:
         return out.withColumnRenamed("_energy", "gap_energy").withColumnRenamed("_free_rows", "free_rows")
     return out.drop("gap", "gap_rows", "counter_before", "counter_after", "energy_after", "_free_rows", "_energy")
@@ -167,7 +165,7 @@ def potential_energy(res: DataFrame, total: int = S.TURBINES, loss: float = 0.08
         .where(F.col("Available Turbines") > 0)
         .select(
             *STAMP,
-            F.round(F.col("_mean") * factor, 2).alias("Epot"),
+            half_even(F.col("_mean") * factor).alias("Epot"),
             factor.alias("Correction Factor"),
             "Available Turbines",
         )
@@ -244,34 +242,30 @@ def potential_cascade(
     stamp = Window.partitionBy(*keys)
     own = F.col("Energy_To_Use")
     mean, count = running_energy(F.col("_running"))
-    rows = (
-        res.withColumn("_running", operational())
-        .withColumn("_mean", mean.over(stamp))
-        .withColumn("_count", count.over(stamp))
+    rows = res.withColumn("_running", operational()).withColumns(
+        {"_mean": mean.over(stamp), "_count": count.over(stamp), "_month": F.month("TimeStamp")}
     )
     rows = rows.withColumn("Available Turbines", F.when(F.col("_count") > 0, F.col("_count")))
     rows = rows.withColumn("Correction Factor", correction_factor(F.col("Available Turbines"), total, loss))
-    rows = rows.withColumn("_average", F.round(F.col("_mean") * F.col("Correction Factor"), 2))
+    rows = rows.withColumn("_average", half_even(F.col("_mean") * F.col("Correction Factor")))
     rows = energy_from_wind(rows, curve, "_by_wind")
-    rows = rows.withColumn("_month", F.month("TimeStamp")).join(
+    rows = rows.join(
         stat.select(F.col("month").alias("_month"), F.col("statistical_energy").alias("_by_season")), "_month", "left"
     )
     average, wind = F.col("_average"), F.col("_by_wind")
     above = is_true(average < own)
-    return (
-        rows.withColumn(
-            "Epot",
-            F.when(F.col("_running"), own)
-            .when(average.isNotNull(), F.when(above, own).otherwise(average))
-            .when(wind.isNotNull(), F.greatest(wind, or_zero(own)))
-            .otherwise(F.when(F.col("_by_season").isNotNull(), F.greatest(F.col("_by_season"), or_zero(own)))),
-        )
-        .withColumn(
-            "Epot_Method",
-            F.when(F.col("_running") | above, PRODUCED)
-            .when(average.isNotNull(), AVERAGE)
-            .when(wind.isNotNull(), ANEMOMETER)
-            .otherwise(STATISTICS),
-        )
-        .drop("_running", "_mean", "_count", "_average", "_by_wind", "_by_season", "_month")
+    epot = (
+        F.when(F.col("_running"), own)
+        .when(average.isNotNull(), F.when(above, own).otherwise(average))
+        .when(wind.isNotNull(), F.greatest(wind, or_zero(own)))
+        .otherwise(F.when(F.col("_by_season").isNotNull(), F.greatest(F.col("_by_season"), or_zero(own))))
+    )
+    method = (
+        F.when(F.col("_running") | above, PRODUCED)
+        .when(average.isNotNull(), AVERAGE)
+        .when(wind.isNotNull(), ANEMOMETER)
+        .otherwise(STATISTICS)
+    )
+    return rows.withColumns({"Epot": epot, "Epot_Method": method}).drop(
+        "_running", "_mean", "_count", "_average", "_by_wind", "_by_season", "_month"
     )

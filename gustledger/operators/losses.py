@@ -56,12 +56,14 @@ def neighbour_values(res: DataFrame, keys=tuple(STAMP)) -> DataFrame:
         "min_power": "wtc_ActPower_min",
         "alarm_period": "EffectiveAlarmTime",
     }
-    for name, column in pick.items():
-        res = res.withColumn(f"{name}_prev_turbine", F.lag(column).over(row))
-        res = res.withColumn(f"{name}_next_turbine", F.lead(column).over(row))
+    near = {f"{name}_prev_turbine": F.lag(column).over(row) for name, column in pick.items()}
+    near |= {f"{name}_next_turbine": F.lead(column).over(row) for name, column in pick.items()}
     own = F.col("wtc_AcWindSp_mean")
-    return res.withColumn("wind_speed_diff_prev_turbine", F.col("wind_speed_prev_turbine") - own).withColumn(
-        "wind_speed_diff_next_turbine", F.col("wind_speed_next_turbine") - own
+    return res.withColumns(near).withColumns(
+        {
+            "wind_speed_diff_prev_turbine": F.col("wind_speed_prev_turbine") - own,
+            "wind_speed_diff_next_turbine": F.col("wind_speed_next_turbine") - own,
+        }
     )
 
 
@@ -92,19 +94,23 @@ def wind_patterns(res: DataFrame, keys=tuple(STATION_MONTH)) -> DataFrame:
     """Assign the rest to low wind, to the interval after it, or to the interval after an alarm."""
     series = Window.partitionBy(*keys).orderBy("TimeStamp")
     rest, alarm = F.col("EL_indefini"), F.col("EffectiveAlarmTime")
-    rows = res.withColumn("_low", low_wind())
-    rows = rows.withColumn("_post", F.coalesce(F.lag("_low").over(series), F.col("_low")))
-    rows = rows.withColumn("_after_alarm", is_true(F.lag(alarm > 0).over(series)))
+    rows = res.withColumn("_low", low_wind()).withColumns(
+        {
+            "_post": F.coalesce(F.lag("_low").over(series), F.col("_low")),
+            "_after_alarm": is_true(F.lag(alarm > 0).over(series)),
+        }
+    )
     low, post = F.col("_low"), F.col("_post")
     start = post & ~low
     recover = ~low & ~post & F.col("_after_alarm") & is_true((rest > 0) & (alarm == 0))
+    taken = {}
     for name, seconds, mask in (
         ("EL_wind", "Duration lowind(s)", low),
         ("EL_wind_start", "Duration lowind_start(s)", start),
         ("EL_alarm_start", "Duration alarm_start(s)", recover),
     ):
-        rows = rows.withColumn(name, F.when(mask, or_zero(rest))).withColumn(seconds, F.when(mask, INTERVAL_SECONDS))
-    return rows.withColumn("EL_indefini_left", loss_left()).drop("_low", "_post", "_after_alarm")
+        taken |= {name: F.when(mask, or_zero(rest)), seconds: F.when(mask, INTERVAL_SECONDS)}
+    return rows.withColumns(taken).withColumn("EL_indefini_left", loss_left()).drop("_low", "_post", "_after_alarm")
 
 
 def loss_left() -> Column:

@@ -40,8 +40,9 @@ SLICE = "_slice"
 def alarm_segments(al: DataFrame, codes: DataFrame, maintenance_code: int = S.MAINTENANCE_CODE) -> DataFrame:
     """Non-overlapping effective alarm segments from clamped alarms."""
     typed = A.with_alarm_type(al, codes)
-    # The first cascade is read by the several branches of the subtraction.
-    return A.cascade(A.subtract_alarms(settle(A.cascade(typed)), maintenance_code))
+    # Each step reads its input in several branches, so it is written out in between.
+    remaining = A.subtract_alarms(settle(A.cascade(typed)), maintenance_code)
+    return A.cascade(settle(remaining))
 
 
 def prepare_alarms(al: DataFrame, codes: DataFrame, bounds: DataFrame, production: DataFrame, step: timedelta) -> DataFrame:
@@ -51,15 +52,15 @@ def prepare_alarms(al: DataFrame, codes: DataFrame, bounds: DataFrame, productio
     return A.clamp_alarms(ended, bounds, step)
 
 
-def day_slices(cells: DataFrame, step: timedelta) -> DataFrame:
-    """Cut the grid into days, each with a copy of the last stamp of the day before.
+def time_slices(cells: DataFrame, step: timedelta, width: timedelta = timedelta(hours=6)) -> DataFrame:
+    """Cut the grid into slices of time, each with a copy of the last stamp before it.
 
     Stamp windows and one-step looks back both fit inside such a slice, so one
     shuffle by month and slice serves them all.  It needs the full grid: the row
     before a row is then exactly one step earlier.
     """
-    day = timedelta(days=1)
-    own, following = tg.slot(F.col("TimeStamp"), day), tg.slot(tg.plus(F.col("TimeStamp"), step), day)
+    width = max(width, step)
+    own, following = tg.slot(F.col("TimeStamp"), width), tg.slot(tg.plus(F.col("TimeStamp"), step), width)
     return cells.withColumn(SLICE, F.explode(F.array_distinct(F.array(own, following)))).withColumn(
         "_copy", F.col(SLICE) != own
     ).repartition("period", SLICE)
@@ -67,10 +68,11 @@ def day_slices(cells: DataFrame, step: timedelta) -> DataFrame:
 
 def assess(cells: DataFrame, curve: DataFrame, stat: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Potential energy and losses for the joined grid cells."""
-    rows = day_slices(cells.withColumn("Energy_To_Use", E.energy_to_use(settings.source)), settings.step)
+    rows = time_slices(cells.withColumn("Energy_To_Use", E.energy_to_use(settings.source)), settings.step)
     stamp, series = ("period", SLICE, "TimeStamp"), ("period", SLICE, "StationId")
-    rows = E.potential_cascade(rows, curve, stat, settings.turbines, settings.availability_loss, keys=stamp)
+    # Neighbours first: their order within a stamp also serves the averages over the stamp.
     rows = L.neighbour_values(rows, keys=stamp)
+    rows = E.potential_cascade(rows, curve, stat, settings.turbines, settings.availability_loss, keys=stamp)
     rows = L.wind_patterns(L.split_losses(rows), keys=series)
     return L.misassigned(rows).where(~F.col("_copy")).drop(SLICE, "_copy")
 
@@ -85,8 +87,8 @@ def joined_cells(
     cells = G.join_signals(
         cells, [stopped.withColumnRenamed("StationNr", "StationId"), limited, frames["cnt"]]
     )
-    for seconds in ("EffectiveAlarmTime", "Period 0(s)", "Period 1(s)", "Duration 2006(s)"):
-        cells = cells.withColumn(seconds, or_zero(F.col(f"`{seconds}`")))
+    seconds = ("EffectiveAlarmTime", "Period 0(s)", "Period 1(s)", "Duration 2006(s)")
+    cells = cells.withColumns({c: or_zero(F.col(f"`{c}`")) for c in seconds})
     wind = frames["tur"].select(*G.CELL, "wtc_AcWindSp_mean", "wtc_ActualWindDirection_mean")
     return G.join_signals(E.impute_energy(cells), [frames["grd"], wind, frames["din"], frames["flg"]])
 
