@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(name: str, cpus: str = "8", memory: str = "12g") -> SparkSession:
+def local_session(name: str, cpus: str = "8", memory: str = "12g", partitions: str = "8") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)

@@ -95,8 +95,6 @@ def impute_end_from_production(al: DataFrame, production: DataFrame, step: timed
     asks = al.where(open_stopping())
     idle = al.where(~open_stopping())
     facts = production.select("period", F.col("StationId").cast("long").alias("StationNr"), "TimeStamp")
-    # Only stations with an open alarm are worth shuffling.
-    facts = facts.join(asks.select(*STATION_KEYS).distinct(), STATION_KEYS, "left_semi")
     found = first_at_or_after(
         asks, tg.plus(F.col("TimeOn"), step), facts, "TimeStamp", STATION_KEYS, "_produced"
     )
@@ -104,11 +102,16 @@ def impute_end_from_production(al: DataFrame, production: DataFrame, step: timed
     return idle.unionByName(ended)
 
 
+def open_stations(al: DataFrame) -> DataFrame:
+    """Stations with an open stopping alarm, per month."""
+    return al.where(open_stopping()).select("period", F.col("StationNr").alias("StationId")).distinct()
+
+
 def clamp_alarms(al: DataFrame, bounds: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
     """Limit alarms to their month.
 
-    ``al`` carries the stopping flag; ``bounds`` has one row per month with
-    ``period, period_start, period_end``.  The order of the rules matters:
+    ``al`` carries the stopping flag; ``bounds`` has one row per calendar month (so it
+    is always broadcast) with ``period, period_start, period_end``.  The order of the rules matters:
     open stopping alarms end with the month, ends are capped, stopping alarms over
     before the buffer go, alarms starting after the end go, stopping alarms start
     no earlier than the buffer, and other alarms from before it go.
@@ -116,7 +119,7 @@ def clamp_alarms(al: DataFrame, bounds: DataFrame, step: timedelta = tg.TEN_MINU
     stopping, on, off = F.col(STOPPING), F.col("TimeOn"), F.col("TimeOff")
     rows = (
         al.where(on.isNotNull())
-        .join(bounds, "period")
+        .join(F.broadcast(bounds), "period")
         .withColumn("_buffer", tg.plus(F.col("period_start"), -step))
         .withColumn("TimeOff", F.when(stopping, F.coalesce(off, F.col("period_end"))).otherwise(off))
         .withColumn("TimeOff", F.least(off, F.when(off.isNotNull(), F.col("period_end"))))
@@ -135,7 +138,7 @@ def earliest_start(al: DataFrame, bounds: DataFrame, step: timedelta = tg.TEN_MI
     buffer = tg.plus(F.col("period_start"), -step)
     end = F.when(stopping, F.coalesce(off, F.col("period_end"))).otherwise(off)
     return (
-        al.join(bounds, "period")
+        al.join(F.broadcast(bounds), "period")
         .where(~(is_true((on < buffer) & (F.least(end, F.col("period_end")) < buffer)) & stopping & end.isNotNull()))
         .where(on <= F.col("period_end"))
         .groupBy("period")
@@ -150,7 +153,7 @@ def active_alarms(al: DataFrame, bounds: DataFrame, code: int = S.POWER_LIMIT_CO
     inside = ((first < on) & (on < last)) | ((first < off) & (off < last)) | ((on < first) & (last < off))
     return (
         al.where(F.col("Alarmcode") == code)
-        .join(bounds, "period")
+        .join(F.broadcast(bounds), "period")
         .where(inside)
         .withColumn("NewTimeOn", on)
         .withColumn("TimeOff", F.coalesce(off, last))

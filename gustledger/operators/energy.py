@@ -173,10 +173,7 @@ def potential_energy(res: DataFrame, total: int = S.TURBINES, loss: float = 0.08
 
 
 def curve_cells(curve: DataFrame) -> DataFrame:
-    """Power curve as straight pieces, one row per whole wind speed, with the ends marked.
-
-    The curve has one power per whole wind speed, a few dozen rows at most.
-    """
+    """Power curve as straight pieces, one row per whole wind speed from its first to its last knot."""
     knots = F.array_sort(F.collect_list(F.struct("Wind", "Power")))
     pieces = curve.agg(knots.alias("k")).select(
         F.explode(
@@ -187,11 +184,9 @@ def curve_cells(curve: DataFrame) -> DataFrame:
                     a.Wind.alias("w0"), a.Power.alias("p0"), b.Wind.alias("w1"), b.Power.alias("p1")
                 ),
             )
-        ).alias("s"),
-        F.element_at("k", 1).Wind.alias("first_wind"),
-        F.element_at("k", -1).Wind.alias("last_wind"),
+        ).alias("s")
     )
-    return pieces.select("s.*", "first_wind", "last_wind", F.explode(F.sequence(F.col("s.w0"), F.col("s.w1") - 1)).alias("_cell"))
+    return pieces.select("s.*", F.explode(F.sequence(F.col("s.w0"), F.col("s.w1") - 1)).alias("_cell"))
 
 
 def on_piece(wind: Column) -> Column:
@@ -203,10 +198,11 @@ def curve_power(df: DataFrame, curve: DataFrame, wind: str, out: str) -> DataFra
     """Add the curve's power at ``wind``: straight lines between knots, extended beyond both ends.
 
     The join is an equality on the whole wind speed, with winds outside the curve
-    moved to its first or last piece.
+    moved to its first or last piece.  The pieces are always broadcast: there is one
+    per metre per second, and shuffling the rows by so few keys would pile them up.
     """
     ends = curve.agg(F.struct(F.min("Wind").alias("first"), (F.max("Wind") - 1).alias("last")).alias("e")).scalar()
-    cells = curve_cells(curve).drop("first_wind", "last_wind")
+    cells = F.broadcast(curve_cells(curve))
     cell = F.greatest(ends.first, F.least(ends.last, F.floor(F.col(wind)).cast("int")))
     return (
         df.withColumn("_cell", F.when(F.col(wind).isNotNull(), cell))
@@ -249,9 +245,8 @@ def potential_cascade(
     rows = rows.withColumn("Correction Factor", correction_factor(F.col("Available Turbines"), total, loss))
     rows = rows.withColumn("_average", half_even(F.col("_mean") * F.col("Correction Factor")))
     rows = energy_from_wind(rows, curve, "_by_wind")
-    rows = rows.join(
-        stat.select(F.col("month").alias("_month"), F.col("statistical_energy").alias("_by_season")), "_month", "left"
-    )
+    season = stat.select(F.col("month").alias("_month"), F.col("statistical_energy").alias("_by_season"))
+    rows = rows.join(F.broadcast(season), "_month", "left")  # one row per month of the year
     average, wind = F.col("_average"), F.col("_by_wind")
     above = is_true(average < own)
     epot = (

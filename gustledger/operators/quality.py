@@ -49,9 +49,18 @@ def as_issues(rows: DataFrame) -> DataFrame:
     )
 
 
+def months(ranges: DataFrame) -> DataFrame:
+    """The ranges, always sent to the rows: they have one row per calendar month.
+
+    Without the hint Spark sees the size of the table the months were taken from, and
+    would shuffle all rows by month.
+    """
+    return F.broadcast(ranges)
+
+
 def in_range(met: DataFrame, ranges: DataFrame) -> DataFrame:
     return (
-        met.join(ranges, "period")
+        met.join(months(ranges), "period")
         .where(F.col("TimeStamp").between(F.col("range_start"), F.col("range_end")))
         .drop("range_start", "range_end")
     )
@@ -83,19 +92,21 @@ def completeness(
     Counts distinct stamps that lie on the grid; a month without rows misses all.
     """
     start, end, ts = F.col("range_start"), F.col("range_end"), F.col("TimeStamp")
-    rows = ranges.join(df.select("period", *by, "TimeStamp"), "period", "inner" if by else "left")
     seen = F.count_distinct(F.when(on_grid(ts, start, end, step, end_inclusive), ts))
-    expected = expected_count(start, end, step, end_inclusive)
-    return (
-        rows.groupBy("period", "range_start", "range_end", *by)
+    counts = (
+        df.select("period", *by, "TimeStamp")
+        .join(months(ranges), "period")
+        .groupBy("period", *by)
         .agg(seen.alias("_seen"))
-        .select(
-            "period",
-            *by,
-            (expected - F.col("_seen")).alias("missing_count"),
-            expected.alias("total_expected"),
-            percent(expected - F.col("_seen"), expected).alias("completeness_percentage"),
-        )
+    )
+    counts = ranges.join(counts, "period", "inner" if by else "left")
+    expected, found = expected_count(start, end, step, end_inclusive), F.coalesce("_seen", F.lit(0))
+    return counts.select(
+        "period",
+        *by,
+        (expected - found).alias("missing_count"),
+        expected.alias("total_expected"),
+        percent(expected - found, expected).alias("completeness_percentage"),
     )
 
 
@@ -108,7 +119,7 @@ def missing_timestamps(df: DataFrame, ranges: DataFrame, step: timedelta = tg.TE
     expected = expected_stamps(ranges, step)
     if by:
         # A join on the month: every group of a month is laid over the stamps of that month.
-        groups = df.select("period", *by).distinct().join(ranges, "period")
+        groups = df.select("period", *by).distinct().join(months(ranges), "period")
         expected = groups.select(
             "period", *by, F.explode(tg.stamps(F.col("range_start"), F.col("range_end"), step)).alias("TimeStamp")
         )
@@ -118,21 +129,22 @@ def missing_timestamps(df: DataFrame, ranges: DataFrame, step: timedelta = tg.TE
 def first_ten(missing: DataFrame, keys: list[str]) -> DataFrame:
     """Per group the count, the first ten missing stamps as text, and how many more there are.
 
-    Only ten stamps of a group are ever gathered.
+    Only ten stamps of a group are gathered; a group has at most the stamps of a month.
     """
-    order = Window.partitionBy(*keys).orderBy("TimeStamp")
-    head = (
-        missing.withColumn("_n", F.row_number().over(order))
+    group = Window.partitionBy(*keys)
+    more = F.array(F.concat(F.lit("... and "), (F.col("count") - 10).cast("string"), F.lit(" more")))
+    return (
+        missing.withColumns(
+            {"_n": F.row_number().over(group.orderBy("TimeStamp")), "count": F.count(F.lit(1)).over(group)}
+        )
         .where(F.col("_n") <= 10)
-        .groupBy(*keys)
+        .groupBy(*keys, "count")
         .agg(F.array_sort(F.collect_list(tg.iso(F.col("TimeStamp")))).alias("_head"))
-    )
-    counts = missing.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
-    more = F.array(F.concat(F.lit("... and "), (F.col("count") - 10).cast("string"), F.lit(" more")))
-    return counts.join(head, keys).select(
-        *keys,
-        "count",
-        F.when(F.col("count") > 10, F.concat("_head", more)).otherwise(F.col("_head")).alias("missing_timestamps"),
+        .select(
+            *keys,
+            "count",
+            F.when(F.col("count") > 10, F.concat("_head", more)).otherwise(F.col("_head")).alias("missing_timestamps"),
+        )
     )
 
 
@@ -140,7 +152,7 @@ def completeness_issue(missing: DataFrame, keys: list[str], ranges: DataFrame, s
     expected = expected_count(F.col("range_start"), F.col("range_end"), step)
     return (
         first_ten(missing, keys)
-        .join(ranges, "period")
+        .join(months(ranges), "period")
         .withColumn("total_expected", expected)
         .withColumn("completeness_pct", percent(F.col("count"), expected))
     )

@@ -11,7 +11,7 @@ from checks.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", memory="6g")
+    session = local_session("tests", memory="6g", partitions="3")
     yield session
     session.stop()
 
