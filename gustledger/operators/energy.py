@@ -186,7 +186,9 @@ def curve_cells(curve: DataFrame) -> DataFrame:
             )
         ).alias("s")
     )
-    return pieces.select("s.*", F.explode(F.sequence(F.col("s.w0"), F.col("s.w1") - 1)).alias("_cell"))
+    twice = F.raise_error(F.lit("the power curve has two powers for one wind speed"))
+    cells = F.when(F.col("s.w0") < F.col("s.w1"), F.sequence(F.col("s.w0"), F.col("s.w1") - 1)).otherwise(twice)
+    return pieces.select("s.*", F.explode(cells).alias("_cell"))
 
 
 def on_piece(wind: Column) -> Column:

@@ -91,6 +91,12 @@ def test_curve_is_extended_at_both_ends_and_knots_may_be_apart(spark):
     assert got == [-50.0, 0.0, 50.0, 150.0, 200.0, 200.0, 200.0, None]
 
 
+def test_curve_with_two_powers_for_one_wind_is_refused(spark):
+    curve = spark.createDataFrame([(3, 0), (3, 5), (5, 100)], "Wind int, Power int")
+    with pytest.raises(Exception, match="two powers"):
+        E.curve_power(spark.createDataFrame([(4.0,)], "w double"), curve, "w", "p").collect()
+
+
 def test_correction_factor(spark):
     f = spark.range(1).select(E.correction_factor(F.lit(131)), E.correction_factor(F.lit(1))).first()
     assert f[0] == pytest.approx(1.0) and f[1] == pytest.approx(0.92)
