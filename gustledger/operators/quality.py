@@ -58,12 +58,13 @@ def months(ranges: DataFrame) -> DataFrame:
     return F.broadcast(ranges)
 
 
+def with_range(met: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows inside the range of their month, with the range."""
+    return met.join(months(ranges), "period").where(F.col("TimeStamp").between(F.col("range_start"), F.col("range_end")))
+
+
 def in_range(met: DataFrame, ranges: DataFrame) -> DataFrame:
-    return (
-        met.join(months(ranges), "period")
-        .where(F.col("TimeStamp").between(F.col("range_start"), F.col("range_end")))
-        .drop("range_start", "range_end")
-    )
+    return with_range(met, ranges).drop("range_start", "range_end")
 
 
 # ------------------------------------------------------------- completeness
@@ -168,18 +169,22 @@ def system_gaps(met: DataFrame, ranges: DataFrame, step: timedelta, sensors=S.ME
         *[F.max(F.col(f"{s}_mean").isNotNull()).alias(s) for s in sensors], F.lit(True).alias("_row")
     )
     cells = expected_stamps(ranges, step).join(seen, ["period", "TimeStamp"], "left")
+    # A month without any row in its range is not reported stamp by stamp.
+    scanned = F.count("_row").over(Window.partitionBy("period")) > 0
     nothing = F.col("_row").isNull()
     gaps = F.array(
         F.when(nothing, F.lit(GLOBAL)), *[F.when(~nothing & ~F.col(s), F.lit(s)) for s in sensors]
     )
-    return cells.select("period", "TimeStamp", F.explode(F.array_compact(gaps)).alias("sensor"))
+    return (
+        cells.withColumn("_scanned", scanned)
+        .where(F.col("_scanned"))
+        .select("period", "TimeStamp", F.explode(F.array_compact(gaps)).alias("sensor"))
+    )
 
 
 def system_completeness(met: DataFrame, ranges: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
     """Issues for stamps without any row, and per sensor for stamps where only that sensor is missing."""
-    met = in_range(met, ranges)
-    scanned = ranges.join(met.select("period").distinct(), "period", "left_semi")
-    issues = completeness_issue(system_gaps(met, scanned, step), ["period", "sensor"], scanned, step)
+    issues = completeness_issue(system_gaps(in_range(met, ranges), ranges, step), ["period", "sensor"], ranges, step)
     reported = (F.col("sensor") != GLOBAL) | (F.col("completeness_pct") < 100.0)
     return as_issues(
         issues.where(reported).withColumn("type", F.lit("system_completeness")).withColumn("station_id", F.lit("ALL"))
@@ -191,15 +196,6 @@ def sensor_only_gaps(met: DataFrame, ranges: DataFrame, step: timedelta = tg.TEN
     return system_gaps(in_range(met, ranges), ranges, step).where(F.col("sensor") != GLOBAL)
 
 
-def station_completeness(met: DataFrame, ranges: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
-    """Issues for stamps missing at one station."""
-    missing = missing_timestamps(in_range(met, ranges), ranges, step, by=("StationId",))
-    issues = completeness_issue(missing, STATION_MONTH, ranges, step).where(F.col("completeness_pct") < 100.0)
-    return as_issues(
-        issues.withColumn("type", F.lit("completeness")).withColumn("station_id", F.col("StationId").cast("string"))
-    )
-
-
 # ------------------------------------------------------------ value checks
 
 def stuck_flag(
@@ -285,8 +281,14 @@ def range_checks(columns, bounds=S.MET_BOUNDS) -> list[Check]:
     ]
 
 
-def count_checks(met: DataFrame, checks: list[Check]) -> DataFrame:
-    """One conditional aggregate for all checks, then one row per station and check that fired."""
+def issue(**fields) -> Column:
+    """A struct of the value columns of an issue; those not given are NULL."""
+    names = [n for n in ISSUE_FIELDS if n not in ("period", "station_id")]
+    return F.struct(*[fields.get(n, F.lit(None)).cast(ISSUE_TYPES[n]).alias(n) for n in names])
+
+
+def check_aggregates(checks: list[Check]) -> tuple[list[Column], list[Column]]:
+    """Conditional aggregates of the checks, and the issue each one makes of them."""
     ts = F.col("TimeStamp")
     aggregates, entries = [], []
     for i, c in enumerate(checks):
@@ -297,28 +299,75 @@ def count_checks(met: DataFrame, checks: list[Check]) -> DataFrame:
         ]
         if c.sample is not None:
             aggregates.append(F.min_by(c.sample, F.when(c.fires, ts)).alias(f"_s{i}"))
-        text, number = "string", "double"
-        entries.append(
-            F.struct(
-                F.lit(c.kind).alias("type"),
-                F.lit(c.sensor).cast(text).alias("sensor"),
-                F.lit(c.column).cast(text).alias("column"),
-                F.col(f"_n{i}").alias("count"),
-                F.col(f"_a{i}").alias("range_start"),
-                F.col(f"_z{i}").alias("range_end"),
-                (F.col(f"_s{i}") if c.sample is not None else F.lit(None)).cast(number).alias("sample_value"),
-                F.lit(c.bounds[0]).cast(number).alias("bound_low"),
-                F.lit(c.bounds[1]).cast(number).alias("bound_high"),
-            )
+        entry = issue(
+            type=F.lit(c.kind),
+            sensor=F.lit(c.sensor),
+            column=F.lit(c.column),
+            count=F.col(f"_n{i}"),
+            range_start=F.col(f"_a{i}"),
+            range_end=F.col(f"_z{i}"),
+            sample_value=F.col(f"_s{i}") if c.sample is not None else F.lit(None),
+            bound_low=F.lit(c.bounds[0]),
+            bound_high=F.lit(c.bounds[1]),
         )
-    fired = F.filter(F.array(*entries), lambda e: e["count"] > 0)
-    return as_issues(
-        met.groupBy(*STATION_MONTH)
+        entries.append(F.when(F.col(f"_n{i}") > 0, entry))
+    return aggregates, entries
+
+
+def per_station(
+    met: DataFrame, aggregates: list[Column], entries: list[Column], more=(), derived: dict[str, Column] | None = None
+) -> DataFrame:
+    """One aggregate per station and month, then one row per issue."""
+    return (
+        met.groupBy(*STATION_MONTH, *more)
         .agg(*aggregates)
-        .select("period", F.col("StationId").cast("string").alias("station_id"), F.inline(fired))
+        .withColumns(derived or {})
+        .select("period", F.col("StationId").cast("string").alias("station_id"), F.inline(F.array_compact(F.array(*entries))))
+        .select(*ISSUE_FIELDS)
     )
 
 
+def count_checks(met: DataFrame, checks: list[Check]) -> DataFrame:
+    return per_station(met, *check_aggregates(checks))
+
+
+def presence_aggregate(step: timedelta) -> tuple[Column, dict[str, Column], Column]:
+    """The set of stamps present, as numbers on the grid, what is absent, and the issue made of it.
+
+    The set has at most the stamps of a month, and what is missing follows without
+    laying the grid of stations and stamps out.
+    """
+    ts, start, end = F.col("TimeStamp"), F.col("range_start"), F.col("range_end")
+    micros = tg.to_micros(step)
+    number = F.call_function("div", tg.epoch_micros(ts) - tg.epoch_micros(start), F.lit(micros))
+    seen = F.collect_set(F.when(on_grid(ts, start, end, step), number)).alias("_seen")
+    expected = expected_count(start, end, step)
+    derived = {"_absent": F.array_except(F.sequence(F.lit(0).cast("long"), expected - 1), F.col("_seen"))}
+    absent = F.col("_absent")
+    count = F.size(absent).cast("long")
+    head = F.transform(
+        F.slice(absent, 1, 10), lambda i: tg.iso(F.timestamp_add("MICROSECOND", i * F.lit(micros), start))
+    )
+    more = F.array(F.concat(F.lit("... and "), (count - 10).cast("string"), F.lit(" more")))
+    share = percent(count, expected)
+    entry = issue(
+        type=F.lit("completeness"),
+        count=count,
+        total_expected=expected,
+        completeness_pct=share,
+        missing_timestamps=F.when(count > 10, F.concat(head, more)).otherwise(head),
+        range_start=start,
+        range_end=end,
+    )
+    return seen, derived, F.when(share < 100.0, entry)
+
+
+def station_completeness(met: DataFrame, ranges: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
+    """Issues for stamps missing at one station."""
+    seen, derived, entry = presence_aggregate(step)
+    return per_station(with_range(met, ranges), [seen], [entry], ("range_start", "range_end"), derived)
+
+
 def empty_rows(met: DataFrame, bounds=S.MET_BOUNDS) -> DataFrame:
     """Rows present with no sensor value at all."""
     return count_checks(met, empty_checks(met.columns, bounds))
@@ -346,11 +395,16 @@ def scan_met(
     exclude_zero: bool = False,
     step: timedelta = tg.TEN_MINUTES,
 ) -> DataFrame:
-    """All issues of the scanned months."""
-    rows = with_stuck_flags(in_range(met, ranges), n, exclude_zero, tuple(bounds))
-    checks = [make(rows.columns, bounds) for make in (empty_checks, gap_checks, stuck_checks, range_checks)]
-    values = count_checks(rows, [c for group in checks for c in group])
-    return system_completeness(met, ranges, step).unionByName(station_completeness(met, ranges, step)).unionByName(values)
+    """All issues of the scanned months.
+
+    Two passes: one per stamp for the site, one per station for everything else.
+    """
+    rows = with_stuck_flags(with_range(met, ranges), n, exclude_zero, tuple(bounds))
+    checks = [c for make in (empty_checks, gap_checks, stuck_checks, range_checks) for c in make(rows.columns, bounds)]
+    aggregates, entries = check_aggregates(checks)
+    seen, derived, incomplete = presence_aggregate(step)
+    stations = per_station(rows, [seen, *aggregates], [incomplete, *entries], ("range_start", "range_end"), derived)
+    return system_completeness(met, ranges, step).unionByName(stations)
 
 
 def nullify_met(met: DataFrame, bounds=S.MET_BOUNDS, n: int | None = DEFAULT_RUN, exclude_zero: bool = False) -> DataFrame:
