@@ -13,6 +13,7 @@ from gustledger.operators import alarms as A
 from gustledger.operators import energy as E
 from gustledger.operators import grid as G
 from gustledger.plans.monthly import alarm_segments
+from gustledger.plans.settle import settle
 from gustledger.sources import extracts
 
 STEP = tg.TEN_MINUTES
@@ -264,7 +265,7 @@ view("v_pieces", SUBTRACT.format(source="v_cascade"), "v_cascade")
 
 @query("overlap_subtract", 'SELECT "ID", "StationNr", "TimeOn", "TimeOff", "Alarmcode" FROM v_pieces', ["v_pieces"])
 def overlap_subtract(spark, d):
-    return A.subtract_alarms(A.cascade(typed(spark, d))).select(*ALARM_COLS)
+    return A.subtract_alarms(settle(A.cascade(typed(spark, d)))).select(*ALARM_COLS)
 
 
 view("v_segments", CASCADE.format(source="v_pieces"), "v_pieces")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gustledger.functions import timegrid as tg
 from gustledger.functions.nulls import is_true
-from gustledger.operators.blocks import first_at_or_after, running_max_before
+from gustledger.operators.blocks import first_at_or_after, last_before, running_max_before
 from gustledger.sources import schemas as S
 
 STATION_KEYS = ["period", "StationNr"]
@@ -194,77 +194,72 @@ def drop_zero_alarms(al: DataFrame, keep_code: int = S.MAINTENANCE_CODE) -> Data
     return al.where(~is_true((F.col("EffectiveAlarmTime") <= 0) & (F.col("Alarmcode") != keep_code)))
 
 
-def free_time(al: DataFrame, code: int, width: timedelta) -> DataFrame:
-    """Per station the stretches not covered by alarms of ``code``, between its first and last alarm time."""
+def free_time(rows: DataFrame, scanned: DataFrame, code: int) -> DataFrame:
+    """Per station the stretches no alarm of ``code`` covers, as ``_from, _to`` (NULL: open)."""
     other, own = F.col("Alarmcode") != code, F.col("Alarmcode") == code
-    span = al.groupBy(*STATION_KEYS).agg(
+    span = rows.groupBy(*STATION_KEYS).agg(
         F.min(F.when(other, F.col("TimeOn"))).alias("_lo"),
-        F.max(F.when(other, F.col("TimeOff"))).alias("_hi"),
+        F.min(F.when(own, F.col("TimeOn"))).alias("_first"),
         F.max(F.when(own, F.col("TimeOff"))).alias("_covered"),
     )
-    blocked = running_max_before(
-        al.where(own).select(*STATION_KEYS, "TimeOn", "TimeOff"), STATION_KEYS, ["TimeOn", "TimeOff"], "TimeOff", "_reach", width
-    )
-    before = (
-        blocked.where(F.col("_reach").isNull() | (F.col("_reach") < F.col("TimeOn")))
-        .select(*STATION_KEYS, F.col("_reach").alias("_from"), F.col("TimeOn").alias("_to"))
-    )
-    after = span.select(*STATION_KEYS, F.col("_covered").alias("_from"), F.lit(None).cast("timestamp_ntz").alias("_to"))
-    return (
-        before.unionByName(after)
-        .join(span.select(*STATION_KEYS, "_lo", "_hi"), STATION_KEYS)
-        .select(
-            *STATION_KEYS,
-            F.greatest("_from", "_lo").alias("_from"),
-            F.least("_to", "_hi").alias("_to"),
-        )
-        .where(F.col("_from") < F.col("_to"))
-    )
-
+    head = span.select(*STATION_KEYS, F.col("_lo").alias("_from"), F.col("_first").alias("_to"))
+    tail = span.select(*STATION_KEYS, F.col("_covered").alias("_from"), F.lit(None).cast("timestamp_ntz").alias("_to"))
+    between = scanned.where(own).select(*STATION_KEYS, F.col("_reach").alias("_from"), F.col("TimeOn").alias("_to"))
+    stretches = head.unionByName(between).unionByName(tail)
+    return stretches.where(F.col("_from").isNotNull() & (F.col("_to").isNull() | (F.col("_from") < F.col("_to"))))
 
-def by_slot(df: DataFrame, start: str, end: str, width: timedelta) -> DataFrame:
-    """One copy of an interval row for every slot it touches."""
-    first, last = tg.slot(F.col(start), width), tg.slot(F.col(end), width)
-    return df.withColumn("_slot", F.explode(F.sequence(first, last)))
 
-
-def subtract_alarms(al: DataFrame, code: int = S.MAINTENANCE_CODE, width: timedelta = timedelta(days=1), carry: timedelta = tg.ONE_HOUR) -> DataFrame:
+def subtract_alarms(al: DataFrame, code: int = S.MAINTENANCE_CODE, width: timedelta = tg.ONE_HOUR) -> DataFrame:
     """Cut the time of ``code`` out of all other alarms of the station: keep, trim, split or remove.
 
-    ``al`` is the result of :func:`cascade` with the raw times in ``OldTimeOn``.  The
-    other alarms are matched with the stretches that ``code`` leaves free; what both
-    share is a remaining segment.  Matching runs per station and slot of ``width``,
-    and a pair is taken once, in the slot where its segment starts.  Each segment is
-    a row, identified by ``ID`` and ``TimeOn``; :func:`cascade` follows.
+    ``al`` is the result of :func:`cascade`, so the other alarms of a station do not
+    overlap; ``OldTimeOn`` holds the raw start.  A remaining segment is what an alarm
+    shares with a stretch the code leaves free.  It starts either with the alarm,
+    inside the last stretch begun, or with a stretch, inside the last alarm begun: one
+    scan over both kinds finds every segment once and never pairs rows up.  A segment
+    is identified by ``ID`` and ``TimeOn``; :func:`cascade` follows.
     """
-    own = F.col("Alarmcode") == code
-    rows = drop_zero_alarms(al, code).withColumn(
-        "TimeOn", F.when(own, F.col("OldTimeOn")).otherwise(F.col("NewTimeOn"))
-    ).drop("NewTimeOn", "EffectiveAlarmTime", "Period 0(s)", "Period 1(s)")
-    backward = F.col("TimeOff") < F.col("TimeOn")
-
-    forward = by_slot(rows.where(~own & ~backward), "TimeOn", "TimeOff", width)
-    free = by_slot(free_time(rows, code, carry), "_from", "_to", width)
-    start, end = F.greatest("TimeOn", "_from"), F.least("TimeOff", "_to")
-    segments = (
-        forward.join(free, [*STATION_KEYS, "_slot"])
-        .where((start < end) & (tg.slot(start, width) == F.col("_slot")))
-        .withColumn("_start", start)
-        .withColumn("TimeOff", end)
-        .withColumn("TimeOn", F.col("_start"))
-        .select(*rows.columns)
+    own, backward = F.col("Alarmcode") == code, F.col("TimeOff") < F.col("TimeOn")
+    rows = (
+        drop_zero_alarms(al, code)
+        .withColumn("TimeOn", F.when(own, F.col("OldTimeOn")).otherwise(F.col("NewTimeOn")))
+        .drop("NewTimeOn", "EffectiveAlarmTime", "Period 0(s)", "Period 1(s)")
+    )
+    columns = rows.columns
+    # The code's own alarms in time order with the reach of the earlier ones.  An alarm that ends
+    # before it starts is asked at its end: it goes when one alarm of the code covers it.
+    odd = ~own & backward
+    asked = rows.where(own | odd).withColumns(
+        {"_at": F.when(own, F.col("TimeOn")).otherwise(F.col("TimeOff")), "_end": F.when(own, F.col("TimeOff")), "_own": own}
+    )
+    scanned = running_max_before(asked, STATION_KEYS, ["_at", "_own", "_end", "ID"], "_end", "_reach", width)
+    kept = scanned.where(own | F.col("_reach").isNull() | (F.col("_reach") <= F.col("TimeOn"))).select(*columns)
+
+    alarm, stretch = F.struct(*columns), F.struct("_from", "_to")
+    begun = (
+        rows.where(~own & ~backward)
+        .select(*STATION_KEYS, F.col("TimeOn").alias("_at"), F.lit(1).alias("_kind"), alarm.alias("_alarm"))
+        .unionByName(
+            free_time(rows, scanned, code).select(
+                *STATION_KEYS, F.col("_from").alias("_at"), F.lit(0).alias("_kind"), stretch.alias("_stretch")
+            ),
+            allowMissingColumns=True,
+        )
+    )
+    met = last_before(
+        begun, STATION_KEYS, ["_at", "_kind"], {"_last_alarm": F.col("_alarm"), "_last_stretch": F.col("_stretch")}, width
+    ).select(
+        "_at",
+        F.coalesce("_alarm", "_last_alarm").alias("_alarm"),
+        F.coalesce("_stretch", "_last_stretch").alias("_stretch"),
     )
-    # An alarm that ends before it starts has no segment: it stays unless one alarm of the code covers it.
-    cover = by_slot(
-        rows.where(own & ~backward).select(*STATION_KEYS, F.col("TimeOn").alias("_on"), F.col("TimeOff").alias("_off")),
-        "_on", "_off", width,
+    end = F.least(F.col("_alarm.TimeOff"), F.col("_stretch._to"))
+    moved = {"TimeOn": F.col("_at"), "TimeOff": end}
+    both = F.col("_alarm").isNotNull() & F.col("_stretch").isNotNull()
+    segments = met.where(both & (F.col("_at") < end)).select(
+        *[moved.get(c, F.col(f"_alarm.`{c}`")).alias(c) for c in columns]
     )
-    odd = rows.where(~own & backward).withColumn("_slot", tg.slot(F.col("TimeOff"), width))
-    match = [odd[k] == cover[k] for k in (*STATION_KEYS, "_slot")]
-    kept_odd = odd.join(
-        cover, [*match, F.col("_on") < F.col("TimeOff"), F.col("_off") > F.col("TimeOn")], "left_anti"
-    ).select(*rows.columns)
-    return segments.unionByName(rows.where(own)).unionByName(kept_odd)
+    return segments.unionByName(kept)
 
 
 # ------------------------------------------------------------ grid intervals

@@ -47,6 +47,36 @@ def running_max_before(
     )
 
 
+def last_before(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    picks: dict[str, Column],
+    width: timedelta = tg.ONE_HOUR,
+) -> DataFrame:
+    """Add for every pick its last known value among earlier rows of the key.
+
+    A backward as-of join once two kinds of rows are put together: a pick is NULL on
+    rows of the other kind.  ``order`` starts with the time that defines the blocks.
+    """
+    rows = df.withColumns({BLOCK: tg.slot(F.col(order[0]), width), **{f"_pick_{n}": c for n, c in picks.items()}})
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(*order)
+    ends = rows.groupBy(*keys, BLOCK).agg(
+        *[F.max_by(f"_pick_{n}", F.when(F.col(f"_pick_{n}").isNotNull(), place)).alias(n) for n in picks]
+    )
+    carry = ends.select(*keys, BLOCK, *[F.last(n, ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in picks])
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = {
+        n: F.coalesce(F.last(f"_pick_{n}", ignorenulls=True).over(inside), F.col(f"_carry_{n}")) for n in picks
+    }
+    return (
+        rows.join(carry, [*keys, BLOCK])
+        .withColumns(found)
+        .drop(BLOCK, *[f"_pick_{n}" for n in picks], *[f"_carry_{n}" for n in picks])
+    )
+
+
 def first_at_or_after(
     asks: DataFrame,
     ask_time: Column,

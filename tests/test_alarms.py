@@ -137,7 +137,7 @@ def test_subtract_against_a_loop(spark, seed):
         "period string, ID long, TimeOn timestamp_ntz, TimeOff timestamp_ntz, StationNr long, Alarmcode int, `Error Type` int, "
         "OldTimeOn timestamp_ntz, OldTimeOff timestamp_ntz, `UK Text` string",
     )
-    got = rows(A.subtract_alarms(A.cascade(df), width=timedelta(hours=2)), "ID", "TimeOn", "TimeOff")
+    got = rows(A.subtract_alarms(A.cascade(df), width=timedelta(minutes=20 * seed)), "ID", "TimeOn", "TimeOff")
     assert got == loop_subtract(log)
     # After the second cascade no station has more alarm time in an interval than the interval holds.
     cells = A.alarm_by_interval(A.to_intervals(A.cascade(A.subtract_alarms(A.cascade(df))).where("EffectiveAlarmTime <> 0")))
