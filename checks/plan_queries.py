@@ -109,7 +109,7 @@ _WEEK_ROWS = f"(SELECT * FROM ({FULL_SQL}) a WHERE \"TimeStamp\" BETWEEN TIMESTA
 def weekly_top(spark, d):
     """Calculate, store, and report a week from the stored month."""
     path = fresh_folder(spark)
-    writers.write_partitioned(month(spark, d), path)
+    writers.write_results(month(spark, d), path)
     top = weekly(spark, path, ["2024-01"], *WEEK, first_station=0)[1]
     return top.select("StationId", F.format_number("lost_mwh", 2).alias("lost_mwh"))
 

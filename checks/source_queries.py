@@ -193,9 +193,10 @@ def lookup_tables(spark, d):
 
 @query("adjustment_json", "SELECT id, alarm_code, station_nr, time_on, time_off, notes FROM v_adjust", ["v_adjust"])
 def adjustment_json(spark, d):
-    """One document per alarm number, each a list of its corrections."""
+    """Documents of at most 64 corrections each, by place in the list."""
     entry = F.struct(*[c for c in LIST if c != "pos"])
-    documents = v_adjust(spark, d).groupBy("id").agg(F.collect_list(entry).alias("adjustments")).select("adjustments")
+    part = V.div(F.col("pos"), 64).alias("part")
+    documents = v_adjust(spark, d).groupBy(part).agg(F.collect_list(entry).alias("adjustments")).select("adjustments")
     path = fresh_folder(spark)
     documents.write.json(path)
     return readers.read_adjustments(spark, path, one_document=False).select(
@@ -227,9 +228,17 @@ def stored_results(spark, d):
     return path
 
 
-@query("write_results", f"SELECT {_RESULT} FROM v_result", ["v_result"])
+@query(
+    "write_results",
+    'SELECT period, "StationId", "TimeStamp", round(CAST(CAST("EL" AS FLOAT) AS DOUBLE), 2) AS "EL", round(CAST(CAST("ELX" AS FLOAT) AS DOUBLE), 2) AS "ELX" FROM v_result',
+    ["v_result"],
+)
 def write_results(spark, d):
-    return spark.read.parquet(stored_results(spark, d)).select(*_RESULT_COLS)
+    """Stored as 4-byte floats; two decimals survive."""
+    path = fresh_folder(spark)
+    writers.write_results(V.v_result(spark, d).select("period", "StationId", "TimeStamp", "EL", "ELX"), path)
+    back = [F.round(F.col(c).cast("double"), 2).alias(c) for c in ("EL", "ELX")]
+    return readers.read_results(spark, path).select("period", "StationId", "TimeStamp", *back)
 
 
 @query("read_results_range", f"SELECT {_RESULT} FROM v_result WHERE period BETWEEN '1997-01' AND '1997-06'", ["v_result"])

@@ -49,7 +49,7 @@ def grouped_results(res: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def numbered(grouped: DataFrame) -> DataFrame:
-    """Row number from 1 in station order; a month has one row per station."""
+    """Row number from 1 in station order; a window holds one row per station of the farm."""
     by = [c for c in ("period",) if c in grouped.columns]
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("StationId")
     return grouped.select(F.row_number().over(order).alias("row"), "*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from gustledger.functions.numbers import decimal_comma
+from gustledger.functions.numbers import decimal_comma, narrow_floats
 
 
 def write_partitioned(df: DataFrame, path: str, by: str = "period", form: str = "parquet") -> None:
@@ -19,6 +19,11 @@ def write_partitioned(df: DataFrame, path: str, by: str = "period", form: str =
     writer.partitionBy(by).format(form).save(path)
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Store rounded results by month, numbers as 4-byte floats."""
+    write_partitioned(narrow_floats(results), path)
+
+
 def append_state(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("append").parquet(path)
 
