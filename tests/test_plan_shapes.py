@@ -82,12 +82,14 @@ def test_loss_accounting_shuffles_the_wide_frame_once(large):
     assert exchanges(monthly.assess(cells, curve, stat)) == ["period, _slice"]
 
 
-def test_imputation_shuffles_once(large):
-    df = large.range(100).select(
-        month(), (F.col("id") % 10).alias("StationId"), tg.ntz("2024-01-01 00:00:00").alias("TimeStamp"),
-        F.lit(1.0).alias("wtc_kWG1TotE_accum"), F.lit(1.0).alias("wtc_kWG1TotE_endvalue"), F.lit(0.0).alias("EffectiveAlarmTime"),
-    )
-    assert exchanges(E.impute_energy(df)) == ["period, StationId"]
+def test_imputation_shuffles_once(large, tmp_path):
+    path = str(tmp_path / "cells")
+    number = (F.col("id") % 50).cast("double")
+    large.range(100).select(
+        month(), (F.col("id") % 10).alias("StationId"), F.timestamp_add("MINUTE", F.col("id") * 10, tg.ntz("2024-01-01 00:00:00")).alias("TimeStamp"),
+        *[number.alias(c) for c in ("wtc_kWG1TotE_accum", "wtc_kWG1TotE_endvalue", "EffectiveAlarmTime")],
+    ).write.parquet(path)
+    assert exchanges(E.impute_energy(large.read.parquet(path))) == ["period, StationId"]
 
 
 def test_scan_never_shuffles_by_month_alone(large):
