@@ -101,7 +101,8 @@ def rare_groups(items: DataFrame, frequency: DataFrame, terms: int, id_col: str
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: id, n_words, n_hit (words inside an occurring window), n_items and the sorted ``items``.
+    """Per document: id, n_words, n_hit (words inside an occurring window), n_items and the sorted ``items``; row_hash tells
+    rows of one id apart.
 
     One pass over the collection counts the test terms, one looks the windows up. Documents move
     once, as counts and matches.
@@ -124,5 +125,12 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str =
         F.sum(F.col("term").isNull().cast("int")).alias("_copies"), spans.alias("_spans"), F.sort_array(F.collect_set("item")).alias("items")
     )
     covered = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
-    out = per_row.select(F.col("_id").alias(id_col), "n_words", F.size(covered).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
+    out = per_row.select(F.col("_id").alias(id_col), "n_words", F.size(covered).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.col("_row").alias("row_hash"), F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
     return out.drop("_copy")
+
+
+def clean(docs: DataFrame, items: DataFrame, n: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of which less than ``percent`` of the words lie in occurring windows."""
+    found = contamination(docs, items, n, id_col, text_col).where((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+    gone = found.select(F.col(id_col).alias("_gone"), "row_hash").distinct()
+    return docs.join(gone, (F.xxhash64(docs[id_col], docs[text_col]) == gone["row_hash"]) & docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

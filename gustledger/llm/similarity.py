@@ -209,5 +209,5 @@ def similar_documents(docs: DataFrame, scratch: Scratch, n: int = 3, percent: in
 def keep_one(docs: DataFrame, scratch: Scratch, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which no similar one has a smaller id. Rows without id stay."""
     classes = similar_documents(docs, scratch, n, percent, id_col, text_col)
-    gone = scratch.store(classes.where("component <> id").select(F.col("id").alias(id_col)).distinct())
+    gone = scratch.result(classes.where("component <> id").select(F.col("id").alias(id_col)).distinct())
     return docs.join(gone, id_col, "left_anti")

@@ -137,14 +137,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(rows["_text"].combine_chunks().to_pylist(), rows["_y"].to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, score_col: str = "score", offending_col: str = "offending") -> DataFrame:
     """All columns of ``docs`` plus ``score`` (0 to 1) and ``offending``: the sentences at or over ``threshold``.
 
     ``offending`` lists start, end (code points, end exclusive) and probability in order of place.
     """
-    kept = [c for c in docs.columns if c not in ("score", "offending")]
+    new = StructType.fromDDL(f"`{score_col}` double, `{offending_col}` array<struct<start:int,end:int,p:double>>")
+    kept = [c for c in docs.columns if c not in new.names]
     frame = docs.select(*kept)
-    schema = StructType(frame.schema.fields + StructType.fromDDL("score double, offending array<struct<start:int,end:int,p:double>>").fields)
+    schema = StructType(frame.schema.fields + new.fields)
     column = kept.index(text_col)
     shared = frame.sparkSession.sparkContext.broadcast(model)
     spot = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -166,6 +167,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                     here[b.text[s]].append({"start": int(points[b.starts[s]] - zero), "end": int(points[b.ends[s]] - zero), "p": float(1 / (1 + np.exp(-odds[s])))})
                 places += here
             values = np.clip(np.concatenate(scores), 0, 1) if scores else np.zeros(0)
-            yield pa.record_batch([*batch.columns, pa.array(values), pa.array(places, spot)], names=[*kept, "score", "offending"])
+            yield pa.record_batch([*batch.columns, pa.array(values), pa.array(places, spot)], names=[*kept, *new.names])
 
     return frame.mapInArrow(scored, schema)
