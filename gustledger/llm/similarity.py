@@ -33,6 +33,7 @@ from gustledger.llm.components import components
 from gustledger.llm.scratch import Scratch
 
 HUB_KEYS = 4
+PARTS = 64
 
 
 def shingle_sets(block: W.Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +56,7 @@ def _needed(n: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
 def signatures(docs: DataFrame, order: sketch.Frequency, n: int, percent: int) -> DataFrame:
     """Per document: set size, 128-bit set fingerprint, prefix in order, hub keys, and how many rare shingles it has."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    schema = "id long, n long, f1 long, f2 long, rare long, prefix array<long>, keys array<long>"
+    schema = "id long, n long, f1 long, f2 long, rare long, prefix array<long>, keys array<long>, parts binary"
     seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, HUB_KEYS, dtype=np.uint64)
 
     def signed_rows(batches):
@@ -65,8 +66,8 @@ def signatures(docs: DataFrame, order: sketch.Frequency, n: int, percent: int) -
                 sets, first = shingle_sets(block, n)
                 size = np.diff(first)
                 text = np.repeat(np.arange(len(block)), size)
-                classes = shared.value(sets)
-                ranked = sets[np.lexsort((sets, classes, text))]
+                counts = shared.value(sets)
+                ranked = sets[np.lexsort((sets, counts, text))]
                 length = np.where(size > 0, size - _needed(size, percent, 100) + 1, 0)
                 rank = np.arange(len(sets)) - first[text]
                 keep = rank < length[text]
@@ -85,21 +86,44 @@ def signatures(docs: DataFrame, order: sketch.Frequency, n: int, percent: int) -
                 # Identical prefix and size, as a key.
                 sums = W.range_sums(prefix)
                 keys.append(W.range_hash(sums, cuts[:-1], cuts[1:]) + size.astype(np.uint64))
-                rare = np.bincount(text, classes == 0, len(block)).astype(np.int64)
+                # How many shingles fall into each of PARTS parts of the hash range.
+                parts = np.bincount(text * PARTS + (sets >> np.uint64(58)).astype(np.int64), minlength=len(block) * PARTS).astype("<u2" if size.max(initial=0) < 1 << 16 else "<u4")
+                width = parts.itemsize * PARTS
+                rare = np.bincount(text, counts <= shared.value.ordinary, len(block)).astype(np.int64)
                 yield pa.record_batch(
                     [
                         ids.slice(start, len(block)), pa.array(size.astype(np.int64)),
                         pa.array(W.signed(folded(sets, np.add))), pa.array(W.signed(folded(W.mix(sets), np.bitwise_xor))),
                         pa.array(rare), W.lists(W.signed(prefix), cuts),
                         W.lists(W.signed(np.stack(keys, 1).ravel()), np.arange(len(block) + 1) * len(keys)),
+                        pa.array([parts.tobytes()[i * width : (i + 1) * width] for i in range(len(block))], pa.binary()),
                     ],
-                    names=["id", "n", "f1", "f2", "rare", "prefix", "keys"],
+                    names=["id", "n", "f1", "f2", "rare", "prefix", "keys", "parts"],
                 )
                 start += len(block)
 
     return docs.mapInArrow(signed_rows, schema)
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Those pairs whose sets can overlap enough, part by part of the hash range."""
+    parts = nodes.select("id", "n", "parts")
+    both = pairs.join(parts.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a")), "a")
+    both = both.join(parts.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b")), "b")
+
+    def counts(column):
+        return [np.frombuffer(x.as_buffer(), "<u2" if len(x.as_buffer()) == 2 * PARTS else "<u4") for x in column]
+
+    def possible(batches):
+        for batch in batches:
+            if len(batch):
+                room = np.array([int(np.minimum(x, y).sum(dtype=np.int64)) for x, y in zip(counts(batch.column("parts_a")), counts(batch.column("parts_b")), strict=True)])
+                sizes = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * room >= percent * sizes))
+
+    return scratch.store(both.select("a", "b", "n_a", "n_b", "parts_a", "parts_b").mapInArrow(possible, "a long, b long"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
     """Those pairs ``a, b`` of nodes whose sets are similar enough. Only sets of nodes in pairs are moved."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -168,9 +192,9 @@ def _prefix_pairs(nodes: DataFrame, classes: DataFrame, scratch: Scratch, percen
     entries = scratch.store(entries.join(mixed, "token", "left_semi").drop("nodes"))
     left = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "pos")])
     right = entries.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "pos")])
-    # Overlap at least ceil(t / (1 + t) * (n_a + n_b)), at most the token itself and what follows it in both.
+    # Overlap at least t / (1 + t) * (n_a + n_b); at the first token that a pair shares, at most that one and what follows it in both.
     room = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * (room + F.least("pos_a", "pos_b")) >= percent * (F.col("n_a") + F.col("n_b")))
+    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
     met = scratch.store(left.join(right, "token").where(F.col("class_a") < F.col("class_b")).where(fits))
     side = postings.select("token", "class", "n", "pos", "id")
     a = side.select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "pos")], F.col("id").alias("a"))
@@ -190,16 +214,16 @@ def similar_documents(docs: DataFrame, scratch: Scratch, n: int = 3, percent: in
     order = sketch.frequency(texts, counted)
     signed = scratch.store(signatures(texts, order, n, percent))
     full = signed.where("n > 0 AND id IS NOT NULL")
-    nodes = full.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "rare", "prefix", "keys")).alias("s")).select("f1", "f2", "n", "s.*")
+    nodes = full.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "rare", "prefix", "keys", "parts")).alias("s")).select("f1", "f2", "n", "s.*")
     nodes = scratch.store(nodes)
     own = texts.where("id IS NOT NULL")
-    hub_links = _verified(scratch.store(_hub_pairs(nodes, scratch, percent)), own, scratch, n, percent)
+    hub_links = _verified(_possible(_hub_pairs(nodes, scratch, percent), nodes, scratch, percent), own, scratch, n, percent)
     # A document with several rows links the nodes of all its texts; the smallest id of a set stands for it.
     members = scratch.store(full.select("id", "f1", "f2", "n").join(nodes.select("f1", "f2", "n", F.col("id").alias("node")), ["f1", "f2", "n"]).select("id", "node"))
     same = members.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     links = hub_links.unionByName(same)
     classes = scratch.store(components(links, scratch))
-    more = _verified(scratch.store(_prefix_pairs(nodes, classes, scratch, percent)), own, scratch, n, percent)
+    more = _verified(_possible(_prefix_pairs(nodes, classes, scratch, percent), nodes, scratch, percent), own, scratch, n, percent)
     if not more.isEmpty():
         classes = scratch.store(components(links.unionByName(more), scratch))
     named = signed.select("id", "n").join(classes, signed["id"] == classes["node"], "left")

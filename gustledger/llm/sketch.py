@@ -77,18 +77,20 @@ def repeated(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarr
 
 
 class Frequency:
-    """Coarse frequency class of a value: 0 for ordinary ones, one more each time the count doubles."""
+    """Estimated count of a value, and whether it stands out from a mean cell."""
 
-    def __init__(self, classes: np.ndarray):
-        self.classes = classes
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        mean = counts.mean(dtype=np.float64)
+        self.ordinary = mean + 3 * np.sqrt(mean) + 1
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        (cell,) = rows_of(values, len(self.classes), 1)
-        return self.classes[cell]
+        (cell,) = rows_of(values, len(self.counts), 1)
+        return self.counts[cell]
 
 
 def frequency(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int = 1 << 22) -> Frequency:
-    """Frequency classes from a one-row sketch: class 0 up to four times the mean cell."""
+    """Counts from a one-row sketch."""
     part = width // SLICES
 
     def counted(batches):
@@ -110,5 +112,4 @@ def frequency(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndar
     total = np.zeros(width, np.uint32)
     for row in df.mapInArrow(counted, _SCHEMA).groupBy("slice").applyInArrow(merged, _SCHEMA).toLocalIterator():
         total[row["slice"] * part : (row["slice"] + 1) * part] = np.frombuffer(zlib.decompress(row["cells"]), "<u4")
-    ordinary = max(1, int(4 * total.sum(dtype=np.uint64) / width))
-    return Frequency(np.ceil(np.log2(total // ordinary + 1.0)).astype(np.uint8))
+    return Frequency(total)
