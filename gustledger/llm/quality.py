@@ -25,7 +25,7 @@ from gustledger.llm import words as W
 #: Cells of the hashed multinomials, the share of the whole collection mixed into the trusted one, and the threshold.
 CELLS = 1 << 18
 SMOOTHING = 0.05
-THRESHOLD = -1.0
+THRESHOLD = -0.12
 _SLICES = 32
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True

@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustledger.llm import bpe, decontamination, pii, quality, similarity, substrings, toxicity
+from gustledger.llm import bpe, decontamination, language, licenses, pii, quality, sharding, similarity, substrings, toxicity
 from gustledger.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Most bytes of text in a shard.
+SHARD_BYTES = 16 << 20
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -41,6 +44,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", joined.alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        placed = sharding.shards(table(spark, sf_dir, "documents"), scratch, SHARD_BYTES)
+        return scratch.result(placed.withColumnRenamed("id", "doc_id"))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -63,6 +73,14 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scratch.result(found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")))
 
 
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
+    with Scratch(spark) as scratch:
+        scored = language.score(table(spark, sf_dir, "documents"), ~held_out, scratch)
+        return scratch.result(scored.withColumnRenamed("id", "doc_id").withColumn("held_out", held_out))
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,6 +110,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.col("llr") >= quality.THRESHOLD)).alias("kept"), "llr")
 
 
+@query
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(listed, ",").alias("spans"), F.coalesce(F.array_max(F.transform("licenses", lambda m: m["coverage"])), F.lit(0.0)).alias("coverage"))
+
+
 ORACLES["op1_decontamination"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
