@@ -131,7 +131,12 @@ def matches(index: Index, text: np.ndarray, hashes: np.ndarray, place: np.ndarra
             if got >= least * len(words):
                 found.add((first, end, template, got / len(words)))
         out += found
-    return sorted(out)
+    # Of matches that overlap, the one with the largest coverage stays, then the longest.
+    best = []
+    for match in sorted(out, key=lambda m: (-m[3], m[0] - m[1], m)):
+        if all(match[1] <= m[0] or m[1] <= match[0] for m in best):
+            best.append(match)
+    return sorted(best)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text", least: float = LEAST) -> DataFrame:
