@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 from gustledger.llm import words as W
 
 #: Labelled documents the model is fitted on, those with the smallest hash of their id.
-SAMPLE = 12_000
+SAMPLE = 10_000
 #: Words in fewer documents of the sample are not used.
 LEAST_DOCS = 8
 _END = np.zeros(256, bool)
@@ -61,41 +61,49 @@ class Model:
 
     def sentences(self, b: Bags) -> np.ndarray:
         """Log-odds of each sentence."""
-        at = np.minimum(np.searchsorted(self.hashes, b.hashes), max(len(self.hashes) - 1, 0))
-        known = self.hashes[at] == b.hashes if len(self.hashes) else np.zeros(len(b.hashes), bool)
-        weights = self.weights[at[known]] if len(self.hashes) else np.zeros(0)
-        return self.bias + np.bincount(b.sentence[known], weights, len(b.starts))
+        if not len(self.hashes):
+            return np.full(len(b.starts), self.bias)
+        at = np.minimum(np.searchsorted(self.hashes, b.hashes), len(self.hashes) - 1)
+        known = self.hashes[at] == b.hashes
+        # As in training, a word counts once in a sentence.
+        pairs = np.unique(b.sentence[known] * len(self.hashes) + at[known])
+        return self.bias + np.bincount(pairs // len(self.hashes), self.weights[pairs % len(self.hashes)], len(b.starts))
 
     def documents(self, b: Bags, odds: np.ndarray, texts: int) -> np.ndarray:
         clean = -np.logaddexp(0, odds)
         return -np.expm1(self.log_not_leak + np.bincount(b.text, clean, texts))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 200, rate: float = 0.1, l1: float = 3e-5) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 300, rate: float = 0.1, l1: float = 1e-5) -> Model:
     """Maximum likelihood with a lasso on the words, by Adam with a proximal step, over the whole sample each time."""
     sentences, docs = 0, 0
     hashes, sentence, text = [], [], []
-    for block in W.blocks(pa.array(texts, pa.large_string())):
+    for block in W.blocks(texts):
         b = bags(block)
-        hashes.append(b.hashes)
-        sentence.append(b.sentence + sentences)
-        text.append(b.text + docs)
+        # Each word once per sentence.
+        order = np.lexsort((b.hashes, b.sentence))
+        h, at = b.hashes[order], b.sentence[order].astype(np.int32)
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
+        hashes.append(h[fresh])
+        sentence.append(at[fresh] + np.int32(sentences))
+        text.append((b.text + docs).astype(np.int32))
         sentences += len(b.starts)
         docs += len(block)
     if not docs or not sentences:
         share = min(max(float(np.mean(labels)) if len(labels) else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0, float(np.log1p(-share)))
     hashes, sentence, text = map(np.concatenate, (hashes, sentence, text))
-    order = np.lexsort((sentence, hashes))
+    order = np.argsort(hashes, kind="stable")  # sentences, and so documents, stay in order within a word
     hashes, sentence = hashes[order], sentence[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (sentence[1:] != sentence[:-1])
-    hashes, sentence = hashes[fresh], sentence[fresh]
-    new_doc = np.ones(len(hashes), bool)
-    new_doc[1:] = (hashes[1:] != hashes[:-1]) | (text[sentence[1:]] != text[sentence[:-1]])
-    vocabulary, word = np.unique(hashes, return_inverse=True)
+    new_word = np.ones(len(hashes), bool)
+    new_word[1:] = hashes[1:] != hashes[:-1]
+    new_doc = new_word.copy()
+    new_doc[1:] |= text[sentence[1:]] != text[sentence[:-1]]
+    word = np.cumsum(new_word, dtype=np.int32) - 1
+    vocabulary = hashes[new_word]
     kept = np.bincount(word, new_doc, len(vocabulary)) >= LEAST_DOCS
-    number = np.cumsum(kept) - 1
+    number = np.cumsum(kept, dtype=np.int32) - 1
     use = kept[word]
     word, sentence, vocabulary = number[word[use]], sentence[use], vocabulary[kept]
     y = labels.astype(float)
@@ -133,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").toArrow()
-    rows = rows.sort_by("_id").combine_chunks()
-    return fit(rows["_text"].combine_chunks().to_pylist(), rows["_y"].to_numpy().astype(np.float64))
+    rows = rows.sort_by("_id")
+    return fit(rows["_text"].combine_chunks(), rows["_y"].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, score_col: str = "score", offending_col: str = "offending") -> DataFrame:
