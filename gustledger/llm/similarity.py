@@ -171,7 +171,7 @@ def _prefix_pairs(nodes: DataFrame, classes: DataFrame, scratch: Scratch, percen
     with equal size and position count as one entry, so a class of many copies is paired with others
     once and never with itself.
     """
-    tokens = sketch.repeated(nodes.select("prefix"), lambda batch: iter([np.asarray(batch.column(0).flatten()).view(np.uint64)]), 1 << 25, 2)
+    tokens = sketch.repeated(nodes.select("prefix"), lambda batch: iter([np.asarray(batch.column(0).flatten()).view(np.uint64)]), 1 << 26, 3)
     shared = nodes.sparkSession.sparkContext.broadcast(tokens)
 
     def listed(batches):
