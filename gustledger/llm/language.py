@@ -32,6 +32,8 @@ from gustledger.llm.scratch import Scratch
 #: Words with outputs of their own, words of a class, words whose counts every task holds; the bounds of the training sample.
 HEAD, GROUP, HELD = 4096, 64, 500_000
 SAMPLE_DOCS, SAMPLE_TOKENS = 800, 400_000
+#: A small sample is gone through more often.
+LEAST_UPDATES = 300
 HIDDEN, LANES, STEPS = 24, 256, 32
 #: Length bucket (4) x ending (2) x first letter beyond ASCII (8).
 FORMS = 64
@@ -218,7 +220,9 @@ def _grow(model: Model, ids: np.ndarray, first: np.ndarray, rounds: int = 3, lan
     inputs, target, text, starts = _packed(model, ids, first, lanes)
     m = {k: np.zeros_like(w) for k, w in p.items()}
     v = {k: np.zeros_like(w) for k, w in p.items()}
-    step, total = 0, rounds * -(-len(inputs) // STEPS)
+    per_round = -(-len(inputs) // STEPS)
+    rounds = max(rounds, -(-LEAST_UPDATES // per_round))
+    step, total = 0, rounds * per_round
     for _ in range(rounds):
         h = np.zeros((inputs.shape[1], n), np.float32)
         for low in range(0, len(inputs), STEPS):

@@ -27,6 +27,8 @@ from pyspark.sql.types import StructType
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with a digit or an @ that the network is trained on, those with the smallest hash of their id.
 SAMPLE = 2_000
+#: Few windows are gone through more often.
+LEAST_UPDATES = 400
 MARGIN, WINDOW, STRIDE = 24, 96, 48
 #: Mean tag probability from which a span is added.
 SURE = 0.8
@@ -187,7 +189,9 @@ def fit(windows: np.ndarray, tags: np.ndarray, rounds: int = 6, batch: int = 64,
     tagger = Tagger(p)
     m = {k: np.zeros_like(w) for k, w in p.items()}
     v = {k: np.zeros_like(w) for k, w in p.items()}
-    step, total = 0, rounds * -(-len(windows) // batch)
+    per_round = -(-len(windows) // batch)
+    rounds = max(rounds, -(-LEAST_UPDATES // per_round))
+    step, total = 0, rounds * per_round
     for _ in range(rounds):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):
