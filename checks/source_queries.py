@@ -126,7 +126,7 @@ def strip_blanks(spark, d):
 
 @query(
     "load_all",
-    """SELECT 'sum' AS kind, count(*) AS row_count, count(DISTINCT "StationNr") AS stations FROM v_loaded WHERE "Alarmcode" IS NOT NULL AND "StationNr" BETWEEN 2307405 AND 2307535
+    """SELECT 'sum' AS kind, count(*) AS row_count, count(DISTINCT "StationNr") AS stations FROM v_loaded WHERE "Alarmcode" IS NOT NULL
   UNION ALL SELECT 'met', count(DISTINCT "TimeStamp"), CAST(1 AS BIGINT) FROM v_mast
   UNION ALL SELECT 'grd', count(*), count(DISTINCT "StationId") FROM v_grd UNION ALL SELECT 'cnt', count(*), count(DISTINCT "StationId") FROM v_cnt
   UNION ALL SELECT 'tur', count(*), count(DISTINCT "StationId") FROM v_tur UNION ALL SELECT 'din', count(*), count(DISTINCT "StationId") FROM v_din
@@ -143,7 +143,7 @@ def load_all(spark, d):
         for c in S.SIGNAL_COLUMNS["met"]
     ])
     store(stamped(mast), root, "met")
-    frames = readers.load_all(spark, root, ["2024-01"])
+    frames = readers.load_all(spark, root, ["2024-01"], first_station=0, last_station=10**9)
     out = None
     for kind, frame in frames.items():
         station = "StationNr" if kind == "sum" else "StationId"

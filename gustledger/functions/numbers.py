@@ -49,11 +49,18 @@ def format_numbers(df: DataFrame, digits: int = 2, skip=()) -> DataFrame:
     )
 
 
+def plain_digits(column: Column) -> Column:
+    """Shortest text of a number without an exponent, with one decimal at least. Beyond 20 digits on either side the exponent stays."""
+    text = column.cast("string")
+    spread = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(text.contains("E"), F.coalesce(spread, text)).otherwise(text)
+
+
 def decimal_comma(df: DataFrame, skip=()) -> DataFrame:
     """Floating-point columns as text with a decimal comma."""
     return df.select(
         *[
-            F.translate(F.col(f"`{n}`").cast("string"), ".", ",").alias(n)
+            F.translate(plain_digits(F.col(f"`{n}`")), ".", ",").alias(n)
             if kind in ("double", "float") and n not in skip
             else F.col(f"`{n}`")
             for n, kind in df.dtypes

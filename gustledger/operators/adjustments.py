@@ -207,7 +207,8 @@ def edit_adjustments(adj: DataFrame, edits: DataFrame, now: str) -> tuple[DataFr
     """
     asked = edits.select("id", *[F.col(c).alias(f"_{c}") for c in ("time_on", "time_off", "notes")])
     first = adj.groupBy("id").agg(F.min("pos").alias("_target"))
-    paired = adj.join(first, "id").join(asked.withColumn("_asked", F.lit(True)), "id", "left")
+    # Entries without an id have no target; they stay as they are.
+    paired = adj.join(first, "id", "left").join(asked.withColumn("_asked", F.lit(True)), "id", "left")
     hit = F.col("_asked").isNotNull() & (F.col("pos") == F.col("_target"))
 
     new_on, new_off = strict_time("_time_on"), strict_time("_time_off")

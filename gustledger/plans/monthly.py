@@ -15,7 +15,7 @@ from gustledger.operators import alarms as A
 from gustledger.operators import energy as E
 from gustledger.operators import grid as G
 from gustledger.operators import losses as L
-from gustledger.plans.settle import broadcast_if_small, settle
+from gustledger.plans.settle import settle
 from gustledger.sources import schemas as S
 
 
@@ -49,10 +49,8 @@ def prepare_alarms(al: DataFrame, codes: DataFrame, bounds: DataFrame, productio
     """Alarms with open ends closed and times limited to the month; raw times in ``OldTime*``."""
     raw = al.withColumn("OldTimeOn", F.col("TimeOn")).withColumn("OldTimeOff", F.col("TimeOff"))
     flagged = A.flag_stopping(raw, codes)
-    # Usually few stations have an open alarm, and only their production needs to be sorted.
-    wanted = broadcast_if_small(A.open_stations(flagged))
-    if wanted is not None:
-        production = production.join(wanted, ["period", "StationId"], "left_semi")
+    # Only the production of stations with an open alarm needs to be sorted. Spark picks the join.
+    production = production.join(A.open_stations(flagged), ["period", "StationId"], "left_semi")
     ended = A.impute_end_from_production(flagged, production, step)
     return A.clamp_alarms(ended, bounds, step)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,11 +22,3 @@ def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder once, for a frame that is read several times."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame | None:
-    """The frame marked for broadcast when it has at most ``rows`` rows, else None.
-
-    Counts with a limit, so the check itself stays cheap on a large frame.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None

@@ -85,11 +85,14 @@ def pivot_met(
     )
 
 
-def load_all(spark: SparkSession, root: str, periods: list[str] | None = None, masts=S.MASTS) -> dict[str, DataFrame]:
-    """The seven input tables of the months, as lazy DataFrames."""
+def load_all(
+    spark: SparkSession, root: str, periods: list[str] | None = None, masts=S.MASTS,
+    first_station: int = S.FIRST_STATION, last_station: int = S.LAST_STATION,
+) -> dict[str, DataFrame]:
+    """The seven input tables of the months, as lazy DataFrames; alarms of the given stations."""
     frames = {k: load_signal(read_signal(spark, root, k, periods), k) for k in ("tur", "cnt", "grd", "din", "flg")}
     frames["met"] = pivot_met(load_signal(read_signal(spark, root, "met", periods), "met"), masts)
-    frames["sum"] = load_alarms(read_signal(spark, root, "sum", periods))
+    frames["sum"] = load_alarms(read_signal(spark, root, "sum", periods), first_station, last_station)
     return frames
 
 
@@ -109,8 +112,9 @@ def alarm_code_dim(raw: DataFrame, stopping_only: bool = False, order: str | Non
 
 
 def read_alarm_codes(spark: SparkSession, path: str, stopping_only: bool = False) -> DataFrame:
+    """Alarm codes of a file; of a code listed twice the first line counts."""
     raw = spark.read.schema(S.CODE_SCHEMA).option("header", True).csv(path)
-    return alarm_code_dim(raw, stopping_only)
+    return alarm_code_dim(raw.withColumn("_line", F.monotonically_increasing_id()), stopping_only, order="_line")
 
 
 def read_adjustments(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
@@ -119,9 +123,9 @@ def read_adjustments(spark: SparkSession, path: str, one_document: bool = True)
     A file holds one document, or with ``one_document=False`` one document per line.
     """
     document = spark.read.schema(S.ADJUSTMENT_DOCUMENT).option("multiLine", one_document).json(path)
-    return document.select(F.posexplode("adjustments").alias("pos", "entry")).select(
-        F.col("pos").cast("long").alias("pos"), "entry.*"
-    )
+    entries = document.select(F.posexplode("adjustments").alias("_at", "entry"))
+    # Grows along the lists and from one document to the next, so the last entry of an id is the last one read.
+    return entries.select(F.monotonically_increasing_id().alias("pos"), "entry.*")
 
 
 def power_curve(raw: DataFrame) -> DataFrame:

@@ -29,11 +29,14 @@ def append_state(metadata: DataFrame, path: str) -> None:
 
 
 def write_grouped(numbered: DataFrame, path: str) -> None:
-    """Monthly table as text with a decimal comma, under a column of row numbers."""
-    decimal_comma(numbered).write.mode("overwrite").option("header", True).csv(path)
+    """Monthly table as text with a decimal comma, under a column of row numbers; other months stay."""
+    write_partitioned(decimal_comma(numbered), path, form="csv")
 
 
 def write_report(issues: DataFrame, summary: DataFrame, path: str) -> None:
-    """Issues and their summary as two JSON folders."""
-    issues.write.mode("overwrite").json(f"{path}/issues")
-    summary.write.mode("overwrite").json(f"{path}/summary")
+    """Issues and their summary as two JSON folders; months that the report does not cover stay."""
+    for part, name in ((issues, "issues"), (summary, "summary")):
+        if "period" in part.columns:
+            write_partitioned(part, f"{path}/{name}", form="json")
+        else:
+            part.write.mode("overwrite").json(f"{path}/{name}")
