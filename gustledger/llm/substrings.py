@@ -92,7 +92,21 @@ def remove_repeated(docs: DataFrame, scratch: Scratch, n: int = 50, id_col: str
     new = StructType.fromDDL(f"n_words long, n_removed long, `{kept_col}` string")
     kept = [c for c in docs.columns if c not in new.names]
     frame = docs.select(*kept, F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_key"), F.xxhash64(id_col, text_col).alias("_hash"))
-    joined = frame.join(gone, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left").select(*kept, "_text", "_at")
+    # Only texts that may lose words move to meet their places; a filter of their keys lets none of them slip.
+    key = lambda i, row: W.mix(W.mix(np.asarray(i).view(np.uint64)) ^ np.asarray(row).view(np.uint64))
+    losers = docs.sparkSession.sparkContext.broadcast(sketch.repeated(gone.select("_id", "_row"), lambda batch: iter([np.repeat(key(batch.column(0), batch.column(1)), 2)]), 1 << 25))
+
+    def among(wanted: bool):
+        def some(batches):
+            for batch in batches:
+                ids, hashes = batch.column(len(kept) + 1), batch.column(len(kept) + 2)
+                keep = losers.value(key(ids.fill_null(0), hashes)) & np.asarray(ids.is_valid())
+                yield batch.filter(pa.array(keep == wanted))
+
+        return frame.mapInArrow(some, frame.schema)
+
+    touched = among(True).join(gone, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left").select(*kept, "_text", "_at")
+    joined = touched.unionByName(among(False).select(*kept, "_text", F.lit(None).cast("array<int>").alias("_at")))
     schema = StructType(docs.select(*kept).schema.fields + new.fields)
 
     def cut(batches):
