@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gustledger.llm import sketch
 from gustledger.llm import words as W
 
 #: Cells of the hashed multinomials, the share of the whole collection mixed into the trusted one, and the threshold.
@@ -77,11 +78,24 @@ def statistics(block: W.Block) -> dict[str, np.ndarray]:
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> np.ndarray:
     """``log(p_trusted / p_raw)`` of every cell. ``trusted`` lists the ids of trusted documents.
 
-    Documents move once, to meet the trusted ids. A partition sends its counts cut into slices, and
-    each slice is summed by one task; ``8 * cells`` bytes reach the driver.
+    Every document is counted where it is read. Only those that a filter of the trusted ids lets
+    through move, to meet the ids; the filter has a fixed number of cells and misses none. The join is
+    a merge at every size, since the ids grow with the documents. A partition sends its counts cut
+    into slices, and each slice is summed by one task; ``8 * cells`` bytes reach the driver.
     """
-    ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().withColumn("_good", F.lit(True))
-    frame = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(ids, F.col("_key") == F.col("_id"), "left").select("_text", F.coalesce("_good", F.lit(False)).alias("_good"))
+    ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    frame = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col).cast("string")).alias("_hash"))
+    known = frame.sparkSession.sparkContext.broadcast(
+        sketch.members(ids.select(F.xxhash64(F.col("_id").cast("string"))), lambda batch: np.asarray(batch.column(0)).view(np.uint64))
+    )
+
+    def perhaps(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(known.value(np.asarray(batch.column(2)).view(np.uint64))))
+
+    met = frame.mapInArrow(perhaps, frame.schema).join(ids.hint("merge"), F.col("_key") == F.col("_id"), "left_semi")
+    # Every document once for the whole collection, and the trusted ones once more.
+    frame = frame.select("_text", F.lit(False).alias("_good")).unionByName(met.select("_text", F.lit(True).alias("_good")))
     part = cells // _SLICES
 
     def counted(batches):
@@ -92,8 +106,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
             for block in W.blocks(batch.column(0)):
                 cell, text = ngram_cells(W.words(block, W.BLANKS, W.LOWER), cells)
                 cell = cell.astype(np.int64)
-                counts[1] += np.bincount(cell, minlength=cells)
-                counts[0] += np.bincount(cell[good[start : start + len(block)][text]], minlength=cells)
+                trusted_here = good[start : start + len(block)][text]
+                counts[0] += np.bincount(cell[trusted_here], minlength=cells)
+                counts[1] += np.bincount(cell[~trusted_here], minlength=cells)
                 start += len(block)
         if counts.any():
             blobs = [zlib.compress(counts[:, s * part : (s + 1) * part].astype("<i8").tobytes(), 1) for s in range(_SLICES)]

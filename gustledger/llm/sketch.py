@@ -76,6 +76,11 @@ def repeated(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarr
     return Repeated(bits, width, rows)
 
 
+def members(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], width: int = 1 << 25, rows: int = 2) -> Repeated:
+    """Tells which values may be among those of ``df``; none that is among them is missed."""
+    return repeated(df, lambda batch: iter([np.repeat(values(batch), 2)]), width, rows)
+
+
 class Frequency:
     """Estimated count of a value, and whether it stands out from a mean cell."""
 
