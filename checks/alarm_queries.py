@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks import views as V
 from checks.registry import query, view
 from gustledger.functions import timegrid as tg
+from gustledger.operators import adjustments as J
 from gustledger.operators import alarms as A
 from gustledger.operators import energy as E
 from gustledger.operators import grid as G
@@ -134,6 +135,36 @@ def first_production_after(spark, d):
     return A.impute_end_from_production(flagged, production(spark, d)).select(*ALARM_COLS)
 
 
+_CLOSED = """FROM v_alarm a JOIN v_ended e USING ("ID") WHERE a."TimeOff" IS NULL AND a."Alarmcode" IN (SELECT "Alarmcode" FROM v_stop)"""
+
+
+@query(
+    "imputed_adjustments",
+    f"""SELECT "ID" AS id, a."Alarmcode" AS alarm_code, a."StationNr" AS station_nr, strftime(e."TimeOff", '%Y-%m-%d %H:%M:%S') AS time_off,
+  'Auto-imputed from production data' AS notes, "ID" % 2 = 0 AS stale {_CLOSED} AND e."TimeOff" IS NOT NULL""",
+    ["v_alarm", "v_ended", "v_stop"],
+)
+def imputed_adjustments(spark, d):
+    """Ends found by production enter the correction list; those of alarms that have got an end since are stale."""
+    al = V.v_alarm(spark, d)
+    requests = A.imputed_adjustments(A.flag_stopping(al, V.v_code(spark)), production(spark, d))
+    none = requests.select("pos", "id", "alarm_code", "station_nr", "time_on", "time_off", "notes", F.lit(None).cast("string").alias("last_updated")).where(F.lit(False))
+    listed = J.upsert_adjustments(none, requests, "2024-02-01T00:00:00")
+    since = al.withColumn("TimeOff", F.when(F.col("ID") % 2 == 0, F.coalesce("TimeOff", "TimeOn")).otherwise(F.col("TimeOff")))
+    stale = J.stale_adjustments(since, listed).withColumn("stale", F.lit(True))
+    return listed.join(stale, "id", "left").select("id", "alarm_code", "station_nr", "time_off", "notes", F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
+@query(
+    "left_open",
+    f"""SELECT "ID", a."StationNr", a."TimeOn", a."Alarmcode" {_CLOSED} AND e."TimeOff" IS NULL""",
+    ["v_alarm", "v_ended", "v_stop"],
+)
+def left_open(spark, d):
+    out = A.left_open(A.flag_stopping(V.v_alarm(spark, d), V.v_code(spark)), production(spark, d))
+    return out.select("ID", "StationNr", "TimeOn", "Alarmcode")
+
+
 CLAMP = """SELECT period, "ID", "StationNr",
     CASE WHEN stopping AND "TimeOn" < buffer THEN buffer ELSE "TimeOn" END AS "TimeOn", "TimeOff", "Alarmcode", "Parameter",
     "TimeOn" AS raw_on

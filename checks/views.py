@@ -263,10 +263,10 @@ view(
 
 
 def v_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_size").alias("Wind"), (F.col("p_size") * F.col("p_size")).alias("Power"))
+    return table(spark, sf_dir, "part").select((F.col("p_size") / 2.0).alias("Wind"), (F.col("p_size") * F.col("p_size")).alias("Power"))
 
 
-view("v_curve", 'SELECT DISTINCT p_size AS "Wind", p_size * p_size AS "Power" FROM part')
+view("v_curve", 'SELECT DISTINCT p_size / 2.0e0 AS "Wind", p_size * p_size AS "Power" FROM part')
 
 
 def v_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:

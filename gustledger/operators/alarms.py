@@ -102,6 +102,38 @@ def impute_end_from_production(al: DataFrame, production: DataFrame, step: timed
     return idle.unionByName(ended)
 
 
+#: Fixed value: the note of a correction that closes an alarm by production.
+IMPUTED_NOTE = "Auto-imputed from production data"
+
+
+def imputed_adjustments(al: DataFrame, production: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
+    """Requests for ``upsert_adjustments``: one per open stopping alarm that production ends.
+
+    Only the end and the note are set. Of an id that stands in the log more than once, the latest
+    end counts. Alarms that stay open give no request; ``left_open`` lists them.
+    """
+    ended = impute_end_from_production(al.where(open_stopping()), production, step).where(F.col("TimeOff").isNotNull())
+    latest = F.max_by(F.struct("Alarmcode", "StationNr", "TimeOff"), F.struct("TimeOff", "TimeOn", "Alarmcode", "StationNr"))
+    one = ended.where(F.col("ID").isNotNull()).groupBy("ID").agg(latest.alias("a"))
+    return one.select(
+        F.col("ID").alias("pos"),
+        F.col("ID").alias("id"),
+        F.col("a.Alarmcode").cast("long").alias("alarm_code"),
+        F.col("a.StationNr").cast("long").alias("station_nr"),
+        F.lit(None).cast("string").alias("time_on"),
+        F.substring(F.col("a.TimeOff").cast("string"), 1, 19).alias("time_off"),
+        F.lit(IMPUTED_NOTE).alias("notes"),
+        F.lit(False).alias("set_time_on"),
+        F.lit(True).alias("set_time_off"),
+        F.lit(True).alias("set_notes"),
+    )
+
+
+def left_open(al: DataFrame, production: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
+    """Open stopping alarms without later production, which last to the end of the month."""
+    return impute_end_from_production(al.where(open_stopping()), production, step).where(F.col("TimeOff").isNull())
+
+
 def open_stations(al: DataFrame) -> DataFrame:
     """Stations with an open stopping alarm, per month."""
     return al.where(open_stopping()).select("period", F.col("StationNr").alias("StationId")).distinct()

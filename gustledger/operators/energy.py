@@ -172,10 +172,21 @@ def potential_energy(res: DataFrame, total: int = S.TURBINES, loss: float = 0.08
     )
 
 
+#: Winds of curve knots, in metres per second, that are taken for real; a knot beyond is refused.
+CURVE_RANGE = 200
+
+
 def curve_cells(curve: DataFrame) -> DataFrame:
-    """Power curve as straight pieces, one row per whole wind speed from its first to its last knot."""
-    knots = F.array_sort(F.collect_list(F.struct("Wind", "Power")))
-    pieces = curve.agg(knots.alias("k")).select(
+    """Power curve as straight pieces, one row per piece and whole wind speed it touches.
+
+    Knots may stand anywhere within CURVE_RANGE. ``low`` and ``high`` bound the winds of a piece;
+    the first and the last one reach to infinity.
+    """
+    wind = F.col("Wind").cast("double")
+    knots = F.array_sort(F.collect_set(F.struct(wind.alias("Wind"), "Power")))
+    pieces = curve.agg(knots.alias("k"), F.min(wind).alias("first"), F.max(wind).alias("top")).select(
+        "first",
+        "top",
         F.explode(
             F.zip_with(
                 F.slice("k", 1, F.size("k") - 1),
@@ -184,11 +195,16 @@ def curve_cells(curve: DataFrame) -> DataFrame:
                     a.Wind.alias("w0"), a.Power.alias("p0"), b.Wind.alias("w1"), b.Power.alias("p1")
                 ),
             )
-        ).alias("s")
+        ).alias("s"),
     )
+    w0, w1 = F.col("s.w0"), F.col("s.w1")
     twice = F.raise_error(F.lit("the power curve has two powers for one wind speed"))
-    cells = F.when(F.col("s.w0") < F.col("s.w1"), F.sequence(F.col("s.w0"), F.col("s.w1") - 1)).otherwise(twice)
-    return pieces.select("s.*", F.explode(cells).alias("_cell"))
+    beyond = F.raise_error(F.lit(f"the power curve has a wind beyond {CURVE_RANGE} metres per second"))
+    inside = (w0 >= -CURVE_RANGE) & (w1 <= CURVE_RANGE)
+    cells = F.when(~inside, beyond).when(w0 < w1, F.sequence(F.floor(w0).cast("int"), F.ceil(w1).cast("int") - 1)).otherwise(twice)
+    low = F.when(w0 == F.col("first"), float("-inf")).otherwise(w0)
+    high = F.when(w1 == F.col("top"), float("inf")).otherwise(w1)
+    return pieces.select("s.*", low.alias("_low"), high.alias("_high"), F.explode(cells).alias("_at"))
 
 
 def on_piece(wind: Column) -> Column:
@@ -200,17 +216,22 @@ def curve_power(df: DataFrame, curve: DataFrame, wind: str, out: str) -> DataFra
     """Add the curve's power at ``wind``: straight lines between knots, extended beyond both ends.
 
     The join is an equality on the whole wind speed, with winds outside the curve
-    moved to its first or last piece.  The pieces are always broadcast: there is one
-    per metre per second, and shuffling the rows by so few keys would pile them up.
+    moved to its first or last piece, and among the few pieces of that cell the one
+    that holds the wind.  The pieces are always broadcast: CURVE_RANGE bounds the cells,
+    and shuffling the rows by so few keys would pile them up.
     """
-    ends = curve.agg(F.struct(F.min("Wind").alias("first"), (F.max("Wind") - 1).alias("last")).alias("e")).scalar()
+    speed = F.col("Wind").cast("double")
+    ends = curve.agg(
+        F.struct(F.floor(F.min(speed)).cast("int").alias("first"), (F.ceil(F.max(speed)).cast("int") - 1).alias("last")).alias("e")
+    ).scalar()
     cells = F.broadcast(curve_cells(curve))
     cell = F.greatest(ends.first, F.least(ends.last, F.floor(F.col(wind)).cast("int")))
+    held = (F.col("_cell") == F.col("_at")) & (F.col(wind) >= F.col("_low")) & (F.col(wind) < F.col("_high"))
     return (
         df.withColumn("_cell", F.when(F.col(wind).isNotNull(), cell))
-        .join(cells, "_cell", "left")
+        .join(cells, held, "left")
         .withColumn(out, on_piece(F.col(wind)))
-        .drop("_cell", "w0", "p0", "w1", "p1")
+        .drop("_cell", "_at", "_low", "_high", "w0", "p0", "w1", "p1")
     )
 
 

@@ -129,8 +129,8 @@ def read_adjustments(spark: SparkSession, path: str, one_document: bool = True)
 
 
 def power_curve(raw: DataFrame) -> DataFrame:
-    """Integer wind speed to integer power; repeated rows collapse."""
-    return raw.select(F.col("Wind").cast("int").alias("Wind"), F.col("Power").cast("int").alias("Power")).distinct()
+    """Knots of the curve, at any wind speeds; repeated rows collapse."""
+    return raw.select(F.col("Wind").cast("double").alias("Wind"), F.col("Power").cast("double").alias("Power")).distinct()
 
 
 def wind_distribution(raw: DataFrame) -> DataFrame:

@@ -97,6 +97,20 @@ def test_curve_with_two_powers_for_one_wind_is_refused(spark):
         E.curve_power(spark.createDataFrame([(4.0,)], "w double"), curve, "w", "p").collect()
 
 
+def test_curve_knots_may_stand_between_whole_speeds(spark):
+    curve = spark.createDataFrame([(3.0, 0.0), (3.5, 100.0), (3.75, 50.0), (5.25, 200.0), (3.5, 100.0)], "Wind double, Power double")
+    winds = [2.5, 3.25, 3.5, 3.625, 3.75, 4.5, 5.25, 6.0, None]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(winds)], "i int, w double")
+    got = [r["p"] for r in E.curve_power(df, curve, "w", "p").orderBy("i").collect()]
+    assert got == [-100.0, 50.0, 100.0, 75.0, 50.0, 125.0, 200.0, 275.0, None]
+
+
+def test_curve_with_an_absurd_wind_is_refused(spark):
+    curve = spark.createDataFrame([(3.0, 0.0), (2e9, 100.0)], "Wind double, Power double")
+    with pytest.raises(Exception, match="beyond 200"):
+        E.curve_power(spark.createDataFrame([(4.0,)], "w double"), curve, "w", "p").collect()
+
+
 def test_correction_factor(spark):
     f = spark.range(1).select(E.correction_factor(F.lit(131)), E.correction_factor(F.lit(1))).first()
     assert f[0] == pytest.approx(1.0) and f[1] == pytest.approx(0.92)
