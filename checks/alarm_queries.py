@@ -23,8 +23,9 @@ ALARM_COLS = ["ID", "StationNr", "TimeOn", "TimeOff", "Alarmcode"]
 
 
 def complete(spark, d):
-    """Alarms that have an end."""
-    return V.v_alarm(spark, d).where(F.col("TimeOff").isNotNull())
+    """All alarms, the open ones closed where the month's data ends."""
+    al = V.v_alarm(spark, d).join(bounds(spark, d).select("period", "period_end"), "period")
+    return al.withColumn("TimeOff", F.coalesce("TimeOff", F.greatest("TimeOn", "period_end"))).drop("period_end")
 
 
 def bounds(spark, d):
@@ -37,6 +38,7 @@ view(
   make_timestamp(1704067200000000 - 600000000) AS buffer FROM v_cell GROUP BY period""",
     "v_cell",
 )
+CLOSED = 'coalesce("TimeOff", greatest("TimeOn", b.period_end))'
 view("v_typed", 'SELECT a.*, c."Error Type", c."UK Text" FROM v_alarm a JOIN v_code c USING ("Alarmcode") WHERE c."Error Type" IN (0, 1)', "v_alarm", "v_code")
 view("v_stop", 'SELECT "Alarmcode" FROM v_code WHERE "Error Type" IN (0, 1)', "v_code")
 
@@ -234,7 +236,7 @@ CASCADE_OUT = (
     'CASE WHEN "Error Type" = 0 THEN seconds END AS "Period 0(s)", CASE WHEN "Error Type" = 1 THEN seconds END AS "Period 1(s)" FROM '
 )
 CASCADE_COLS = ["ID", "StationNr", "TimeOn", "TimeOff", "NewTimeOn", "EffectiveAlarmTime", "Period 0(s)", "Period 1(s)"]
-view("v_complete", 'SELECT *, "TimeOn" AS raw_on FROM v_typed WHERE "TimeOff" IS NOT NULL', "v_typed")
+view("v_complete", f'SELECT t.* REPLACE ({CLOSED} AS "TimeOff"), "TimeOn" AS raw_on FROM v_typed t JOIN v_bounds b USING (period)', "v_typed", "v_bounds")
 view("v_cascade", CASCADE.format(source="v_complete"), "v_complete")
 
 
@@ -390,8 +392,8 @@ def ceil_freq(spark, d):
 
 @query(
     "interval_series",
-    """SELECT "ID", unnest(generate_series("TimeOn", "TimeOff", INTERVAL 10 MINUTE)) AS stamp FROM v_alarm WHERE "TimeOff" IS NOT NULL""",
-    ["v_alarm"],
+    f"""SELECT "ID", unnest(generate_series("TimeOn", {CLOSED}, INTERVAL 10 MINUTE)) AS stamp FROM v_alarm JOIN v_bounds b USING (period)""",
+    ["v_alarm", "v_bounds"],
 )
 def interval_series(spark, d):
     return complete(spark, d).select("ID", F.explode(tg.stamps(F.col("TimeOn"), F.col("TimeOff"), STEP)).alias("stamp"))

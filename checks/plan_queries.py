@@ -11,12 +11,12 @@ from checks import energy_queries as EQ
 from checks import views as V
 from checks.adjustment_queries import v_adjust
 from checks.registry import VIEWS, query, view
-from checks.source_queries import fresh_folder
+from checks.source_queries import fresh_folder, order_state
 from gustledger.plans import monthly
-from gustledger.plans.export import export_rows
+from gustledger.plans.export import export_rows, incremental_export
 from gustledger.plans.settle import settle
 from gustledger.plans.weekly import weekly
-from gustledger.sources import readers, writers
+from gustledger.sources import extracts, readers, writers
 from gustledger.sources import schemas as S
 
 
@@ -132,3 +132,27 @@ def export_alarms(spark, d):
     columns = ["ID", "StationNr", "Alarmcode", "TimeOn", "TimeOff"]
     al = V.v_alarm(spark, d).select(columns)
     return export_rows("sum", al.where(F.col("Alarmcode") != 7001), al, v_adjust(spark, d), "append").select(columns)
+
+
+# Orders as alarms: 1997 was edited since the last export, every eleventh row of the source is gone there,
+# months from 2000 on are new, and the others are as they were.
+@query(
+    "export_incremental",
+    """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, o_orderkey, o_custkey, o_orderpriority,
+    year(o_orderdate) = 1997 AND o_orderkey % 11 = 0 AS lost, year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT' AS edited FROM orders),
+  m AS (SELECT period FROM o GROUP BY 1 HAVING period >= '2000-01' OR bool_or(lost OR edited))
+SELECT period, o_orderkey AS "ID", CAST(CASE WHEN edited AND NOT lost THEN o_custkey + 1 ELSE o_custkey END AS BIGINT) AS o_custkey, o_orderpriority,
+  count(*) FILTER (WHERE NOT lost) OVER (PARTITION BY period) AS row_count
+FROM o JOIN m USING (period)""",
+)
+def export_incremental(spark, d):
+    columns = ["ID", "o_custkey", "o_orderpriority"]
+
+    def orders(changed):
+        return order_state(spark, d, changed).withColumnRenamed("o_orderkey", "ID")
+
+    lost = (F.substring("period", 1, 4) == "1997") & (F.col("ID") % 11 == 0)
+    stored = orders(False)
+    log = extracts.state_checksum(stored, columns, ["period"]).withColumn("last_updated", F.lit("2024-01-01T00:00:00"))
+    done = incremental_export("sum", orders(True).where(~lost), stored, log, columns, "2024-02-01T00:00:00")
+    return done.rows.join(done.state.select("period", "row_count"), "period").select("period", "ID", "o_custkey", "o_orderpriority", "row_count")

@@ -198,32 +198,40 @@ def sensor_only_gaps(met: DataFrame, ranges: DataFrame, step: timedelta = tg.TEN
 
 # ------------------------------------------------------------ value checks
 
-def stuck_flag(
-    df: DataFrame, base: str, n: int | None = DEFAULT_RUN, exclude_zero: bool = False, keys=tuple(STATION_MONTH), out: str = "stuck"
+def stuck_flags(
+    df: DataFrame, names: dict[str, str], n: int | None = DEFAULT_RUN, exclude_zero: bool = False, keys=tuple(STATION_MONTH)
 ) -> DataFrame:
-    """Flag rows in a run of at least ``n`` rows whose present statistics all repeat the row before.
+    """Flag per sensor, in the column ``names`` gives it, rows in a run of at least ``n`` rows whose present statistics all repeat the row before.
 
     A missing value ends a run; missing rows do not.  With ``exclude_zero`` a zero
-    mean never repeats.
+    mean never repeats.  All sensors share three windows over one sort.
     """
     n = n or DEFAULT_RUN
-    columns = [f"{base}_{s}" for s in S.STATISTICS if f"{base}_{s}" in df.columns]
-    if not columns:
-        return df.withColumn(out, F.lit(False))
     series = Window.partitionBy(*keys).orderBy("TimeStamp")
-    same = F.lit(True)
-    for c in columns:
-        same = same & is_true(F.col(c) == F.lag(c).over(series))
-    rows = df.withColumn("_same", same)
-    if exclude_zero and f"{base}_mean" in columns:
-        rows = rows.withColumn("_same", F.col("_same") & is_true(F.col(f"{base}_mean") != 0))
+    repeats = {}
+    for base, out in names.items():
+        columns = [f"{base}_{s}" for s in S.STATISTICS if f"{base}_{s}" in df.columns]
+        same = F.lit(bool(columns))
+        for c in columns:
+            same = same & is_true(F.col(c) == F.lag(c).over(series))
+        if exclude_zero and f"{base}_mean" in columns:
+            same = same & is_true(F.col(f"{base}_mean") != 0)
+        repeats[out] = same
+    rows = df.withColumns(repeats)
     if n == 1:
-        return rows.withColumnRenamed("_same", out)
+        return rows
     # n - 1 repeats in a row mark their last row; the mark then covers the n rows before it.
     # The first row of a station never repeats, so a frame cut off there stays false.
-    ends = F.min("_same").over(series.rowsBetween(-(n - 2), 0))
-    covered = F.max("_ends").over(series.rowsBetween(0, n - 1))
-    return rows.withColumn("_ends", ends).withColumn(out, covered).drop("_same", "_ends")
+    for how, frame in ((F.min, series.rowsBetween(-(n - 2), 0)), (F.max, series.rowsBetween(0, n - 1))):
+        rows = rows.withColumns({out: how(out).over(frame) for out in repeats})
+    return rows
+
+
+def stuck_flag(
+    df: DataFrame, base: str, n: int | None = DEFAULT_RUN, exclude_zero: bool = False, keys=tuple(STATION_MONTH), out: str = "stuck"
+) -> DataFrame:
+    """``stuck_flags`` of one sensor."""
+    return stuck_flags(df, {base: out}, n, exclude_zero, keys)
 
 
 def stuck_column(base: str) -> str:
@@ -231,9 +239,7 @@ def stuck_column(base: str) -> str:
 
 
 def with_stuck_flags(met: DataFrame, n: int | None, exclude_zero: bool, sensors=S.MET_SENSORS) -> DataFrame:
-    for base in sensors:
-        met = stuck_flag(met, base, n, exclude_zero, out=stuck_column(base))
-    return met
+    return stuck_flags(met, {base: stuck_column(base) for base in sensors}, n, exclude_zero)
 
 
 def out_of_range(column: str, low: float, high: float) -> Column:

@@ -14,7 +14,8 @@ def align_columns(first: DataFrame, second: DataFrame) -> list[str]:
 def reconcile(source: DataFrame, existing: DataFrame, keys: list[str], mode: str = "append") -> DataFrame:
     """Rows of both sides by key, with ``_change``: ``new``, ``kept`` or ``common``.
 
-    The source wins where both have a row; rows gone from the source are kept.
+    The source wins where both have a row; rows gone from the source are kept. Columns keep the
+    type of the stored copy, so that later months have one schema.
     ``mode="force-overwrite"`` takes the source as it is.
     """
     if mode == "force-overwrite":
@@ -27,6 +28,8 @@ def reconcile(source: DataFrame, existing: DataFrame, keys: list[str], mode: str
         if c in keys:
             return F.col(c)
         new = F.col(f"_source.`{c}`") if c in source.columns else F.lit(None)
+        if c in existing.columns:
+            new = new.cast(existing.schema[c].dataType)
         old = F.col(f"_stored.`{c}`") if c in existing.columns else F.lit(None)
         return F.when(F.col("_source").isNotNull(), new).otherwise(old).alias(c)
 

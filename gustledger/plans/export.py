@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gustledger.operators import adjustments as J
 from gustledger.operators import quality as Q
 from gustledger.operators.reconcile import reconcile
-from gustledger.sources.extracts import changed_periods, state_checksum
+from gustledger.sources.extracts import changed_periods, latest_state, state_checksum
 
 ALARM_KEYS, SIGNAL_KEYS = ["ID"], ["TimeStamp", "StationId"]
 
@@ -33,6 +36,8 @@ def export_rows(
         rows = source if kind != "sum" or adjustments is None else J.apply_adjustments(source, adjustments)
         if mode == "append" and existing is not None:
             keys = ALARM_KEYS if kind == "sum" else SIGNAL_KEYS
+            if "period" in rows.columns and "period" in existing.columns:
+                keys = ["period", *keys]
             rows = reconcile(rows, existing, keys).drop("_change")
     return Q.nullify_met(rows) if kind == "met" else rows
 
@@ -40,3 +45,44 @@ def export_rows(
 def check_state(source: DataFrame, stored_state: DataFrame, columns: list[str], by=("period",)) -> DataFrame:
     """``check`` mode: per month whether the source differs from the state written with the stored copy."""
     return changed_periods(state_checksum(source, columns, by), stored_state, list(by))
+
+
+class Export(NamedTuple):
+    """What an incremental export writes: all are lazy."""
+
+    #: The new content of the months that changed; write with ``writers.write_partitioned``.
+    rows: DataFrame
+    #: State of those months, to append to the metadata.
+    state: DataFrame
+    #: Ids of corrections to take off the list; None without a list.
+    stale: DataFrame | None
+    #: Completeness of those months by station; None for alarms and without ranges.
+    completeness: DataFrame | None
+
+
+def incremental_export(
+    kind: str,
+    source: DataFrame,
+    existing: DataFrame,
+    metadata: DataFrame,
+    columns: list[str],
+    written_at: str,
+    adjustments: DataFrame | None = None,
+    ranges: DataFrame | None = None,
+) -> Export:
+    """``append`` over any number of months: those whose count and checksum are as last written are left alone.
+
+    ``metadata`` is the appended log of states of this table: ``period, row_count, checksum, last_updated``.
+    """
+    state = state_checksum(source, columns, ["period"])
+    status = changed_periods(state, latest_state(metadata, ["period"]), ["period"])
+    months = status.where("status <> 'NO_CHANGE'").select("period")
+    fresh = source.join(months, "period", "left_semi")
+    rows = export_rows(kind, fresh, existing.join(months, "period", "left_semi"), adjustments)
+    written = state.join(months, "period", "left_semi").withColumn("last_updated", F.lit(written_at))
+    stale = J.stale_adjustments(fresh, adjustments) if kind == "sum" and adjustments is not None else None
+    complete = None
+    if kind != "sum" and ranges is not None:
+        wanted = ranges.join(months, "period", "left_semi")
+        complete = Q.completeness(rows, wanted, by=("StationId",), end_inclusive=False)
+    return Export(rows, written, stale, complete)

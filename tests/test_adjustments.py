@@ -7,7 +7,8 @@ import pytest
 
 from gustledger.operators import adjustments as J
 from gustledger.operators.reconcile import reconcile
-from gustledger.plans.export import export_rows
+from gustledger.plans.export import export_rows, incremental_export
+from gustledger.sources.extracts import state_checksum
 
 ADJ = "pos long, id long, alarm_code long, station_nr long, time_on string, time_off string, notes string, last_updated string"
 ALARM = "ID long, TimeOn timestamp_ntz, TimeOff timestamp_ntz"
@@ -152,3 +153,25 @@ def test_export_modes(spark):
     assert ends("force-overwrite") == {1: T(5)}
     assert ends("process-existing") == {1: T(5), 2: T(6)}
     assert ends("process-existing-except-alarms") == {1: T(5), 2: T(4)}
+
+
+def test_reconcile_keeps_the_stored_type(spark):
+    source = spark.createDataFrame([(1, 2.0)], "k long, v double")
+    stored = spark.createDataFrame([(1, 7), (2, 8)], "k long, v int")
+    out = reconcile(source, stored, ["k"])
+    assert dict(out.dtypes)["v"] == "int"
+    assert sorted((r["k"], r["v"]) for r in out.collect()) == [(1, 2), (2, 8)]
+
+
+def test_incremental_export_leaves_unchanged_months_alone(spark):
+    schema = f"period string, {ALARM}"
+    stored = spark.createDataFrame([("2024-01", 1, T(1), T(2)), ("2024-02", 1, T(3), T(4)), ("2024-02", 2, T(3), T(4))], schema)
+    source = spark.createDataFrame([("2024-01", 1, T(1), T(2)), ("2024-02", 1, T(3), T(5)), ("2024-03", 3, T(6), None)], schema)
+    columns = ["ID", "TimeOn", "TimeOff"]
+    log = state_checksum(stored, columns, ["period"]).selectExpr("*", "'a' AS last_updated")
+    done = incremental_export("sum", source, stored, log, columns, "b")
+    rows = {(r["period"], r["ID"]): r["TimeOff"] for r in done.rows.collect()}
+    assert rows == {("2024-02", 1): T(5), ("2024-02", 2): T(4), ("2024-03", 3): None}
+    assert sorted((r["period"], r["row_count"], r["last_updated"]) for r in done.state.collect()) == [("2024-02", 1, "b"), ("2024-03", 1, "b")]
+    again = incremental_export("sum", source, stored, log.unionByName(done.state), columns, "c")
+    assert again.rows.isEmpty() and again.state.isEmpty()
