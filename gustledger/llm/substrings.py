@@ -91,36 +91,31 @@ def remove_repeated(docs: DataFrame, scratch: Scratch, n: int = 50, id_col: str
     gone = scratch.store(gone)
     new = StructType.fromDDL(f"n_words long, n_removed long, `{kept_col}` string")
     kept = [c for c in docs.columns if c not in new.names]
-    frame = docs.select(*kept, F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_key"), F.xxhash64(id_col, text_col).alias("_hash"))
+    source = [] if text_col in kept else [F.col(text_col).alias("_text")]
+    width = len(kept) + len(source)
+    where = len(kept) if source else kept.index(text_col)
+    frame = docs.select(*kept, *source, F.col(id_col).cast("long").alias("_key"), F.xxhash64(id_col, text_col).alias("_hash"))
     # Only texts that may lose words move to meet their places; a filter of their keys lets none of them slip.
     key = lambda i, row: W.mix(W.mix(np.asarray(i).view(np.uint64)) ^ np.asarray(row).view(np.uint64))
     losers = docs.sparkSession.sparkContext.broadcast(sketch.repeated(gone.select("_id", "_row"), lambda batch: iter([np.repeat(key(batch.column(0), batch.column(1)), 2)]), 1 << 25))
 
-    def among(wanted: bool):
-        def some(batches):
-            for batch in batches:
-                ids, hashes = batch.column(len(kept) + 1), batch.column(len(kept) + 2)
-                keep = losers.value(key(ids.fill_null(0), hashes)) & np.asarray(ids.is_valid())
-                yield batch.filter(pa.array(keep == wanted))
-
-        return frame.mapInArrow(some, frame.schema)
-
-    touched = among(True).join(gone, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left").select(*kept, "_text", "_at")
-    joined = touched.unionByName(among(False).select(*kept, "_text", F.lit(None).cast("array<int>").alias("_at")))
-    schema = StructType(docs.select(*kept).schema.fields + new.fields)
+    def among(batches, wanted):
+        for batch in batches:
+            ids, hashes = batch.column(width), batch.column(width + 1)
+            keep = losers.value(key(ids.fill_null(0), hashes)) & np.asarray(ids.is_valid())
+            yield batch.filter(pa.array(keep == wanted))
 
-    def cut(batches):
+    def cut(batches, placed):
         for batch in batches:
-            text, places = batch.column(len(kept)), batch.column(len(kept) + 1)
-            counts, removed, left = [], [], []
             start = 0
-            for block in W.blocks(text):
+            for block in W.blocks(batch.column(where)):
                 found = W.words(block)
                 data = block.data.tobytes()
+                counts, removed, left = [], [], []
                 for i in range(len(block)):
                     low, high = int(found.first[i]), int(found.first[i + 1])
                     stay = np.ones(high - low, bool)
-                    at = places[start + i].values
+                    at = batch.column(width)[start + i].values if placed else None
                     if at is not None and len(at):
                         at = np.asarray(at)
                         change = np.bincount(at, minlength=high - low + 1) - np.bincount(np.minimum(at + n, high - low), minlength=high - low + 1)
@@ -129,7 +124,13 @@ def remove_repeated(docs: DataFrame, scratch: Scratch, n: int = 50, id_col: str
                     counts.append(high - low)
                     removed.append(high - low - len(which))
                     left.append(b" ".join([data[a:b] for a, b in zip(found.starts[which].tolist(), found.ends[which].tolist(), strict=True)]))
+                columns = [batch.column(c).slice(start, len(block)) for c in range(len(kept))]
+                yield pa.record_batch([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=[*kept, *new.names])
                 start += len(block)
-            yield pa.record_batch([*batch.columns[: len(kept)], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=[*kept, *new.names])
 
-    return joined.mapInArrow(cut, schema)
+    schema = StructType(docs.select(*kept).schema.fields + new.fields)
+    moved = frame.mapInArrow(lambda batches: among(batches, True), frame.schema)
+    touched = moved.join(gone, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left").select(*frame.columns[:width], "_at")
+    # Filter and cut of the other texts share a Python worker.
+    rest = frame.mapInArrow(lambda batches: cut(among(batches, False), False), schema)
+    return touched.mapInArrow(lambda batches: cut(batches, True), schema).unionByName(rest)
