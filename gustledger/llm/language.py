@@ -7,9 +7,11 @@ a group the word: a class-factored softmax. Inside a form a known word has its s
 form's training tokens, and unknown words together have the share of words seen once (Good-Turing),
 so that the probabilities of all words known in training and of one unknown word per form add up to one.
 
-The network is a GRU trained in numpy by truncated back-propagation on a bounded sample of the
-training documents. Scoring packs texts into lanes, takes them window by window, and carries the
-state across windows, so that a text of any length is scored whole.
+The network is a GRU trained in numpy by truncated back-propagation. The driver starts it on a
+small sample; then every training token is learned from once, in Spark tasks: in each of ROUNDS
+rounds a task takes the weights of the round before through its share of the round's documents, and
+the tasks' weights are averaged by their tokens. Scoring packs texts into lanes, takes them window by
+window, and carries the state across windows, so that a text of any length is scored whole.
 
 Null and empty texts consist of the end token. Rows repeated exactly score alike. Without training
 documents nothing is known and all classes are equally likely.
@@ -18,7 +20,7 @@ documents nothing is known and all classes are equally likely.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,18 @@ from pyspark.sql.types import StructType
 from gustledger.llm import words as W
 from gustledger.llm.scratch import Scratch
 
-#: Words with outputs of their own, words of a class, words whose counts every task holds; the bounds of the training sample.
+#: Words with outputs of their own, words of a class, words whose counts every task holds; the bounds of the sample that training starts on.
 HEAD, GROUP, HELD = 4096, 64, 500_000
 SAMPLE_DOCS, SAMPLE_TOKENS = 800, 400_000
 #: A small sample is gone through more often.
 LEAST_UPDATES = 300
 HIDDEN, LANES, STEPS = 24, 256, 32
+#: Rounds that the training documents are dealt to, the least tokens a task should see in one, and its step size.
+ROUNDS, TASK_TOKENS, RATE = 2, 1_000_000, 0.002
+#: Tokens a task lays out at once; longer texts are learned in pieces, each from an empty state and the token before it.
+HELD_TOKENS, PIECE = 1_000_000, 512
+#: Bytes of weights in a row when the tasks' weights are averaged.
+CHUNK = 1 << 16
 #: Length bucket (4) x ending (2) x first letter beyond ASCII (8).
 FORMS = 64
 END = np.uint64(0x5851F42D4C957F2D)
@@ -98,6 +106,7 @@ class Model:
     head: int
     groups: int
     p: dict[str, np.ndarray]
+    fitted: int = 0  # tokens the network learned from in Spark tasks
 
     @property
     def start(self) -> int:
@@ -125,9 +134,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
 
 
 def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -167,8 +178,8 @@ def _lanes(sizes: np.ndarray, lanes: int) -> list[list[int]]:
     return sorted(dealt, key=lambda lane: -sum(int(sizes[i]) for i in lane))
 
 
-def _packed(model: Model, ids: np.ndarray, first: np.ndarray, lanes: int) -> tuple[np.ndarray, ...]:
-    """Inputs, targets, text numbers and text starts as (time, lane) arrays; unused places have text -1."""
+def _packed(model: Model, ids: np.ndarray, first: np.ndarray, lanes: int, before: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Inputs, targets, text numbers and text starts as (time, lane) arrays; unused places have text -1. ``before``: the token ahead of each text."""
     sizes = np.diff(first)
     dealt = _lanes(sizes, lanes)
     longest = max(int(sizes[lane].sum()) for lane in dealt)
@@ -185,7 +196,7 @@ def _packed(model: Model, ids: np.ndarray, first: np.ndarray, lanes: int) -> tup
             at += n
     inputs = np.full_like(target, model.start)
     inputs[1:] = target[:-1]
-    inputs[starts] = model.start
+    inputs[starts] = model.start if before is None else before[text[starts]]
     return inputs, target, text, starts
 
 
@@ -214,66 +225,152 @@ def score_texts(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(model: Model, ids: np.ndarray, first: np.ndarray, rounds: int = 3, lanes: int = 32, seed: int = 3) -> None:
+class _Trainer:
+    """Adam steps on windows of tokens; gradients are cut at the window."""
+
+    def __init__(self, model: Model):
+        self.model, self.p, self.step = model, model.p, 0
+        self.m = {k: np.zeros_like(w) for k, w in model.p.items()}
+        self.v = {k: np.zeros_like(w) for k, w in model.p.items()}
+
+    def window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, begin: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
+        """One step on inputs ``x`` and targets ``y`` from state ``h``; returns the state after it."""
+        model, p, n = self.model, self.p, HIDDEN
+        states, cache = np.zeros((*x.shape, n), np.float32), []
+        for t in range(len(x)):
+            h = np.where(begin[t][:, None], 0, h).astype(np.float32)
+            h_new, z, r, new, un = _step(p, p["x"][x[t]], h)
+            cache.append((h, z, r, new, un))
+            h = states[t] = h_new
+        hs, ys = states[live], y[live]
+        cls = _classes(model, ys)
+        size = len(ys)
+        g = {k: np.zeros_like(w) for k, w in p.items()}
+        d = _softmax(hs @ p["c"] + p["cb"])
+        d[np.arange(size), cls] -= 1
+        d /= size
+        g["c"], g["cb"] = hs.T @ d, d.sum(0)
+        dh_out = d @ p["c"].T
+        order = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(model.groups + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            rows = order[cuts[k] : cuts[k + 1]]
+            e = _softmax(hs[rows] @ p["w"][k] + p["wb"][k])
+            e[np.arange(len(rows)), ys[rows] % GROUP] -= 1
+            e /= size
+            g["w"][k], g["wb"][k] = hs[rows].T @ e, e.sum(0)
+            dh_out[rows] += e @ p["w"][k].T
+        dstates = np.zeros_like(states)
+        dstates[live] = dh_out
+        dh = np.zeros_like(h)
+        dx = np.zeros((*x.shape, 3 * n), np.float32)
+        for t in range(len(x) - 1, -1, -1):
+            before, z, r, new, un = cache[t]
+            dh = dh + dstates[t]
+            dnew = dh * (1 - z) * (1 - new**2)
+            dr = dnew * un * r * (1 - r)
+            dz = dh * (before - new) * z * (1 - z)
+            du = np.concatenate([dz, dr, dnew * r], 1)
+            dx[t] = np.concatenate([dz, dr, dnew], 1)
+            g["u"] += before.T @ du
+            dh = (dh * z + du @ p["u"].T) * ~begin[t][:, None]
+        order = np.argsort(x, axis=None, kind="stable")
+        used, cuts = np.unique(x.ravel()[order], return_index=True)
+        g["x"][used] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], cuts)
+        self.step += 1
+        m, v, step = self.m, self.v, self.step
+        for k in p:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+            p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        return h
+
+
+def _grow(model: Model, ids: np.ndarray, first: np.ndarray, rounds: int = 3, lanes: int = 32) -> None:
     """Train the network on the sample: windows of STEPS tokens, state carried, gradients cut at windows."""
-    p, n = model.p, HIDDEN
     inputs, target, text, starts = _packed(model, ids, first, lanes)
-    m = {k: np.zeros_like(w) for k, w in p.items()}
-    v = {k: np.zeros_like(w) for k, w in p.items()}
+    trainer = _Trainer(model)
     per_round = -(-len(inputs) // STEPS)
     rounds = max(rounds, -(-LEAST_UPDATES // per_round))
-    step, total = 0, rounds * per_round
+    total = rounds * per_round
     for _ in range(rounds):
-        h = np.zeros((inputs.shape[1], n), np.float32)
+        h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for low in range(0, len(inputs), STEPS):
             x, y, live, begin = (a[low : low + STEPS] for a in (inputs, target, text >= 0, starts))
-            states, cache = np.zeros((*x.shape, n), np.float32), []
-            for t in range(len(x)):
-                h = np.where(begin[t][:, None], 0, h).astype(np.float32)
-                h_new, z, r, new, un = _step(p, p["x"][x[t]], h)
-                cache.append((h, z, r, new, un))
-                h = states[t] = h_new
-            hs, ys = states[live], y[live]
-            cls = _classes(model, ys)
-            size = len(ys)
-            g = {k: np.zeros_like(w) for k, w in p.items()}
-            d = np.exp(_log_softmax(hs @ p["c"] + p["cb"]))
-            d[np.arange(size), cls] -= 1
-            d /= size
-            g["c"], g["cb"] = hs.T @ d, d.sum(0)
-            dh_out = d @ p["c"].T
-            for k in np.unique(cls[cls < model.groups]):
-                rows = np.flatnonzero(cls == k)
-                e = np.exp(_log_softmax(hs[rows] @ p["w"][k] + p["wb"][k]))
-                e[np.arange(len(rows)), ys[rows] % GROUP] -= 1
-                e /= size
-                g["w"][k], g["wb"][k] = hs[rows].T @ e, e.sum(0)
-                dh_out[rows] += e @ p["w"][k].T
-            dstates = np.zeros_like(states)
-            dstates[live] = dh_out
-            dh = np.zeros_like(h)
-            dx = np.zeros((*x.shape, 3 * n), np.float32)
-            for t in range(len(x) - 1, -1, -1):
-                before, z, r, new, un = cache[t]
-                dh = dh + dstates[t]
-                dnew = dh * (1 - z) * (1 - new**2)
-                dr = dnew * un * r * (1 - r)
-                dz = dh * (before - new) * z * (1 - z)
-                du = np.concatenate([dz, dr, dnew * r], 1)
-                dx[t] = np.concatenate([dz, dr, dnew], 1)
-                g["u"] += before.T @ du
-                dh = (dh * z + du @ p["u"].T) * ~begin[t][:, None]
-            np.add.at(g["x"], x.ravel(), dx.reshape(-1, 3 * n))
-            step += 1
-            rate = 0.01 * (1 - 0.9 * step / total)
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            h = trainer.window(x, y, live, begin, h, 0.01 * (1 - 0.9 * (trainer.step + 1) / total))
+
+
+def _learn(trainer: _Trainer, ids: np.ndarray, first: np.ndarray) -> None:
+    """One pass over texts of any length."""
+    sizes = np.diff(first)
+    pieces = -(-sizes // PIECE)
+    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at = np.repeat(first[:-1], pieces) + number * PIECE
+    before = np.where(number > 0, ids[at - 1], trainer.model.start)
+    inputs, target, text, starts = _packed(trainer.model, ids, np.append(at, first[-1]), LANES, before)
+    used = (text >= 0).sum(1)
+    h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
+    for low in range(0, len(inputs), STEPS):
+        here = np.s_[low : low + STEPS, : int(used[low])]
+        h = trainer.window(inputs[here], target[here], text[here] >= 0, starts[here], h[: int(used[low])], RATE)
+
+
+def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def _averaged(texts: DataFrame, model: Model, tasks: int) -> tuple[dict[str, np.ndarray], int]:
+    """Weights after one pass in at most ``tasks`` tasks from the model's, averaged by tokens; and how many tokens that were."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def learned(batches):
+        m = shared.value
+        trainer = _Trainer(replace(m, p={k: w.copy() for k, w in m.p.items()}))
+        held, n, done = [], 0, 0
+
+        def take():
+            ids = np.concatenate([i for i, _ in held])
+            first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in held]))])
+            _learn(trainer, ids, first)
+
+        for batch in batches:
+            for block in W.blocks(batch.column(0)):
+                found, ids, _, _ = m.tokens(block)
+                held.append((np.insert(ids, found.first[1:], m.start).astype(np.int32), np.concatenate([[0], np.cumsum(found.counts() + 1)])))
+                n += len(held[-1][0])
+                if n >= HELD_TOKENS:
+                    take()
+                    held, n, done = [], 0, done + n
+        if n:
+            take()
+            done += n
+        if done:
+            data = _flat(trainer.p).astype("<f4").tobytes()
+            cuts = range(0, len(data), CHUNK)
+            yield pa.record_batch([pa.array(range(len(cuts)), pa.int32()), pa.array([done] * len(cuts), pa.int64()), pa.array([data[c : c + CHUNK] for c in cuts], pa.binary())], names=["chunk", "tokens", "weights"])
+
+    def mean(part):
+        total, out = 0, 0.0
+        for tokens, data in zip(part["tokens"].to_pylist(), part["weights"].to_pylist(), strict=True):
+            total, out = total + tokens, out + tokens * np.frombuffer(data, "<f4").astype(np.float64)
+        return pa.table({"chunk": part["chunk"].combine_chunks()[:1].cast(pa.int32()), "tokens": pa.array([total], pa.int64()), "weights": pa.array([(out / total).astype("<f4").tobytes()], pa.binary())})
+
+    schema = "chunk int, tokens long, weights binary"
+    rows = texts.select("text").coalesce(tasks).mapInArrow(learned, schema).groupBy("chunk").applyInArrow(mean, schema).collect()
+    shared.unpersist()
+    if not rows:
+        return model.p, 0
+    flat = np.frombuffer(b"".join(r["weights"] for r in sorted(rows, key=lambda r: r["chunk"])), "<f4")
+    out, at = {}, 0
+    for k in sorted(model.p):
+        w = model.p[k]
+        out[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+        at += w.size
+    return out, rows[0]["tokens"]
 
 
 def train(texts: DataFrame, counts: DataFrame, rounds: int = 3) -> Model:
-    """Model from training texts (``id, text``) and their stored word counts. The driver gets HELD counts and the sample."""
+    """Model from training texts (``id, text``) and their stored word counts. The driver gets HELD counts, the first sample and averaged weights."""
     plain = counts.where(F.col("form") >= 0)
     top = plain.groupBy("h").agg(F.sum("c").alias("c"), F.min("form").alias("form")).orderBy(F.desc("c"), "h").limit(HELD).toArrow()
     h, c = np.asarray(top["h"].combine_chunks()).view(np.uint64), np.asarray(top["c"].combine_chunks())
@@ -307,6 +404,10 @@ def train(texts: DataFrame, counts: DataFrame, rounds: int = 3) -> Model:
     if len(h) and len(first) > 1:
         first = first[: max(cut, 2)]
         _grow(model, ids[: first[-1]], first, rounds)
+    tasks = max(1, int(c.sum()) // (ROUNDS * TASK_TOKENS))
+    for k in range(ROUNDS if len(h) else 0):
+        model.p, fitted = _averaged(texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k), model, tasks)
+        model.fitted += fitted
     return model
 
 

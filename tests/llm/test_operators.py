@@ -193,6 +193,22 @@ def test_language_model(spark, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.2 * sum(r["n_tokens"] for r in held)
 
 
+def test_language_model_learns_from_every_training_token(docs):
+    """More documents than the sample, and one text that alone is larger than it; what only later documents hold must be learned."""
+    n = language.SAMPLE_DOCS + 400
+    rows = [(i, "left right " * (1 + i % 5)) for i in range(n)] + [(n, "alpha beta gamma " * 150_000)]
+    texts = docs(rows).select(F.col("doc_id").alias("id"), "text").repartition(3)
+    with Scratch(texts.sparkSession) as scratch:
+        counts = scratch.store(language.count_words(texts))
+        total = counts.agg(F.sum("c")).first()[0]
+        model = language.train(texts, counts, 1)
+    assert model.fitted == total == sum(len(t.split()) + 1 for _, t in rows)
+    start = language._flat(model.p).copy()
+    assert language._averaged(texts.limit(0), model, 2)[1] == 0
+    again, tokens = language._averaged(texts, model, 2)
+    assert tokens == total and not np.array_equal(language._flat(again), start)
+
+
 def test_language_model_state_crosses_windows_and_sums_to_one():
     rng = np.random.default_rng(0)
     groups, h = 2, language.HIDDEN
