@@ -114,6 +114,20 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return best[1], best[2], best[3]
 
 
+def _every(template: np.ndarray, text: np.ndarray, low: int, high: int, need: float) -> list[tuple[int, int, int]]:
+    """All matches of a band that do not overlap: the best one, then those in the text left and right of it."""
+    out, parts = [], [(max(0, low), min(len(text), high + len(template)))]
+    while parts:
+        begin, stop = parts.pop()
+        if stop - begin < need:
+            continue
+        got, first, end = align(template, text[begin:stop], low - begin, high - begin)
+        if got >= need:
+            out.append((got, begin + first, begin + end))
+            parts += [(begin, begin + first), (begin + end, stop)]
+    return out
+
+
 def matches(index: Index, text: np.ndarray, hashes: np.ndarray, place: np.ndarray, least: float = LEAST) -> list[tuple[int, int, int, float]]:
     """(first word, end word, template, coverage) of every notice in a text, in order."""
     out = []
@@ -127,9 +141,7 @@ def matches(index: Index, text: np.ndarray, hashes: np.ndarray, place: np.ndarra
         words = index.words[template]
         found = set()
         for group in groups:
-            got, first, end = align(words, text, group[0][0] - BAND, group[-1][0] + BAND)
-            if got >= least * len(words):
-                found.add((first, end, template, got / len(words)))
+            found.update((first, end, template, got / len(words)) for got, first, end in _every(words, text, group[0][0] - BAND, group[-1][0] + BAND, least * len(words)))
         out += found
     # Of matches that overlap, the one with the largest coverage stays, then the longest.
     best = []

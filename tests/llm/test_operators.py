@@ -357,6 +357,17 @@ def test_licenses(docs):
     assert licenses.scan(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-NC-4.0", "Apache-2.0"])
+@pytest.mark.parametrize("front", ["", "foo.py: ", "x: ", "see the file a b c "])
+def test_repeated_short_notices(docs, name, front):
+    notice = licenses.TEMPLATES[name]
+    rows = [(k, "head\n" + f"{front}{notice}.\n" * k + "tail") for k in range(12)]
+    for r in licenses.scan(docs(rows)).collect():
+        want = [m.span() for m in re.finditer(re.escape(notice), r["text"])]
+        assert [(m["start"], m["end"]) for m in r["licenses"]] == want
+        assert {m["license"] for m in r["licenses"]} <= {name}
+
+
 def test_sharding(spark, docs):
     rows = [(i, "x" * (i % 97)) for i in range(500)] + [(7000, "y" * 5000), (None, None), (1, "")] + [(8000, "same" * 50)] * 40
     with Scratch(spark) as scratch:
