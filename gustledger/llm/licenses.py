@@ -143,9 +143,9 @@ def matches(index: Index, text: np.ndarray, hashes: np.ndarray, place: np.ndarra
         for group in groups:
             found.update((first, end, template, got / len(words)) for got, first, end in _every(words, text, group[0][0] - BAND, group[-1][0] + BAND, least * len(words)))
         out += found
-    # Of matches that overlap, the one with the largest coverage stays, then the longest.
+    # Of matches that overlap, the one with the most words matched stays, then the one with the largest coverage, then the longest.
     best = []
-    for match in sorted(out, key=lambda m: (-m[3], m[0] - m[1], m)):
+    for match in sorted(out, key=lambda m: (-round(m[3] * len(index.words[m[2]])), -m[3], m[0] - m[1], m)):
         if all(match[1] <= m[0] or m[1] <= match[0] for m in best):
             best.append(match)
     return sorted(best)

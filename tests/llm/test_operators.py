@@ -368,6 +368,15 @@ def test_repeated_short_notices(docs, name, front):
         assert {m["license"] for m in r["licenses"]} <= {name}
 
 
+def test_changed_header_is_not_its_first_words(docs):
+    header = licenses.TEMPLATES["Apache-2.0 header"]
+    words = header.split()
+    changed = [header.replace("http:", "https:"), *(" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in range(20, len(words) - 1, 7))]
+    for r in licenses.scan(docs([(k, "a " + t + " z") for k, t in enumerate(changed)])).collect():
+        assert [(m["license"], m["start"]) for m in r["licenses"]] == [("Apache-2.0 header", 2)]
+        assert r["licenses"][0]["end"] == len(r["text"]) - 3 and r["licenses"][0]["coverage"] < 1
+
+
 def test_sharding(spark, docs):
     rows = [(i, "x" * (i % 97)) for i in range(500)] + [(7000, "y" * 5000), (None, None), (1, "")] + [(8000, "same" * 50)] * 40
     with Scratch(spark) as scratch:
