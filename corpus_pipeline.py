@@ -18,9 +18,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of similar documents the one with the smallest id stays."""
+    """Of documents with a five-word Jaccard similarity of 0.8 or more the one with the smallest id stays."""
     with Scratch(spark) as scratch:
-        return similarity.keep_one(docs, scratch)
+        return similarity.keep_one(docs, scratch, n=5, percent=80)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

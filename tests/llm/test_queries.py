@@ -56,3 +56,11 @@ def test_pipeline(spark):
         assert stage(spark, docs, SF_DIR).columns == docs.columns, name
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     assert not any(email.search(r["text"] or "") for r in corpus_pipeline.masked(spark, docs, SF_DIR).collect())
+
+
+def test_pipeline_joins_copies_of_eight_tenths(spark):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:170])), (3, " ".join(words[:150]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs.where("doc_id < 3"), SF_DIR).collect()] == [1]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs.where("doc_id <> 2"), SF_DIR).collect()) == [1, 3]
