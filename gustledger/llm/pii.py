@@ -4,11 +4,10 @@ The patterns' spans always stay. The network is trained in numpy on labelled spa
 patterns find in a bounded sample of documents, and generated spans in looser spellings set into
 lines of the sample. It then adds spans that the patterns miss.
 
-A span holds a digit or an ``@``, so only text around those characters needs tagging: every such
-character and MARGIN characters on both sides, merged where they touch. These stretches are cut
-into overlapping windows; each window is tagged on its own, the windows' tag probabilities are
-averaged with the most weight on a window's middle, and one Viterbi pass over the whole stretch
-decides. Stretches and spans may be of any length.
+Whole texts are tagged. They are cut into overlapping windows; each window is tagged on its own, the
+windows' tag probabilities are averaged with the most weight on a window's middle, and a Viterbi pass
+over the text decides, in stretches between runs of characters that are outside for certain.
+Texts and spans may be of any length. Decimal digits of other scripts count as digits.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive.
 """
@@ -16,6 +15,7 @@ Null and empty texts have no spans. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,12 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2_000
 #: Few windows are gone through more often.
 LEAST_UPDATES = 400
-MARGIN, WINDOW, STRIDE = 24, 96, 48
+WINDOW, STRIDE = 96, 48
+#: Windows tagged at once.
+BATCH = 1024
+#: Characters are sure to be outside in the middle of a run of 2 * CALM whose best other tag is less probable by exp(-LOSS) each:
+#: leaving such a run outside in one half costs CALM * LOSS, more than any one tag can (log of 1e-12).
+CALM, LOSS = 6, 6.0
 #: Mean tag probability from which a span is added.
 SURE = 0.8
 
@@ -84,13 +89,20 @@ _FORBIDDEN = -1e4
 _LETTERS = 100
 
 
+_ZEROS = np.array([c for c in range(128, 0x20000) if unicodedata.decimal(chr(c), None) == 0])
+
+
 def letters(points: np.ndarray) -> np.ndarray:
-    """Code points as the network's letters: ASCII itself (upper case apart), others by kind."""
+    """Code points as the network's letters: ASCII itself (upper case apart), digits of other scripts as ASCII digits, others by kind."""
     out = np.full(len(points), 97)
     plain = (points >= 32) & (points < 127)
     out[plain] = points[plain] - 32 + 1
     out[(points >= 9) & (points <= 13)] = 96
     out[points >= 0x2000] = 98
+    other = np.flatnonzero(points >= 128)
+    digit = points[other].astype(np.int64) - _ZEROS[np.maximum(np.searchsorted(_ZEROS, points[other], "right") - 1, 0)]
+    is_digit = (digit >= 0) & (digit < 10)
+    out[other[is_digit]] = digit[is_digit] + 48 - 32 + 1
     return out
 
 
@@ -178,6 +190,48 @@ def marginals(tagger: Tagger, x: np.ndarray) -> np.ndarray:
     return np.exp(np.minimum(a + b - z[None, :, None], 0))
 
 
+def _run(table: np.ndarray, u: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """States of _lstm without what training needs, in single precision."""
+    n = u.shape[0]
+    h = c = np.zeros((x.shape[1], n), np.float32)
+    out = np.empty((*x.shape, n), np.float32)
+    for t in range(len(x)):
+        z = table[x[t]]
+        z += h @ u
+        gates = z[:, : 3 * n]
+        np.clip(gates, -30, 30, out=gates)
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        alive = (x[t] > 0)[:, None]
+        c = (gates[:, n : 2 * n] * c + gates[:, :n] * np.tanh(z[:, 3 * n :])) * alive
+        h = out[t] = gates[:, 2 * n :] * np.tanh(c) * alive
+    return out
+
+
+def probabilities(tagger: Tagger, x: np.ndarray) -> np.ndarray:
+    """marginals() in single precision, as sums of products that are scaled at each step."""
+    p = {k: w.astype(np.float32) for k, w in tagger.p.items()}
+    e = np.concatenate([_run(p["ef"], p["uf"], x), _run(p["eb"], p["ub"], x[::-1])[::-1]], 2) @ p["o"] + p["ob"]
+    e = np.exp(e - e.max(2, keepdims=True))
+    step = np.exp(tagger.transitions()).astype(np.float32)
+    mask = x > 0
+    a, b = np.empty_like(e), np.ones_like(e)
+    a[0] = step[-1] * e[0]
+    a[0] /= a[0].sum(1, keepdims=True)
+    for t in range(1, len(x)):
+        new = (a[t - 1] @ step[:-1]) * e[t]
+        new /= new.sum(1, keepdims=True)
+        a[t] = np.where(mask[t][:, None], new, a[t - 1])
+    for t in range(len(x) - 2, -1, -1):
+        new = (e[t + 1] * b[t + 1]) @ step[:-1].T
+        new /= new.sum(1, keepdims=True)
+        b[t] = np.where(mask[t + 1][:, None], new, 1)
+    a *= b
+    return a / a.sum(2, keepdims=True)
+
+
 def fit(windows: np.ndarray, tags: np.ndarray, rounds: int = 6, batch: int = 64, hidden: int = 20, seed: int = 11) -> Tagger:
     """Maximum likelihood by back-propagation through whole windows, with Adam. Windows: (count, time)."""
     rng = np.random.default_rng(seed)
@@ -234,8 +288,10 @@ def generated(rng: np.random.Generator, kind: int) -> str:
     n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     name = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
     if kind == 0:
-        at = rng.choice(["@", "@", " @ ", "(@)", "[@]"])
+        at = rng.choice(["@", "@", " @ ", "(@)", "[@]", " (at) ", " [at] "])
         dot = rng.choice([".", ".", " . "]) if at != "@" else "."
+        if "at" in at:
+            dot = rng.choice([" (dot) ", " [dot] ", "."])
         local = name() + rng.choice(["", "." + name(), "." + n(2), "_" + n(3), "+" + name()])
         return f"{local}{at}{name()}{rng.choice(['', n(1)])}{dot}{rng.choice(['com', 'org', 'example.com', 'co.uk', 'de', 'example.org'])}"
     if kind == 1:
@@ -273,14 +329,18 @@ def labelled(text: str, spans: list[tuple[int, int, int]], low: int, high: int)
 
 
 def examples(texts: list[str], seed: int = 5, made: int = 3_000, most: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows: at most ``most`` around digits and @ of the texts, and ``made`` with generated spans."""
+    """Training windows: at most ``most`` anywhere in the texts and ``most`` around their digits and @, and ``made`` with generated spans."""
     rng = np.random.default_rng(seed)
-    rows, lines = [], []
+    rows, lines, plain = [], [], 0
     for text in texts:
         spans = pattern_spans(text)
+        low = int(rng.integers(max(1, len(text) - WINDOW)))
+        if plain < most and text and not any(s < low < e or s < low + WINDOW < e for s, _, e in spans):
+            rows.append(labelled(text, spans, low, low + WINDOW))
+            plain += 1
         last = -1
         for m in _TRIGGER.finditer(text):
-            if m.start() > last and len(rows) < most:
+            if m.start() > last and len(rows) - plain < most:
                 low = max(0, m.start() - int(rng.integers(8, 56)))
                 if not any(s < low < e or s < low + WINDOW < e for s, _, e in spans):
                     rows.append(labelled(text, spans, low, low + WINDOW))
@@ -313,57 +373,55 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     return fit(*examples([r["_text"] for r in some.select("_text").toLocalIterator()]))
 
 
-def _stretches(points: np.ndarray) -> list[tuple[int, int]]:
-    hot = np.flatnonzero(((points >= 48) & (points <= 57)) | (points == 64))
+_CENTRE = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
+
+
+def _stretches(p: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of a text's tag probabilities that need a Viterbi pass; the best path is outside in all others."""
+    with np.errstate(divide="ignore"):
+        hot = np.flatnonzero(np.log(p[:, 0] + 1e-12) - np.log(p[:, 1:].max(1) + 1e-12) < LOSS)
     if not len(hot):
         return []
-    gaps = np.flatnonzero(np.diff(hot) > 2 * MARGIN)
+    gaps = np.flatnonzero(np.diff(hot) > 2 * CALM)
     first, last = hot[np.concatenate([[0], gaps + 1])], hot[np.concatenate([gaps, [len(hot) - 1]])]
-    return [(max(0, int(a) - MARGIN), min(len(points), int(b) + MARGIN + 1)) for a, b in zip(first, last, strict=True)]
-
-
-_CENTRE = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
+    return [(max(0, int(a) - CALM), min(len(p), int(b) + CALM + 1)) for a, b in zip(first, last, strict=True)]
+
+
+def _averaged(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
+    """Tag probabilities of each text, averaged over its windows."""
+    coded = [letters(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")) for t in texts]
+    sums = [np.zeros((len(c), TAGS), np.float32) for c in coded]
+    weights = [np.zeros((len(c), 1), np.float32) for c in coded]
+    places = [(k, at) for k, c in enumerate(coded) for at in range(0, max(1, len(c) - WINDOW + STRIDE), STRIDE) if len(c)]
+    for low in range(0, len(places), BATCH):
+        part = places[low : low + BATCH]
+        x = np.zeros((len(part), WINDOW), np.int64)
+        for row, (k, at) in zip(x, part, strict=True):
+            row[: min(WINDOW, len(coded[k]) - at)] = coded[k][at : at + WINDOW]
+        for (k, at), p in zip(part, probabilities(tagger, x.T).transpose(1, 0, 2), strict=True):
+            length = min(WINDOW, len(coded[k]) - at)
+            sums[k][at : at + length] += p[:length] * _CENTRE[:length, None]
+            weights[k][at : at + length] += _CENTRE[:length, None]
+    return [s / w for s, w in zip(sums, weights, strict=True)]
 
 
 def tag(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Spans the network finds in each text, with a digit or @ in each."""
-    stretches, x = [], []
-    for k, text in enumerate(texts):
-        if not _TRIGGER.search(text):
-            continue
-        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        for low, high in _stretches(points):
-            coded = letters(points[low:high])
-            starts = list(range(0, max(1, len(coded) - WINDOW + STRIDE), STRIDE))
-            stretches.append((k, low, len(coded), len(x), len(starts)))
-            for s in starts:
-                row = np.zeros(WINDOW, np.int64)
-                part = coded[s : s + WINDOW]
-                row[: len(part)] = part
-                x.append(row)
+    """Spans the network finds in each text."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not stretches:
-        return out
-    probability = np.concatenate([marginals(tagger, np.stack(x[i : i + 512]).T).transpose(1, 0, 2) for i in range(0, len(x), 512)])
-    joined = []
-    for _, _, size, first, count in stretches:
-        total = np.zeros((size, TAGS))
-        weight = np.zeros((size, 1))
-        for j in range(count):
-            at = j * STRIDE
-            length = min(WINDOW, size - at)
-            total[at : at + length] += probability[first + j, :length] * _CENTRE[:length, None]
-            weight[at : at + length] += _CENTRE[:length, None]
-        joined.append(total / weight)
-    order = sorted(range(len(joined)), key=lambda i: len(joined[i]))
-    for low in range(0, len(order), 256):
-        group = order[low : low + 256]
-        for i, tags in zip(group, _viterbi([joined[i] for i in group]), strict=True):
-            k, offset, *_ = stretches[i]
-            for start, kind, end in _spans(tags, joined[i]):
-                if _TRIGGER.search(texts[k], offset + start, offset + end):
-                    out[k].append((offset + start, kind, offset + end))
-    return out
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) <= BATCH * WINDOW):
+            size += len(texts[last])
+            last += 1
+        parts = [(first + k, low, p[low:high]) for k, p in enumerate(_averaged(tagger, texts[first:last])) for low, high in _stretches(p)]
+        parts.sort(key=lambda part: len(part[2]))
+        for at in range(0, len(parts), 256):
+            group = parts[at : at + 256]
+            for (k, low, p), tags in zip(group, _viterbi([p for _, _, p in group]), strict=True):
+                out[k] += [(low + start, kind, low + end) for start, kind, end in _spans(tags, p)]
+        first = last
+    return [sorted(spans) for spans in out]
 
 
 def _viterbi(parts: list[np.ndarray]) -> list[np.ndarray]:

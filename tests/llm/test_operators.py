@@ -284,6 +284,30 @@ def test_pii_windows_join(tagged):
     assert spans == sorted(spans) and all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_pii_probabilities_are_the_marginals():
+    rng = np.random.default_rng(3)
+    f = lambda *shape: rng.normal(0, 0.5, shape)
+    p = {"o": f(40, pii.TAGS), "ob": f(pii.TAGS), "t": f(pii.TAGS + 1, pii.TAGS), **{k + d: f(100 if k == "e" else 20, 80) for k in "eu" for d in "fb"}}
+    x, _ = pii.examples([], seed=78, made=50)
+    assert np.abs(pii.probabilities(pii.Tagger(p), x.T) - pii.marginals(pii.Tagger(p), x.T))[x.T > 0].max() < 1e-3
+
+
+def test_pii_whole_texts_are_tagged(monkeypatch):
+    """Whatever the network finds is a span: without digit or @, far from one, and longer than a window."""
+
+    def stub(_, x):
+        out = np.full((*x.shape, pii.TAGS), 1e-9)
+        on = x == ord("q") - 31
+        begin = on & ~np.concatenate([np.zeros((1, x.shape[1]), bool), on[:-1]])
+        out[..., 0], out[..., 1], out[..., 2] = ~on, begin & on, on & ~begin
+        return out + 1e-9
+
+    monkeypatch.setattr(pii, "probabilities", stub)
+    texts = ["", "no", "ab qqqqq cd", "7 " + "a" * 90 + " " + "q" * 400 + " b", "q" * 30, "a" * 200_000 + " qq"]
+    assert pii.tag(None, texts) == [[(m.start(), 0, m.end()) for m in re.finditer("q+", t)] for t in texts]
+    assert (pii.letters(np.array([ord(c) for c in "٥5５é"])) == [22, 22, 22, 97]).all()
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return bpe.load_vocabulary(importlib.import_module("public_tokenizers").path("byte_bpe_50k.json"))
