@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustledger.llm import bpe, decontamination, language, licenses, pii, quality, sharding, similarity, substrings, toxicity
+from gustledger.llm import bpe, clustering, decontamination, language, licenses, pii, quality, sharding, similarity, substrings, toxicity, whitening
 from gustledger.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +118,34 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(listed, ",").alias("spans"), F.coalesce(F.array_max(F.transform("licenses", lambda m: m["coverage"])), F.lit(0.0)).alias("coverage"))
 
 
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        assigned, centroids = clustering.cluster(table(spark, sf_dir, "embeddings"), scratch, k=16, rounds=3, length=64, scale=64)
+        sums = clustering.inertia(assigned)
+        digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+        facts = spark.createDataFrame([(c, s, sum(sums.values()), digests[c]) for c, s in sums.items()], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+        # One row per centroid, sixteen at most.
+        joined = assigned.join(F.broadcast(facts), "cluster")
+        return scratch.result(joined.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    with Scratch(spark) as scratch:
+        model = whitening.fit(embeddings, scratch)
+        if model is None:
+            return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+        rows = scratch.store(whitening.transform(embeddings, model))
+        error = whitening.identity_error(rows, model)
+        shares = F.array(*[F.lit(float(v / model.trace) if model.trace > 0 else 0.0) for v in model.variances])
+        each = rows.select(F.col("id").alias("vec_id"), F.expr("try_cast(deviation AS long)").alias("deviation"), F.posexplode("whitened").alias("component", "whitened"))
+        return scratch.result(
+            each.select("vec_id", (F.col("component") + 1).alias("component"), F.lit(model.count).cast("long").alias("n"), "deviation", "whitened", shares[F.col("component")].alias("explained"), F.lit(error).alias("identity_error"))
+        )
+
+
 ORACLES["op1_decontamination"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -177,3 +206,41 @@ kept AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+def _clustering_sql() -> str:
+    """Three rounds of assignment and floor means, one after the other, then the last assignment."""
+    parts = [
+        """p AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)""",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x
+  FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, x FROM p ORDER BY h NULLS LAST, x LIMIT 16))""",
+    ]
+    for k in range(4):
+        parts.append(
+            f"""a{k} AS MATERIALIZED (
+  SELECT r, min(d) AS d, arg_min(c, d * 16 + c) AS c
+  FROM (SELECT r, c, list_sum(list_transform(list_zip(p.x, c{k}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p, c{k})
+  GROUP BY r)"""
+        )
+        if k < 3:
+            parts.append(
+                f"""c{k + 1} AS MATERIALIZED (
+  WITH m AS (
+    SELECT c, i, CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END AS v
+    FROM (SELECT c, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{k} JOIN p USING (r), range(1, 65) t(i) GROUP BY c, i)),
+  l AS (SELECT c, list(v::BIGINT ORDER BY i) AS x FROM m GROUP BY c)
+  SELECT c{k}.c, coalesce(l.x, c{k}.x) AS x FROM c{k} LEFT JOIN l ON l.c = c{k}.c)"""
+            )
+    return "WITH " + ",\n".join(parts) + """
+SELECT p.vec_id, a3.c::INTEGER AS cluster, a3.d AS distance,
+  (sum(a3.d) OVER (PARTITION BY a3.c))::BIGINT AS cluster_inertia, (sum(a3.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM p JOIN a3 USING (r) JOIN c3 ON c3.c = a3.c
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _clustering_sql()
