@@ -33,11 +33,13 @@ from pyspark.sql.types import StructType
 from gustledger.llm import vectors
 from gustledger.llm.scratch import Scratch
 
-#: Columns in the block beyond the wanted ones, degree of the filter, largest residual, most filter cycles.
+#: Columns in the block beyond the wanted ones, degree of the filter, largest residual, most filter cycles, and the
+#: most by which the filter may lift one wanted direction over another.
 GUARD = 24
 DEGREE = 10
 TOLERANCE = 2e-13
 CYCLES = 100
+SPREAD = 1e8
 #: An eigenvalue below this share of the largest counts as none.
 NO_VARIANCE = 1e-12
 
@@ -87,7 +89,10 @@ def filtered(multiply: Callable[[np.ndarray], np.ndarray], block: np.ndarray, pr
 def leading(multiply: Callable[[np.ndarray], np.ndarray], length: int, wanted: int, guard: int = GUARD, degree: int = DEGREE, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, float]:
     """The ``wanted`` largest eigenvalues, their eigenvectors (columns) and the largest certified residual.
 
-    A block as wide as the space needs no filter. If the residual isn't reached an error is raised.
+    A block as wide as the space needs no filter. Certified leading pairs are locked: the filter runs
+    on what is orthogonal to them. Its degree is held down while the largest eigenvalue left would
+    outgrow the last wanted one by more than ``SPREAD``, which would cost the latter its digits. If the
+    residual isn't reached an error is raised.
     """
     width = min(length, wanted + guard)
     block = np.linalg.qr(np.random.Generator(np.random.PCG64(7)).standard_normal((length, width)))[0]
@@ -96,15 +101,25 @@ def leading(multiply: Callable[[np.ndarray], np.ndarray], length: int, wanted: i
         values, turn = np.linalg.eigh((block.T @ product + product.T @ block) / 2)
         values, turn = values[::-1], turn[:, ::-1]
         block, product = block @ turn, product @ turn
-        top, edge = values[0], max(values[-1], 0.0)
-        residual = np.linalg.norm(product[:, :wanted] - block[:, :wanted] * values[:wanted], axis=0).max(initial=0.0)
-        if top <= 0 or residual <= tolerance * top:
-            return values[:wanted], block[:, :wanted], float(residual / top) if top > 0 else 0.0
-        # With no variance outside the block a plain product already removes the rest.
-        edge = edge if edge > NO_VARIANCE * top else NO_VARIANCE * top
-        # The columns are ordered by eigenvalue: those that grow least give way to those that grow most.
-        block = np.linalg.qr(filtered(multiply, block, product, degree, edge, top) if edge < top else product)[0]
-    raise ArithmeticError(f"no certified components after {CYCLES} cycles; residual {residual / top:.1e}")
+        top = values[0]
+        residual = np.linalg.norm(product[:, :wanted] - block[:, :wanted] * values[:wanted], axis=0)
+        done = residual <= tolerance * top
+        if top <= 0 or done.all():
+            return values[:wanted], block[:, :wanted], float(residual.max(initial=0.0) / top) if top > 0 else 0.0
+        locked = int(done.argmin())
+        held, active = block[:, :locked], slice(locked, None)
+        # Without variance beyond the block any small edge will do.
+        edge = max(values[-1], NO_VARIANCE * top)
+        reach = np.arccosh(np.maximum(2 * values[[locked, wanted - 1]] / edge - 1, 1))
+        steps = int(np.clip(np.log(SPREAD) / max(reach[0] - reach[1], 1e-9), 1, degree))
+
+        def apart(q: np.ndarray, held: np.ndarray = held) -> np.ndarray:
+            return q - held @ (held.T @ q)
+
+        grown = filtered(lambda q, apart=apart: apart(multiply(q)), block[:, active], apart(product[:, active]), steps, edge, max(values[locked], 2 * edge))
+        # Ordered by eigenvalue: columns that grow least give way to those that grow most.
+        block = np.linalg.qr(np.hstack([held, grown]))[0]
+    raise ArithmeticError(f"no certified components after {CYCLES} cycles; residual {residual.max() / top:.1e}")
 
 
 def usual_length(df: DataFrame, vector_col: str) -> int | None:
