@@ -485,14 +485,15 @@ def find(docs: DataFrame, tagger: Tagger, text_col: str = "text", base_col: str
 
 
 def mask(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind, as in ``<EMAIL>``; of overlapping spans the first counts."""
+    """``docs`` with every span replaced by its kind, as in ``<EMAIL>``; overlapping spans go together under the name of the first."""
     held = find(docs, tagger, text_col, "_base_found", "_spans_found")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
         put = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(acc)
+        wider = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(wider)
 
     done = F.aggregate("_spans_found", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
     return held.select(*[F.when(F.size("_spans_found") > 0, done).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns])

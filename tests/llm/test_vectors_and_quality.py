@@ -299,3 +299,27 @@ def test_whitening_query_is_whole(spark):
     facts = got.groupBy("component").agg(F.count("*").alias("rows"), F.countDistinct("vec_id").alias("ids"), F.max("identity_error").alias("error"), F.first("explained").alias("share")).orderBy("component").collect()
     assert [(r["component"], r["rows"], r["ids"]) for r in facts] == [(c, 500, 500) for c in range(1, 9)]
     assert facts[0]["error"] <= 1e-4 and sorted((r["share"] for r in facts), reverse=True) == [r["share"] for r in facts]
+
+
+def test_mask_takes_overlapping_spans_together(spark, docs):
+    """Every pair of kinds that overlap, one in the other, or touch: nothing of either stays."""
+    import gustledger.llm.pii as pii
+
+    text = "0123456789abcdefghij"
+    cases = [((2, 8), (5, 12)), ((2, 12), (4, 6)), ((2, 6), (6, 9)), ((2, 6), (2, 9))]
+    spans = [[(a, j, b), (c, k, d)] for (a, b), (c, d) in cases for j in range(4) for k in range(4)]
+    original, rows = pii.find, [(n, text) for n in range(len(spans))]
+
+    def found(frame, tagger, text_col, base_col, spans_col):
+        kind = "array<struct<start:int,kind:int,end:int>>"
+        table = frame.sparkSession.createDataFrame([(n, s) for n, s in enumerate(spans)], f"_n long, {spans_col} {kind}")
+        return frame.join(table, F.col("doc_id") == F.col("_n")).drop("_n")
+
+    pii.find = found
+    try:
+        got = {r["doc_id"]: r["text"] for r in pii.mask(docs(rows), None).collect()}
+    finally:
+        pii.find = original
+    for n, ((a, j, b), (c, k, d)) in enumerate(spans):
+        first, second = (f"<{pii.KINDS[i].upper()}>" for i in (j, k))
+        assert got[n] == (text[:a] + first + second + text[d:] if c >= b else text[:a] + first + text[max(b, d) :])
