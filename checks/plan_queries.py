@@ -13,10 +13,10 @@ from checks.adjustment_queries import v_adjust
 from checks.registry import VIEWS, query, view
 from checks.source_queries import fresh_folder, order_state
 from gustledger.plans import monthly
-from gustledger.plans.export import export_rows, incremental_export
+from gustledger.plans.export import export_rows, incremental_export, publish_export
 from gustledger.plans.settle import settle
 from gustledger.plans.weekly import weekly
-from gustledger.sources import extracts, readers, writers
+from gustledger.sources import readers, state, writers
 from gustledger.sources import schemas as S
 
 
@@ -153,6 +153,27 @@ def export_incremental(spark, d):
 
     lost = (F.substring("period", 1, 4) == "1997") & (F.col("ID") % 11 == 0)
     stored = orders(False)
-    log = extracts.state_checksum(stored, columns, ["period"]).withColumn("last_updated", F.lit("2024-01-01T00:00:00"))
+    log = state.state_checksum(stored, columns, ["period"]).withColumn("last_updated", F.lit("2024-01-01T00:00:00"))
     done = incremental_export("sum", orders(True).where(~lost), stored, log, columns, "2024-02-01T00:00:00")
     return done.rows.join(done.state.select("period", "row_count"), "period").select("period", "ID", "o_custkey", "o_orderpriority", "row_count")
+
+
+# The same, on a stored table: the first run writes everything, the second the changed months only.
+@query(
+    "export_published",
+    """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, o_orderkey, o_custkey, o_orderpriority,
+    year(o_orderdate) = 1997 AND o_orderkey % 11 = 0 AS lost, year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT' AS edited FROM orders),
+  m AS (SELECT period, period >= '2000-01' OR bool_or(lost OR edited) AS again FROM o GROUP BY 1)
+SELECT period, o_orderkey AS "ID", CAST(CASE WHEN edited AND NOT lost THEN o_custkey + 1 ELSE o_custkey END AS BIGINT) AS o_custkey, o_orderpriority,
+  CASE WHEN again THEN '2024-02-01' ELSE '2024-01-01' END AS last_updated
+FROM o JOIN m USING (period)""",
+)
+def export_published(spark, d):
+    columns = ["ID", "o_custkey", "o_orderpriority"]
+    lost = (F.substring("period", 1, 4) == "1997") & (F.col("ID") % 11 == 0)
+    first, second = (order_state(spark, d, changed).withColumnRenamed("o_orderkey", "ID") for changed in (False, True))
+    path = fresh_folder(spark)
+    publish_export(spark, "sum", first, path, columns, "2024-01-01")
+    publish_export(spark, "sum", second.where(~lost), path, columns, "2024-02-01")
+    states = state.latest_state(spark.read.parquet(f"{path}_state"), ["period"])
+    return spark.read.parquet(path).join(states.select("period", "last_updated"), "period").select("period", *columns, "last_updated")

@@ -16,8 +16,8 @@ from gustledger.functions import timegrid as tg
 from gustledger.functions.nulls import row_hash
 from gustledger.functions.numbers import decimal_comma
 from gustledger.operators import kpi as K
-from gustledger.plans.settle import shared_folder
-from gustledger.sources import extracts, readers, writers
+from gustledger.plans.settle import settle, shared_folder
+from gustledger.sources import readers, state, writers
 from gustledger.sources import schemas as S
 
 
@@ -301,33 +301,77 @@ def order_state(spark, d, changed: bool):
     return o.where(F.col("period") < "2000-01")
 
 
+STATE_COLUMNS = ["odd", "even", "o_orderpriority"]
+
+
+def order_pairs(spark, d, changed: bool):
+    """Every order as two equal rows, its customer in one of two columns, the other one NULL.
+
+    Changed: customers of urgent orders of 1997, in both rows alike; orders of 1996 whose customer
+    moved to the other column. Months from 2000 on are not stored yet.
+    """
+    o = V.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", tg.period_of(F.col("o_orderdate")).alias("period"))
+    year, customer, even = F.substring("period", 1, 4), F.col("o_custkey"), F.col("o_orderkey") % 2 == 0
+    if changed:
+        customer = F.when((year == "1997") & (F.col("o_orderpriority") == "1-URGENT"), customer + 1).otherwise(customer)
+        even = F.when((year == "1996") & (F.col("o_orderkey") % 7 == 0), ~even).otherwise(even)
+    else:
+        o = o.where(F.col("period") < "2000-01")
+    placed = o.select("period", F.when(~even, customer).alias("odd"), F.when(even, customer).alias("even"), "o_orderpriority")
+    return placed.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+
+
+_PAIRS_SQL = """SELECT strftime(o_orderdate, '%Y-%m') AS period, 2 * count(*) AS n,
+    count(*) FILTER (WHERE (year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT') OR (year(o_orderdate) = 1996 AND o_orderkey % 7 = 0)) AS edited FROM orders GROUP BY 1"""
+_STATUS_SQL = """CASE WHEN s.period >= '2000-01' THEN 'METADATA_MISSING' WHEN s.edited = 0 THEN 'NO_CHANGE' ELSE 'CHANGE_DETECTED' END"""
+
+
 @query(
     "state_checksum",
-    """SELECT s.period, s.n AS row_count, CASE WHEN s.period < '2000-01' THEN s.n END AS stored_count,
-  CASE WHEN s.period >= '2000-01' THEN 'METADATA_MISSING' WHEN s.edited = 0 THEN 'NO_CHANGE' ELSE 'CHANGE_DETECTED' END AS status
-  FROM (SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n,
-    count(*) FILTER (WHERE year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT') AS edited FROM orders GROUP BY 1) s""",
+    f"SELECT s.period, s.n AS row_count, CASE WHEN s.period < '2000-01' THEN s.n END AS stored_count, {_STATUS_SQL} AS status FROM ({_PAIRS_SQL}) s",
 )
 def state_checksum(spark, d):
-    columns = ["o_orderkey", "o_custkey", "o_orderpriority"]
-    now = extracts.state_checksum(order_state(spark, d, True), columns, ["period"])
-    stored = extracts.state_checksum(order_state(spark, d, False), columns, ["period"])
-    return extracts.changed_periods(now, stored, ["period"])
+    now, stored = (state.state_checksum(order_pairs(spark, d, changed), STATE_COLUMNS, ["period"]) for changed in (True, False))
+    return state.changed_periods(now, stored, ["period"])
+
+
+@query(
+    "state_by_file",
+    f"""SELECT s.period, s.n AS row_count, s.period >= '2000-01' OR s.edited > 0 AS rewritten, s.edited = 0 AND s.period < '2000-01' AS carried, true AS merged FROM ({_PAIRS_SQL}) s""",
+)
+def state_by_file(spark, d):
+    """States of files: a stored table gets its changed months rewritten, and only their files are read again."""
+    path = fresh_folder(spark)
+    writers.write_partitioned(order_pairs(spark, d, False), path)
+    before = settle(state.file_states(spark, path, STATE_COLUMNS))
+    now = order_pairs(spark, d, True)
+    whole = state.state_checksum(now, STATE_COLUMNS, ["period"])
+    months = state.changed_periods(whole, state.merge_states(before, ["period"]), ["period"]).where("status <> 'NO_CHANGE'")
+    writers.write_partitioned(now.join(months, "period", "left_semi"), path)
+    after = settle(state.file_states(spark, path, STATE_COLUMNS, before))
+    carried = after.join(before, state.FILE, "left_semi").select("period").distinct().withColumn("carried", F.lit(True))
+    merged = state.merge_states(after, ["period"]).withColumnRenamed("checksum", "_by_file").join(whole.drop("row_count"), "period")
+    changed = months.select("period", F.lit(True).alias("rewritten"))
+    return merged.join(changed, "period", "left").join(carried, "period", "left").select(
+        "period", "row_count", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("rewritten", "carried")], (F.col("_by_file") == F.col("checksum")).alias("merged")
+    )
 
 
 @query(
     "state_metadata",
-    """SELECT o_orderpriority AS "table", strftime(o_orderdate, '%Y-%m') AS period, arg_max(o_custkey, o_orderkey) AS row_count, max(o_orderkey) AS last_updated
-  FROM orders GROUP BY 1, 2""",
+    f"""SELECT 'orders' AS "table", s.period, s.n AS row_count, CASE WHEN s.edited > 0 OR s.period >= '2000-01' THEN '2024-02-01' ELSE '2024-01-01' END AS last_updated,
+  true AS current FROM ({_PAIRS_SQL}) s""",
 )
 def state_metadata(spark, d):
-    log = V.table(spark, d, "orders").select(
-        F.col("o_orderpriority").alias("table"), tg.period_of(F.col("o_orderdate")).alias("period"),
-        F.col("o_custkey").alias("row_count"), F.col("o_orderkey").alias("last_updated"),
-    )
+    """Two runs append their states; the last one of every month is the one that holds."""
     path = fresh_folder(spark)
-    writers.append_state(log, path)
-    return extracts.latest_state(spark.read.parquet(path))
+    stored, now = (state.state_checksum(order_pairs(spark, d, changed), STATE_COLUMNS, ["period"]) for changed in (False, True))
+    writers.append_state(stored.select(F.lit("orders").alias("table"), "*", F.lit("2024-01-01").alias("last_updated")), path)
+    months = state.changed_periods(now, state.latest_state(spark.read.parquet(path)), ["period"]).where("status <> 'NO_CHANGE'")
+    later = now.join(months, "period", "left_semi")
+    writers.append_state(later.select(F.lit("orders").alias("table"), "*", F.lit("2024-02-01").alias("last_updated")), path)
+    latest = state.latest_state(spark.read.parquet(path))
+    return latest.join(now.select("period", F.col("checksum").alias("_now")), "period").select("table", "period", "row_count", "last_updated", (F.col("checksum") == F.col("_now")).alias("current"))
 
 
 @query(

@@ -1,16 +1,18 @@
-"""Export of one table: correct, reconcile with the stored copy, clean."""
+"""Export of one table: correct, reconcile with the stored copy, clean, and publish with its state."""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustledger.operators import adjustments as J
 from gustledger.operators import quality as Q
 from gustledger.operators.reconcile import reconcile
-from gustledger.sources.extracts import changed_periods, latest_state, state_checksum
+from gustledger.plans.settle import settle
+from gustledger.sources import writers
+from gustledger.sources.state import changed_periods, latest_state, state_checksum
 
 ALARM_KEYS, SIGNAL_KEYS = ["ID"], ["TimeStamp", "StationId"]
 
@@ -75,6 +77,10 @@ def incremental_export(
     ``metadata`` is the appended log of states of this table: ``period, row_count, checksum, last_updated``.
     """
     state = state_checksum(source, columns, ["period"])
+    return _export(kind, source, existing, metadata, state, written_at, adjustments, ranges)
+
+
+def _export(kind, source, existing, metadata, state, written_at, adjustments, ranges) -> Export:
     status = changed_periods(state, latest_state(metadata, ["period"]), ["period"])
     months = status.where("status <> 'NO_CHANGE'").select("period")
     fresh = source.join(months, "period", "left_semi")
@@ -86,3 +92,39 @@ def incremental_export(
         wanted = ranges.join(months, "period", "left_semi")
         complete = Q.completeness(rows, wanted, by=("StationId",), end_inclusive=False)
     return Export(rows, written, stale, complete)
+
+
+def publish_export(
+    spark: SparkSession,
+    kind: str,
+    source: DataFrame,
+    path: str,
+    columns: list[str],
+    written_at: str,
+    adjustments: DataFrame | None = None,
+    ranges: DataFrame | None = None,
+) -> Export:
+    """Run :func:`incremental_export` on the table stored at ``path`` and write what it gives.
+
+    The state of the source is taken before its rows are read, months are staged beside the table
+    and moved into place, and only then is the state appended to ``<path>_state``. A run that dies
+    anywhere leaves months that the state does not claim, and the next run writes them again; a
+    source that changes meanwhile is seen as changed next time. The result tells what was
+    written: its ``rows`` are the stored months, ``state`` their new states.
+    """
+    log = f"{path.rstrip('/')}_state"
+    writers.recover(spark, path)
+    state = settle(state_checksum(source, columns, ["period"]))
+    metadata = spark.read.parquet(log) if writers.exists(spark, log) else state.withColumn("last_updated", F.lit(written_at)).limit(0)
+    existing = spark.read.parquet(path) if writers.exists(spark, path) else source.limit(0)
+    done = _export(kind, source, existing, metadata, state, written_at, adjustments, ranges)
+    written = settle(done.state)
+    if not written.isEmpty():
+        writers.publish(spark, writers.stage(done.rows, path), path)
+        writers.append_state(written, log)
+    stored = spark.read.parquet(path) if writers.exists(spark, path) else source.limit(0)
+    complete = None
+    if done.completeness is not None:
+        wanted = ranges.join(written, "period", "left_semi")
+        complete = Q.completeness(stored, wanted, by=("StationId",), end_inclusive=False)
+    return Export(stored.join(written, "period", "left_semi"), written, done.stale, complete)

@@ -1,4 +1,4 @@
-"""Extracts from a source table (a Parquet or a JDBC relation) and its change state."""
+"""Extracts from a source table (a Parquet or a JDBC relation)."""
 
 from __future__ import annotations
 
@@ -29,37 +29,3 @@ def alarm_extract(source: DataFrame, stopping_codes: DataFrame, start, end, excl
     )
     columns = ["ID", *S.ALARM_COLUMNS]
     return touching.select(columns).unionByName(still_open.select(columns))
-
-
-def state_checksum(df: DataFrame, columns: list[str], by=()) -> DataFrame:
-    """Row count and an order-free checksum, to detect changed rows."""
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("checksum"),
-    )
-
-
-def changed_periods(source_state: DataFrame, stored_state: DataFrame, by: list[str]) -> DataFrame:
-    """Compare two states: unchanged, changed, or not stored yet."""
-    stored = stored_state.select(*by, F.col("row_count").alias("stored_count"), F.col("checksum").alias("stored_checksum"))
-    same = (F.col("row_count") == F.col("stored_count")) & (F.col("checksum") == F.col("stored_checksum"))
-    return (
-        source_state.join(stored, by, "left")
-        .withColumn(
-            "status",
-            F.when(F.col("stored_count").isNull(), "METADATA_MISSING")
-            .when(same, "NO_CHANGE")
-            .otherwise("CHANGE_DETECTED"),
-        )
-        .select(*by, "row_count", "stored_count", "status")
-    )
-
-
-def latest_state(metadata: DataFrame, by=("table", "period")) -> DataFrame:
-    """The last written state of every table and month."""
-    values = [c for c in metadata.columns if c not in by]
-    return (
-        metadata.groupBy(*by)
-        .agg(F.max_by(F.struct(*values), "last_updated").alias("state"))
-        .select(*by, "state.*")
-    )

@@ -8,7 +8,7 @@ import pytest
 from gustledger.operators import adjustments as J
 from gustledger.operators.reconcile import reconcile
 from gustledger.plans.export import export_rows, incremental_export
-from gustledger.sources.extracts import state_checksum
+from gustledger.sources.state import state_checksum
 
 ADJ = "pos long, id long, alarm_code long, station_nr long, time_on string, time_off string, notes string, last_updated string"
 ALARM = "ID long, TimeOn timestamp_ntz, TimeOff timestamp_ntz"
