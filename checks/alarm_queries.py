@@ -346,7 +346,7 @@ BY_INTERVAL = """SELECT period, "StationNr", "TimeStamp", sum(part) AS "Effectiv
 
 @query("alarm_by_interval", BY_INTERVAL.format(source="v_intervals"), ["v_intervals"])
 def alarm_by_interval(spark, d):
-    return A.alarm_by_interval(intervals(spark, d))
+    return A.stopped_by_interval(A.cascade(typed(spark, d)).where(F.col("EffectiveAlarmTime") != 0))
 
 
 @query("text_join", f'SELECT "StationNr", "TimeStamp", "UK Text" FROM ({BY_INTERVAL.format(source="v_intervals")})', ["v_intervals"])

@@ -10,8 +10,9 @@ from checks import alarm_queries as AQ
 from checks import energy_queries as EQ
 from checks import views as V
 from checks.adjustment_queries import v_adjust
+from checks.folders import fresh_folder
 from checks.registry import VIEWS, query, view
-from checks.source_queries import fresh_folder, order_state
+from checks.source_queries import order_state
 from gustledger.plans import monthly
 from gustledger.plans.export import export_rows, incremental_export, publish_export
 from gustledger.plans.settle import settle

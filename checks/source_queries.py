@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from checks import views as V
 from checks.adjustment_queries import DATE_TEXT, LIST, v_adjust
 from checks.energy_queries import KEY_SQL
 from checks.kpi_queries import GROUPED_SQL, grouped
-from checks.quality_queries import ALL_ISSUES, _SCAN_VIEWS, issue_text, scanned
+from checks.quality_queries import _SCAN_VIEWS, ALL_ISSUES, LAST, outage
+from checks.folders import fresh_folder
 from checks.registry import query, view
 from gustledger.functions import timegrid as tg
 from gustledger.functions.nulls import row_hash
 from gustledger.functions.numbers import decimal_comma
 from gustledger.operators import kpi as K
-from gustledger.plans.settle import settle, shared_folder
+from gustledger.operators import quality as Q
+from gustledger.plans.scan import scan_report
+from gustledger.plans.settle import settle
 from gustledger.sources import readers, state, writers
 from gustledger.sources import schemas as S
 
 
-def fresh_folder(spark) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/gustledger-{uuid.uuid4().hex}"
-
-
 def store(df, root: str, kind: str) -> None:
     """Write a month as text in the layout of the readers."""
     df.drop("period").write.option("header", True).option("escape", '"').csv(f"{root}/{kind.upper()}/2024-01-{kind}.csv")
@@ -95,11 +92,13 @@ def loaded(spark, d, first=20, last=119):
     return readers.load_alarms(raw_alarms(spark, d), first, last)
 
 
-@query("load_alarms", f'SELECT {_LOADED}, \'2024-01\' AS period FROM v_loaded WHERE "Alarmcode" IS NOT NULL AND "StationNr" BETWEEN 20 AND 119', ["v_loaded"])
+@query("load_alarms", f'SELECT {_LOADED}, \'2024-01\' AS period FROM v_loaded WHERE "Alarmcode" IS NOT NULL', ["v_loaded"])
 def load_alarms(spark, d):
+    """The stored log of the stations that the alarms themselves name."""
     root = fresh_folder(spark)
     store(raw_alarms(spark, d), root, "sum")
-    return readers.load_alarms(readers.read_signal(spark, root, "sum"), 20, 119)
+    named = V.v_alarm(spark, d).agg(F.min("StationNr").alias("first"), F.max("StationNr").alias("last")).first()
+    return readers.load_alarms(readers.read_signal(spark, root, "sum"), named["first"], named["last"])
 
 
 @query("drop_null_code", 'SELECT "ID", "Alarmcode" FROM v_loaded WHERE "Alarmcode" IS NOT NULL', ["v_loaded"])
@@ -285,10 +284,10 @@ def write_grouped(spark, d):
     _SCAN_VIEWS,
 )
 def write_issue_report(spark, d):
-    issues, summary = scanned(spark, d)
-    path = fresh_folder(spark)
-    writers.write_report(issues, summary, path)
-    return spark.read.schema(issues.schema).json(f"{path}/issues").select("type", "station_id", "sensor", "count", "completeness_pct")
+    met, path = fresh_folder(spark), fresh_folder(spark)
+    writers.write_partitioned(outage(spark, d), met)
+    scan_report(spark.read.parquet(met), LAST, path, manifest=state.month_manifest(spark, met))
+    return spark.read.schema(Q.ISSUE_SCHEMA).json(f"{path}/issues").select("type", "station_id", "sensor", "count", "completeness_pct")
 
 
 # --------------------------------------------------------------- change state

@@ -303,13 +303,8 @@ def to_intervals(al: DataFrame, step: timedelta = tg.TEN_MINUTES, split_types: b
     """
     on, off = F.col("NewTimeOn"), F.col("TimeOff")
     rows = al.withColumn("TimeStamp", F.explode(tg.stamps(tg.ceil_to(on, step), tg.ceil_to(off, step), step)))
-    rows = rows.withColumn("EffectiveAlarmTime", tg.overlap_seconds(F.col("TimeStamp"), on, off, step))
-    if split_types:
-        for kind in S.STOPPING_TYPES:
-            rows = rows.withColumn(
-                f"Period {kind}(s)", F.when(F.col("Error Type") == kind, F.col("EffectiveAlarmTime")).otherwise(0.0)
-            )
-    return rows
+    seconds = tg.overlap_seconds(F.col("TimeStamp"), on, off, step)
+    return _typed_seconds(rows, seconds) if split_types else rows.withColumn("EffectiveAlarmTime", seconds)
 
 
 def alarm_by_interval(intervals: DataFrame) -> DataFrame:
@@ -318,14 +313,51 @@ def alarm_by_interval(intervals: DataFrame) -> DataFrame:
     The texts of one cell are few: after the cascade the alarms of a station do not
     overlap, so a cell holds no more than fit in one step one after the other.
     """
+    return _by_interval(intervals)
+
+
+def _by_interval(intervals: DataFrame, *more: Column) -> DataFrame:
     return intervals.groupBy(*STATION_KEYS, "TimeStamp").agg(
         F.sum("EffectiveAlarmTime").alias("EffectiveAlarmTime"),
         F.sum("Period 0(s)").alias("Period 0(s)"),
         F.sum("Period 1(s)").alias("Period 1(s)"),
         F.expr("listagg(`UK Text`, '|') WITHIN GROUP (ORDER BY TimeOn, ID)").alias("UK Text"),
+        *more,
     )
 
 
+def stopped_by_interval(al: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
+    """``alarm_by_interval(to_intervals(al))`` for alarms of a station that do not overlap, as after :func:`cascade`.
+
+    Such an alarm shares at most its first and its last interval with others. Only these two are
+    aggregated; the full intervals between them are one run per alarm, laid out after the
+    shuffle. So what is shuffled follows the number of alarms and not their length. Alarms without
+    time of their own lie inside others after the cascade and must be left out before.
+    """
+    on, off, whole = F.col("NewTimeOn"), F.col("TimeOff"), float(step.total_seconds())
+    first, last = tg.ceil_to(on, step), tg.ceil_to(off, step)
+    # The edges: one interval for an alarm inside one, else two. The run goes with the first of them.
+    stamp = F.explode(F.when(first < last, F.array(first, last)).when(first == last, F.array(first)).otherwise(F.array().cast("array<timestamp_ntz>")))
+    run = F.struct(tg.plus(first, step).alias("start"), tg.plus(last, -step).alias("end"), "Error Type", "UK Text")
+    edges = _typed_seconds(al.withColumn("TimeStamp", stamp), tg.overlap_seconds(F.col("TimeStamp"), on, off, step))
+    edges = edges.withColumn("_run", F.when((F.col("TimeStamp") == first) & (first < tg.plus(last, -step)), run))
+    cells = _by_interval(edges, F.collect_list("_run").alias("_runs"))
+
+    def laid_out(r: Column) -> Column:
+        kinds = [F.when(r["Error Type"] == k, whole).otherwise(0.0).alias(f"Period {k}(s)") for k in S.STOPPING_TYPES]
+        return F.transform(tg.stamps(r["start"], r["end"], step), lambda t: F.struct(t.alias("TimeStamp"), F.lit(whole).alias("EffectiveAlarmTime"), *kinds, r["UK Text"].alias("UK Text")))
+
+    values = ["TimeStamp", "EffectiveAlarmTime", *[f"Period {k}(s)" for k in S.STOPPING_TYPES], "UK Text"]
+    own = F.array(F.struct(*[F.col(f"`{c}`") for c in values]))
+    return cells.select(*STATION_KEYS, F.inline(F.concat(own, F.flatten(F.transform("_runs", laid_out)))))
+
+
+def _typed_seconds(rows: DataFrame, seconds: Column) -> DataFrame:
+    rows = rows.withColumn("EffectiveAlarmTime", seconds)
+    split = {f"Period {k}(s)": F.when(F.col("Error Type") == k, F.col("EffectiveAlarmTime")).otherwise(0.0) for k in S.STOPPING_TYPES}
+    return rows.withColumns(split)
+
+
 def warning_duration(intervals: DataFrame, per_station: bool = True) -> DataFrame:
     """Seconds under the power-limit warning per stamp.
 

@@ -249,21 +249,34 @@ def statistical_energy(curve: DataFrame, distribution: DataFrame, season: DataFr
     return season.select("month", (yearly / F.lit(8760.0) / F.lit(6.0) * F.col("value")).alias("statistical_energy"))
 
 
+def running_means(res: DataFrame) -> DataFrame:
+    """Per stamp the mean energy and the number of the running turbines, as ``_mean`` and ``_count``.
+
+    A task adds up its own rows of a stamp first: one row per stamp and task is shuffled.
+    """
+    mean, count = running_energy(operational())
+    return res.groupBy(*STAMP).agg(mean.alias("_mean"), count.alias("_count"))
+
+
 def potential_cascade(
     res: DataFrame, curve: DataFrame, stat: DataFrame, total: int = S.TURBINES, loss: float = 0.08, keys=tuple(STAMP)
 ) -> DataFrame:
-    """Choose the potential energy of every row and name the method.
+    """Choose the potential energy of every row and name the method, with averages over the stamp by a window."""
+    stamp = Window.partitionBy(*keys)
+    mean, count = running_energy(F.col("_running"))
+    rows = res.withColumn("_running", operational()).withColumns({"_mean": mean.over(stamp), "_count": count.over(stamp)})
+    return choose_potential(rows.drop("_running"), curve, stat, total, loss)
+
+
+def choose_potential(rows: DataFrame, curve: DataFrame, stat: DataFrame, total: int = S.TURBINES, loss: float = 0.08) -> DataFrame:
+    """Choose the potential energy of rows that carry ``_mean`` and ``_count`` of their stamp, and name the method.
 
     1. a running turbine: its own energy; 2. else the corrected mean of the running
     turbines at that stamp, or the own energy if larger; 3. else the power curve at
     the own wind; 4. else the wind statistics of the month; 3 and 4 at least the own energy.
     """
-    stamp = Window.partitionBy(*keys)
     own = F.col("Energy_To_Use")
-    mean, count = running_energy(F.col("_running"))
-    rows = res.withColumn("_running", operational()).withColumns(
-        {"_mean": mean.over(stamp), "_count": count.over(stamp), "_month": F.month("TimeStamp")}
-    )
+    rows = rows.withColumns({"_running": operational(), "_month": F.month("TimeStamp")})
     rows = rows.withColumn("Available Turbines", F.when(F.col("_count") > 0, F.col("_count")))
     rows = rows.withColumn("Correction Factor", correction_factor(F.col("Available Turbines"), total, loss))
     rows = rows.withColumn("_average", half_even(F.col("_mean") * F.col("Correction Factor")))

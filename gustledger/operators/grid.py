@@ -27,7 +27,7 @@ def period_end(counter: DataFrame) -> DataFrame:
 
 
 def make_grid(stations: DataFrame, bounds: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
-    """Every station at every stamp of every month.
+    """Every station at every stamp of every month, with the station list's other columns.
 
     Days are laid out first and spread over the cluster; each task then fills in the
     stamps of its station-days, so a long range is not produced by a few tasks.
@@ -37,13 +37,13 @@ def make_grid(stations: DataFrame, bounds: DataFrame, step: timedelta = tg.TEN_M
     months = bounds.agg(F.collect_list(F.struct("period", "period_start", "period_end")).alias("months")).scalar()
     day = timedelta(days=1)
     days = (
-        stations.select("StationId", F.inline(months))
+        stations.select("*", F.inline(months))
         .where(F.col("period_start") <= F.col("period_end"))
         .withColumn("_day", F.explode(tg.stamps(tg.ceil_to(F.col("period_start"), step), F.col("period_end"), max(day, step))))
         .repartition("StationId", "_day")
     )
     last = F.least(tg.plus(F.col("_day"), max(day, step) - timedelta(microseconds=1)), F.col("period_end"))
-    return days.select("period", "StationId", F.explode(tg.stamps(F.col("_day"), last, step)).alias("TimeStamp"))
+    return days.select("period", *stations.columns, F.explode(tg.stamps(F.col("_day"), last, step)).alias("TimeStamp"))
 
 
 def expand_grid(df: DataFrame, grid: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gustledger.functions import presence as P
 from gustledger.functions import timegrid as tg
 from gustledger.functions.nulls import is_true
 from gustledger.sources import schemas as S
@@ -92,16 +93,9 @@ def completeness(
 
     Counts distinct stamps that lie on the grid; a month without rows misses all.
     """
-    start, end, ts = F.col("range_start"), F.col("range_end"), F.col("TimeStamp")
-    seen = F.count_distinct(F.when(on_grid(ts, start, end, step, end_inclusive), ts))
-    counts = (
-        df.select("period", *by, "TimeStamp")
-        .join(months(ranges), "period")
-        .groupBy("period", *by)
-        .agg(seen.alias("_seen"))
-    )
-    counts = ranges.join(counts, "period", "inner" if by else "left")
-    expected, found = expected_count(start, end, step, end_inclusive), F.coalesce("_seen", F.lit(0))
+    counts = presence(df, ranges, step, by, end_inclusive)
+    found = F.coalesce(P.steps_counted(F.col(SEEN)), F.lit(0))
+    expected = expected_count(F.col("range_start"), F.col("range_end"), step, end_inclusive)
     return counts.select(
         "period",
         *by,
@@ -111,20 +105,37 @@ def completeness(
     )
 
 
-def expected_stamps(ranges: DataFrame, step: timedelta) -> DataFrame:
-    return ranges.select("period", F.explode(tg.stamps(F.col("range_start"), F.col("range_end"), step)).alias("TimeStamp"))
+SEEN = "_seen"
+
+
+def presence(df: DataFrame, ranges: DataFrame, step: timedelta, by=(), end_inclusive: bool = True) -> DataFrame:
+    """The ranges with a bitmap ``_seen`` of the steps that have rows, per month (and ``by``).
+
+    One shuffle, of one row per task and group. A month without rows has no bitmap, and with ``by`` no row.
+    """
+    groups = with_steps(df, ranges, step, end_inclusive).groupBy("period", *by).agg(P.steps_seen(F.col(STEP), step).alias(SEEN))
+    return ranges.join(groups, "period", "inner" if by else "left")
+
+
+STEP = "_step"
+
+
+def with_steps(df: DataFrame, ranges: DataFrame, step: timedelta, end_inclusive: bool = True) -> DataFrame:
+    """Rows with the number of their step in the range of their month; NULL beside the grid."""
+    start, end, ts = F.col("range_start"), F.col("range_end"), F.col("TimeStamp")
+    number = F.when(on_grid(ts, start, end, step, end_inclusive), P.step_number(ts, start, step))
+    return df.join(months(ranges), "period").withColumn(STEP, number).drop("range_start", "range_end")
+
+
+def at_step(number: Column, step: timedelta) -> Column:
+    return F.timestamp_add("MICROSECOND", number * F.lit(tg.to_micros(step)), F.col("range_start"))
 
 
 def missing_timestamps(df: DataFrame, ranges: DataFrame, step: timedelta = tg.TEN_MINUTES, by=()) -> DataFrame:
     """Expected stamps without a row, per month (and per value of ``by`` that has rows)."""
-    expected = expected_stamps(ranges, step)
-    if by:
-        # A join on the month: every group of a month is laid over the stamps of that month.
-        groups = df.select("period", *by).distinct().join(months(ranges), "period")
-        expected = groups.select(
-            "period", *by, F.explode(tg.stamps(F.col("range_start"), F.col("range_end"), step)).alias("TimeStamp")
-        )
-    return expected.join(df.select("period", *by, "TimeStamp"), ["period", *by, "TimeStamp"], "left_anti")
+    expected = expected_count(F.col("range_start"), F.col("range_end"), step)
+    gaps = presence(df, ranges, step, by).withColumn(STEP, F.explode(P.steps_absent(F.col(SEEN), expected)))
+    return gaps.select("period", *by, at_step(F.col(STEP), step).alias("TimeStamp"))
 
 
 def first_ten(missing: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,29 +173,28 @@ def completeness_issue(missing: DataFrame, keys: list[str], ranges: DataFrame, s
 def system_gaps(met: DataFrame, ranges: DataFrame, step: timedelta, sensors=S.MET_SENSORS) -> DataFrame:
     """Stamps missing for the whole site, or only for one sensor, as rows ``period, sensor, TimeStamp``.
 
-    Rows are first combined per stamp, which leaves at most the stamps of a month.
+    The site's bitmaps, one of the rows and one per sensor, are those of the stations taken together:
+    a task hands on one row per month. A month without any row in its range is not reported stamp by stamp.
     """
     sensors = [s for s in sensors if f"{s}_mean" in met.columns]
-    seen = met.groupBy("period", "TimeStamp").agg(
-        *[F.max(F.col(f"{s}_mean").isNotNull()).alias(s) for s in sensors], F.lit(True).alias("_row")
-    )
-    cells = expected_stamps(ranges, step).join(seen, ["period", "TimeStamp"], "left")
-    # A month without any row in its range is not reported stamp by stamp.
-    scanned = F.count("_row").over(Window.partitionBy("period")) > 0
-    nothing = F.col("_row").isNull()
-    gaps = F.array(
-        F.when(nothing, F.lit(GLOBAL)), *[F.when(~nothing & ~F.col(s), F.lit(s)) for s in sensors]
-    )
-    return (
-        cells.withColumn("_scanned", scanned)
-        .where(F.col("_scanned"))
-        .select("period", "TimeStamp", F.explode(F.array_compact(gaps)).alias("sensor"))
-    )
+    number, expected = F.col(STEP), expected_count(F.col("range_start"), F.col("range_end"), step)
+    inside = with_steps(in_range(met, ranges), ranges, step)
+    seen = {s: P.steps_seen(F.when(F.col(f"{s}_mean").isNotNull(), number), step) for s in sensors}
+    site = inside.groupBy("period").agg(P.steps_seen(number, step).alias(SEEN), *[c.alias(s) for s, c in seen.items()])
+    nothing = P.steps_absent(F.col(SEEN), expected)
+    only = {s: F.array_except(P.steps_absent(F.col(s), expected), nothing) for s in sensors}
+
+    def named(sensor: str, steps: Column) -> Column:
+        return F.transform(steps, lambda i: F.struct(F.lit(sensor).alias("sensor"), i.alias(STEP)))
+
+    gaps = F.flatten(F.array(*[named(sensor, steps) for sensor, steps in {GLOBAL: nothing, **only}.items()]))
+    rows = ranges.join(site, "period").select("period", "range_start", F.inline(gaps))
+    return rows.select("period", at_step(F.col(STEP), step).alias("TimeStamp"), "sensor")
 
 
 def system_completeness(met: DataFrame, ranges: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
     """Issues for stamps without any row, and per sensor for stamps where only that sensor is missing."""
-    issues = completeness_issue(system_gaps(in_range(met, ranges), ranges, step), ["period", "sensor"], ranges, step)
+    issues = completeness_issue(system_gaps(met, ranges, step), ["period", "sensor"], ranges, step)
     reported = (F.col("sensor") != GLOBAL) | (F.col("completeness_pct") < 100.0)
     return as_issues(
         issues.where(reported).withColumn("type", F.lit("system_completeness")).withColumn("station_id", F.lit("ALL"))
@@ -193,7 +203,7 @@ def system_completeness(met: DataFrame, ranges: DataFrame, step: timedelta = tg.
 
 def sensor_only_gaps(met: DataFrame, ranges: DataFrame, step: timedelta = tg.TEN_MINUTES) -> DataFrame:
     """Stamps where rows exist but one sensor has no value at any station."""
-    return system_gaps(in_range(met, ranges), ranges, step).where(F.col("sensor") != GLOBAL)
+    return system_gaps(met, ranges, step).where(F.col("sensor") != GLOBAL)
 
 
 # ------------------------------------------------------------ value checks
@@ -338,17 +348,15 @@ def count_checks(met: DataFrame, checks: list[Check]) -> DataFrame:
 
 
 def presence_aggregate(step: timedelta) -> tuple[Column, dict[str, Column], Column]:
-    """The set of stamps present, as numbers on the grid, what is absent, and the issue made of it.
+    """The bitmap of the steps present, the steps absent, and the issue made of it.
 
-    The set has at most the stamps of a month, and what is missing follows without
-    laying the grid of stations and stamps out.
+    What is missing follows without laying the grid of stations and stamps out.
     """
     ts, start, end = F.col("TimeStamp"), F.col("range_start"), F.col("range_end")
     micros = tg.to_micros(step)
-    number = F.call_function("div", tg.epoch_micros(ts) - tg.epoch_micros(start), F.lit(micros))
-    seen = F.collect_set(F.when(on_grid(ts, start, end, step), number)).alias("_seen")
+    seen = P.steps_seen(F.when(on_grid(ts, start, end, step), P.step_number(ts, start, step)), step).alias(SEEN)
     expected = expected_count(start, end, step)
-    derived = {"_absent": F.array_except(F.sequence(F.lit(0).cast("long"), expected - 1), F.col("_seen"))}
+    derived = {"_absent": P.steps_absent(F.col(SEEN), expected)}
     absent = F.col("_absent")
     count = F.size(absent).cast("long")
     head = F.transform(

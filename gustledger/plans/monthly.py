@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustledger.functions import timegrid as tg
@@ -15,6 +15,7 @@ from gustledger.operators import alarms as A
 from gustledger.operators import energy as E
 from gustledger.operators import grid as G
 from gustledger.operators import losses as L
+from gustledger.operators import tiles as T
 from gustledger.plans.settle import settle
 from gustledger.sources import schemas as S
 
@@ -34,9 +35,6 @@ class Settings:
     digits: int = 2
 
 
-SLICE = "_slice"
-
-
 def alarm_segments(al: DataFrame, codes: DataFrame, maintenance_code: int = S.MAINTENANCE_CODE) -> DataFrame:
     """Non-overlapping effective alarm segments from clamped alarms."""
     typed = A.with_alarm_type(al, codes)
@@ -55,45 +53,42 @@ def prepare_alarms(al: DataFrame, codes: DataFrame, bounds: DataFrame, productio
     return A.clamp_alarms(ended, bounds, step)
 
 
-def time_slices(cells: DataFrame, step: timedelta, width: timedelta = timedelta(hours=6)) -> DataFrame:
-    """Cut the grid into slices of time, each with a copy of the last stamp before it.
+#: What the losses of a station take from its neighbours, and the key of a tile's series.
+MARGIN = ["wtc_AcWindSp_mean", "wtc_ActPower_min", "EffectiveAlarmTime"]
+SERIES = (*T.TILE, "StationId")
 
-    Stamp windows and one-step looks back both fit inside such a slice, so one
-    shuffle by month and slice serves them all.  It needs the full grid: the row
-    before a row is then exactly one step earlier.
-    """
-    width = max(width, step)
-    own, following = tg.slot(F.col("TimeStamp"), width), tg.slot(tg.plus(F.col("TimeStamp"), step), width)
-    return cells.withColumn(SLICE, F.explode(F.array_distinct(F.array(own, following)))).withColumn(
-        "_copy", F.col(SLICE) != own
-    ).repartition("period", SLICE)
 
+def assess(cells: DataFrame, blocks: Column, curve: DataFrame, stat: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Potential energy and losses for the joined grid cells, which carry the ``_blocks`` of their station.
 
-def assess(cells: DataFrame, curve: DataFrame, stat: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Potential energy and losses for the joined grid cells."""
-    rows = time_slices(cells.withColumn("Energy_To_Use", E.energy_to_use(settings.source)), settings.step)
-    stamp, series = ("period", SLICE, "TimeStamp"), ("period", SLICE, "StationId")
-    # Neighbours first: their order within a stamp also serves the averages over the stamp.
-    rows = L.neighbour_values(rows, keys=stamp)
-    rows = E.potential_cascade(rows, curve, stat, settings.turbines, settings.availability_loss, keys=stamp)
-    rows = L.wind_patterns(L.split_losses(rows), keys=series)
-    return L.misassigned(rows).where(~F.col("_copy")).drop(SLICE, "_copy")
+    The cells are read twice, for the averages of the stamps and for the losses, so they should be stored.
+    """
+    rows = cells.withColumn("Energy_To_Use", E.energy_to_use(settings.source))
+    rows = T.tiled(rows, E.running_means(rows), blocks, settings.step, MARGIN)
+    rows = L.neighbour_values(rows.withColumns(T.from_stamp(["_mean", "_count"])), keys=(*T.TILE, "TimeStamp"))
+    rows = E.choose_potential(rows.where(F.col("StationId").isNotNull()), curve, stat, settings.turbines, settings.availability_loss)
+    rows = L.wind_patterns(L.split_losses(rows), keys=SERIES)
+    return T.inner_cells(L.misassigned(rows))
 
 
 def joined_cells(
     frames: dict[str, DataFrame], stopped: DataFrame, limited: DataFrame, stations: DataFrame, bounds: DataFrame, step: timedelta
 ) -> DataFrame:
-    """The station x stamp grid with all signals, counter gaps filled."""
+    """The station x stamp grid with all signals, counter gaps filled.
+
+    All signals are joined on one key before the gaps, so that the wide rows move once more, to
+    their station's month.
+    """
     grid = G.make_grid(stations, bounds, step)
     # Masts join on the stamp alone: done first, while the cells are only keys.
     cells = G.join_signals(grid, [], frames["met"]) if "met" in frames else grid
+    wind = frames["tur"].select(*G.CELL, "wtc_AcWindSp_mean", "wtc_ActualWindDirection_mean")
     cells = G.join_signals(
-        cells, [stopped.withColumnRenamed("StationNr", "StationId"), limited, frames["cnt"]]
+        cells,
+        [stopped.withColumnRenamed("StationNr", "StationId"), limited, frames["cnt"], frames["grd"], wind, frames["din"], frames["flg"]],
     )
     seconds = ("EffectiveAlarmTime", "Period 0(s)", "Period 1(s)", "Duration 2006(s)")
-    cells = cells.withColumns({c: or_zero(F.col(f"`{c}`")) for c in seconds})
-    wind = frames["tur"].select(*G.CELL, "wtc_AcWindSp_mean", "wtc_ActualWindDirection_mean")
-    return G.join_signals(E.impute_energy(cells), [frames["grd"], wind, frames["din"], frames["flg"]])
+    return E.impute_energy(cells.withColumns({c: or_zero(F.col(f"`{c}`")) for c in seconds}))
 
 
 def full_calculation(
@@ -113,12 +108,14 @@ def full_calculation(
     alarms = settle(prepare_alarms(frames["sum"], codes, bounds, production, step))
 
     segments = alarm_segments(alarms.drop(A.STOPPING), codes, settings.maintenance_code)
-    stopped = A.alarm_by_interval(A.to_intervals(segments.where(F.col("EffectiveAlarmTime") != 0), step))
+    stopped = A.stopped_by_interval(segments.where(F.col("EffectiveAlarmTime") != 0), step)
     warnings = A.to_intervals(
         A.active_alarms(alarms, bounds, settings.power_limit_code, step), step, split_types=False
     )
     limited = A.warning_duration(warnings, settings.warning_per_station)
 
-    cells = joined_cells(sane, stopped, limited, stations, bounds, step)
+    placed = T.station_blocks(stations)
+    cells = settle(joined_cells(sane, stopped, limited, placed, bounds, step))
+    blocks = F.sequence(F.lit(0), placed.agg(F.max(F.col(T.BLOCKS)[0])).scalar())
     stat = E.statistical_energy(curve, distribution, season, settings.efficiency)
-    return round_numeric(assess(cells, curve, stat, settings), settings.digits)
+    return round_numeric(assess(cells, blocks, curve, stat, settings), settings.digits)

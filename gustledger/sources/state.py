@@ -103,3 +103,14 @@ def file_states(
     located = rows.withColumns(dict(zip(FILE, (place["file_path"], place["file_size"], place["file_modification_time"]), strict=True)))
     states = state_checksum(located, columns, [*FILE, *by])
     return states if kept is None else kept.unionByName(states)
+
+
+def month_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """The months of a stored table with their files and bytes, from names and sizes of files alone.
+
+    A month is the value of a ``period=`` folder, or the first ``YYYY-MM`` of a file's own name.
+    """
+    file = F.col("file")
+    folder, name = F.regexp_extract(file, r"/period=(\d{4}-\d{2})/", 1), F.regexp_extract(file, r"/(\d{4}-\d{2})[^/]*$", 1)
+    months = file_listing(spark, path, pattern).withColumn("period", F.coalesce(F.nullif(folder, F.lit("")), F.nullif(name, F.lit(""))))
+    return months.where(F.col("period").isNotNull()).groupBy("period").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from gustledger.functions import timegrid as tg
 from gustledger.operators import alarms as A
 from gustledger.operators import energy as E
+from gustledger.operators import losses as L
 from gustledger.operators import quality as Q
+from gustledger.operators import tiles as T
 from gustledger.plans import monthly
 from gustledger.plans.settle import settle
 
@@ -69,17 +71,82 @@ def test_subtraction_pairs_no_rows(large):
     assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
 
 
-def test_loss_accounting_shuffles_the_wide_frame_once(large):
-    stamps = ["wtc_kWG1TotE_accum", "EffectiveAlarmTime", "Period 0(s)", "Period 1(s)", "Duration 2006(s)", "wtc_AcWindSp_mean",
-              "wtc_ActPower_min", "wtc_ActPower_max", "wtc_ActPower_mean", "wtc_PowerRed_timeon", "wtc_ScInOper_timeon"]
-    cells = large.range(5000).select(
-        month(), (F.col("id") % 10).alias("StationId"),
-        F.timestamp_add("MINUTE", F.floor(F.col("id") / 10) * 10, tg.ntz("2024-01-01 00:00:00")).alias("TimeStamp"),
-        F.lit("x").alias("UK Text"), *[(F.col("id") % 50).cast("double").alias(c) for c in stamps],
-    )
-    curve = large.createDataFrame([(0, 0), (10, 600)], "Wind int, Power int")
-    stat = large.createDataFrame([(1, 4.5)], "month int, statistical_energy double")
-    assert exchanges(monthly.assess(cells, curve, stat)) == ["period, _slice"]
+SIGNALS = ["wtc_kWG1TotE_accum", "EffectiveAlarmTime", "Period 0(s)", "Period 1(s)", "Duration 2006(s)", "wtc_AcWindSp_mean",
+           "wtc_ActPower_min", "wtc_ActPower_max", "wtc_ActPower_mean", "wtc_PowerRed_timeon", "wtc_ScInOper_timeon"]
+
+
+def cells(spark, stations, stamps):
+    """Cells of a month with the blocks of their stations, and the array of all blocks."""
+    placed = T.station_blocks(spark.range(stations).select((F.col("id") * 3).alias("StationId")))
+    grid = placed.join(spark.range(stamps), how="cross").withColumn("TimeStamp", F.timestamp_add("MINUTE", F.col("id") * 10, tg.ntz("2024-01-01 00:00:00")))
+    spread = F.pmod(F.xxhash64("StationId", "id"), F.lit(50)).cast("double")
+    rows = grid.select(month(), "StationId", "TimeStamp", T.BLOCKS, F.lit("x").alias("UK Text"), *[(spread + i).alias(c) for i, c in enumerate(SIGNALS)])
+    return rows, F.sequence(F.lit(0), F.lit((stations - 1) // T.STATIONS))
+
+
+def curve_and_stat(spark):
+    return spark.createDataFrame([(0, 0), (10, 600)], "Wind int, Power int"), spark.createDataFrame([(1, 4.5)], "month int, statistical_energy double")
+
+
+def test_loss_accounting_shuffles_the_wide_frame_once_and_by_station(large):
+    rows, blocks = cells(large, 40, 100)
+    df = monthly.assess(settle(rows), blocks, *curve_and_stat(large))
+    # Only the averages of the stamps, one row per stamp and task, are shuffled without the station.
+    assert sorted(exchanges(df)) == ["period, TimeStamp", "period, _station_block, _time_block"]
+    assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
+
+
+@pytest.mark.parametrize("stations", [5, 20, 2000])
+def test_tiles_do_not_grow_with_the_farm(spark, stations):
+    rows, blocks = cells(spark, stations, 80)
+    stamps = rows.groupBy("period", "TimeStamp").agg(F.count("*").alias("_count"))
+    tiles = T.tiled(rows, stamps, blocks, timedelta(minutes=10), monthly.MARGIN)
+    sizes = tiles.groupBy(*T.TILE).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= (T.STATIONS + 2 + 1) * 37
+    inner = T.inner_cells(tiles.where("StationId IS NOT NULL"))
+    assert inner.count() == stations * 80 and inner.select("StationId", "TimeStamp").distinct().count() == stations * 80
+
+
+def test_tiles_give_what_one_window_gives(spark):
+    """Neighbours, averages over the stamp and the look back, against windows over whole stamps and whole months."""
+    rows, blocks = cells(spark, 37, 90)
+    rows = settle(rows.where("NOT (StationId = 48 AND TimeStamp > TIMESTAMP_NTZ '2024-01-01 05:00:00')").unionByName(
+        rows.where("StationId = 48 AND TimeStamp > TIMESTAMP_NTZ '2024-01-01 05:00:00'").withColumns({c: F.lit(None).cast("double") for c in SIGNALS})
+    ))
+    curve, stat = curve_and_stat(spark)
+    got = monthly.assess(rows, blocks, curve, stat)
+    plain = L.neighbour_values(rows.drop(T.BLOCKS).withColumn("Energy_To_Use", E.energy_to_use()))
+    plain = L.misassigned(L.wind_patterns(L.split_losses(E.potential_cascade(plain, curve, stat))))
+    columns = sorted(plain.columns)
+    assert sorted(got.columns) == columns
+
+    def rounded(df):
+        kinds = dict(df.dtypes)
+        return df.select(*[F.round(f"`{c}`", 6).alias(c) if kinds[c] == "double" else F.col(f"`{c}`") for c in columns])
+
+    assert rounded(got).exceptAll(rounded(plain)).isEmpty() and rounded(plain).exceptAll(rounded(got)).isEmpty()
+    assert got.where("EL_wind > 0").count() > 0 and got.where("wind_speed_prev_turbine IS NULL").count() > 0
+
+
+def test_stopped_time_shuffles_two_rows_per_alarm(large, tmp_path):
+    path = str(tmp_path / "alarms")
+    long = F.timestamp_add("DAY", F.lit(20), F.col("TimeOn"))
+    log(large).where("ID < 7").withColumns({"TimeOff": long, "NewTimeOn": F.col("TimeOn"), "EffectiveAlarmTime": F.lit(20 * 86400.0)}).write.parquet(path)
+    df = A.stopped_by_interval(large.read.parquet(path))
+    assert exchanges(df) == ["period, StationNr, TimeStamp"]
+    below = plan(df).split("Exchange hashpartitioning", 1)[1]
+    assert "explode" in below and "inline" not in below
+    rows = df.collect()
+    assert len(rows) == 7 * (20 * 144 + 1) and sum(r["EffectiveAlarmTime"] for r in rows) == 7 * 20 * 86400
+
+
+def test_presence_is_one_bitmap_per_group(large):
+    met = large.range(1000).select(month(), (F.col("id") % 3).alias("StationId"), F.timestamp_add("MINUTE", F.col("id") * 10, tg.ntz("2024-01-01 00:00:00")).alias("TimeStamp"))
+    ranges = large.createDataFrame([("2024-01",)], "period string").select("period", tg.ntz("2024-01-01 00:00:00").alias("range_start"), tg.ntz("2024-01-08 00:00:00").alias("range_end"))
+    for by, key in (((), "period"), (("StationId",), "period, StationId")):
+        for df in (Q.completeness(met, ranges, by=by), Q.missing_timestamps(met, ranges, by=by)):
+            # The other exchange joins the groups with the few rows of the ranges.
+            assert set(exchanges(df)) <= {key, "period"} and "count(distinct" not in plan(df)
 
 
 def test_imputation_shuffles_once(large, tmp_path):
@@ -104,15 +171,3 @@ def test_scan_never_shuffles_by_month_alone(large):
     # Rows meet the range of their month by broadcast; grouping is by station or by stamp.
     assert exchanges(Q.stuck_issues(Q.in_range(met, ranges))) == ["period, StationId"]
     assert all(e.startswith("period, StationId") for e in exchanges(Q.station_completeness(met, ranges)))
-
-
-def test_slices_hold_the_stamp_before_them(spark):
-    step = timedelta(minutes=10)
-    cells = spark.range(100).select(
-        month(), F.lit(1).alias("StationId"),
-        F.timestamp_add("MINUTE", F.col("id") * 10, tg.ntz("2024-01-01 00:00:00")).alias("TimeStamp"),
-    )
-    rows = monthly.time_slices(cells, step, timedelta(hours=6))
-    assert rows.where("NOT _copy").count() == 100
-    firsts = rows.groupBy(monthly.SLICE).agg(F.min(F.struct("TimeStamp", "_copy")).alias("f")).orderBy(monthly.SLICE).collect()
-    assert [r["f"]["_copy"] for r in firsts] == [False, True, True]
