@@ -16,7 +16,7 @@ from checks.source_queries import order_state
 from gustledger.plans import monthly
 from gustledger.plans.export import export_rows, incremental_export, publish_export
 from gustledger.plans.settle import settle
-from gustledger.plans.weekly import weekly
+from gustledger.plans.weekly import process_week
 from gustledger.sources import readers, state, writers
 from gustledger.sources import schemas as S
 
@@ -30,11 +30,15 @@ def frames(spark, d):
     return out
 
 
+def lookups(spark, d):
+    return {
+        "codes": V.v_code(spark), "curve": EQ.curve(spark, d), "distribution": readers.wind_distribution(V.v_distribution(spark, d)),
+        "season": readers.season_factor(V.v_season(spark, d)), "stations": V.v_station(spark, d),
+    }
+
+
 def month(spark, d, settings=monthly.Settings()):
-    return monthly.full_calculation(
-        frames(spark, d), V.v_code(spark), EQ.curve(spark, d), readers.wind_distribution(V.v_distribution(spark, d)),
-        readers.season_factor(V.v_season(spark, d)), V.v_station(spark, d), settings,
-    )
+    return monthly.full_calculation(frames(spark, d), settings=settings, **lookups(spark, d))
 
 
 # ------------------------------------------------- the month in DuckDB, step by step
@@ -109,10 +113,9 @@ _WEEK_ROWS = f"(SELECT * FROM ({FULL_SQL}) a WHERE \"TimeStamp\" BETWEEN TIMESTA
 )
 def weekly_top(spark, d):
     """Calculate, store, and report a week from the stored month."""
-    path = fresh_folder(spark)
-    writers.write_results(month(spark, d), path)
-    top = weekly(spark, path, ["2024-01"], *WEEK, first_station=0)[1]
-    return top.select("StationId", F.format_number("lost_mwh", 2).alias("lost_mwh"))
+    none = v_adjust(spark, d).limit(0)
+    done = process_week(spark, lambda _: frames(spark, d), lookups(spark, d), fresh_folder(spark), *WEEK, "2024-02-01T00:00:00", none, first_station=0)
+    return done.top.select("StationId", F.format_number("lost_mwh", 2).alias("lost_mwh"))
 
 
 # ------------------------------------------------------------------- export

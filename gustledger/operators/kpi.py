@@ -79,18 +79,18 @@ def mean_direction(res: DataFrame, masts=S.MASTS, sensor: str = "met_Winddirecti
     return means.select(circular_mean_of([F.col(c) for c in columns]).alias("mean_direction"))
 
 
-# Column names of the weekly report.
+#: Headings of the weekly report; a farm may have its own.
 WEEKLY_NAMES = {
-    "maker_energy_pct": "Indispo. SGRE énergie (%)",
-    "maker_energy_mwh": "Indispo. SGRE énergie (MWh)",
-    "maker_time_pct": "Indispo. SGRE temps (%)",
-    "maker_time_hours": "Indispo. SGRE temps (heures)",
-    "own_energy_pct": "Indispo. TAREC énergie (%)",
-    "own_energy_mwh": "Indispo. TAREC énergie (MWh)",
-    "own_time_pct": "Indispo. TAREC temps (%)",
-    "own_time_hours": "Indispo. TAREC temps (heures)",
-    "mean_wind": "Vent moyen Mâts (m/s)",
-    "mean_direction": "Direction Moyenne Mâts (°)",
+    "maker_energy_pct": "Maker downtime, energy (%)",
+    "maker_energy_mwh": "Maker downtime, energy (MWh)",
+    "maker_time_pct": "Maker downtime, time (%)",
+    "maker_time_hours": "Maker downtime, time (hours)",
+    "own_energy_pct": "Operator downtime, energy (%)",
+    "own_energy_mwh": "Operator downtime, energy (MWh)",
+    "own_time_pct": "Operator downtime, time (%)",
+    "own_time_hours": "Operator downtime, time (hours)",
+    "mean_wind": "Mean mast wind (m/s)",
+    "mean_direction": "Mean mast direction (degrees)",
 }
 
 
@@ -121,9 +121,9 @@ def weekly_kpi(res: DataFrame, start, end, turbines: int = S.TURBINES, masts=S.M
     return one.select(*columns)
 
 
-def weekly_report(kpi: DataFrame) -> DataFrame:
-    """The weekly row under its report headings, as text."""
-    return kpi.select(*[F.format_number(c, 2).alias(WEEKLY_NAMES[c]) for c in kpi.columns])
+def weekly_report(kpi: DataFrame, headings: dict[str, str] = WEEKLY_NAMES) -> DataFrame:
+    """The weekly row under its report headings, as text; a column without a heading keeps its name."""
+    return kpi.select(*[F.format_number(c, 2).alias(headings.get(c, c)) for c in kpi.columns])
 
 
 def top_loss(res: DataFrame, start=None, end=None, n: int = 15, first_station: int = S.FIRST_STATION) -> DataFrame:

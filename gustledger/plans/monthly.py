@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import timedelta
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +44,20 @@ def alarm_segments(al: DataFrame, codes: DataFrame, maintenance_code: int = S.MA
     return A.cascade(settle(remaining))
 
 
+def flagged_alarms(al: DataFrame, codes: DataFrame) -> DataFrame:
+    """Raw alarms with the stopping flag, their raw times kept in ``OldTime*``."""
+    return A.flag_stopping(al.withColumn("OldTimeOn", F.col("TimeOn")).withColumn("OldTimeOff", F.col("TimeOff")), codes)
+
+
+def production_of_open(flagged: DataFrame, production: DataFrame) -> DataFrame:
+    """The production of stations with an open alarm: only that needs to be sorted. Spark picks the join."""
+    return production.join(A.open_stations(flagged), ["period", "StationId"], "left_semi")
+
+
 def prepare_alarms(al: DataFrame, codes: DataFrame, bounds: DataFrame, production: DataFrame, step: timedelta) -> DataFrame:
     """Alarms with open ends closed and times limited to the month; raw times in ``OldTime*``."""
-    raw = al.withColumn("OldTimeOn", F.col("TimeOn")).withColumn("OldTimeOff", F.col("TimeOff"))
-    flagged = A.flag_stopping(raw, codes)
-    # Only the production of stations with an open alarm needs to be sorted. Spark picks the join.
-    production = production.join(A.open_stations(flagged), ["period", "StationId"], "left_semi")
-    ended = A.impute_end_from_production(flagged, production, step)
+    flagged = flagged_alarms(al, codes)
+    ended = A.impute_end_from_production(flagged, production_of_open(flagged, production), step)
     return A.clamp_alarms(ended, bounds, step)
 
 
@@ -91,7 +99,20 @@ def joined_cells(
     return E.impute_energy(cells.withColumns({c: or_zero(F.col(f"`{c}`")) for c in seconds}))
 
 
-def full_calculation(
+class Calculation(NamedTuple):
+    """What a calculation gives; all but the steps written out are lazy."""
+
+    #: One row per station and stamp with energies, losses by cause and their durations.
+    results: DataFrame
+    #: Corrections for the ends that production has closed, for ``adjustments.upsert_adjustments``.
+    imputed: DataFrame
+    #: Open stopping alarms that no production ends.
+    left_open: DataFrame
+    #: Per month the first start among the alarms that reach into it.
+    warning_date: DataFrame
+
+
+def calculate(
     frames: dict[str, DataFrame],
     codes: DataFrame,
     curve: DataFrame,
@@ -99,8 +120,8 @@ def full_calculation(
     season: DataFrame,
     stations: DataFrame,
     settings: Settings = Settings(),
-) -> DataFrame:
-    """One row per station and stamp with energies, losses by cause and their durations."""
+) -> Calculation:
+    """The monthly calculation with what it finds out about open alarms."""
     step = settings.step
     sane = {k: E.sanity_filter(frames[k], k) if k in S.SANITY_BOUNDS else frames[k] for k in frames if k != "sum"}
     bounds = settle(G.period_end(frames["cnt"]))
@@ -118,4 +139,18 @@ def full_calculation(
     cells = settle(joined_cells(sane, stopped, limited, placed, bounds, step))
     blocks = F.sequence(F.lit(0), placed.agg(F.max(F.col(T.BLOCKS)[0])).scalar())
     stat = E.statistical_energy(curve, distribution, season, settings.efficiency)
-    return round_numeric(assess(cells, blocks, curve, stat, settings), settings.digits)
+    results = round_numeric(assess(cells, blocks, curve, stat, settings), settings.digits)
+
+    flagged = flagged_alarms(frames["sum"], codes)
+    open_only = production_of_open(flagged, production)
+    return Calculation(
+        results,
+        A.imputed_adjustments(flagged, open_only, step),
+        A.left_open(flagged, open_only, step),
+        A.earliest_start(flagged, bounds, step),
+    )
+
+
+def full_calculation(*inputs, **settings) -> DataFrame:
+    """The results of :func:`calculate`, with its arguments."""
+    return calculate(*inputs, **settings).results

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gustledger.functions import timegrid as tg
 from gustledger.operators import kpi as K
 from gustledger.plans import monthly
-from gustledger.plans.weekly import weekly
+from gustledger.plans.weekly import process_week, weekly
 from gustledger.sources import extracts, readers, writers
 
 
@@ -149,15 +149,17 @@ def farm(spark, periods, stations=4):
     }
 
 
-def run_month(spark, periods, **settings):
+def lookups(spark):
     codes = spark.createDataFrame([(1001, 1, "pitch"), (3203, 0, "low wind"), (1005, 1, "service")], "Alarmcode int, `Error Type` int, `UK Text` string")
     curve = spark.createDataFrame([(0, 0), (10, 600), (15, 900)], "Wind int, Power int")
     bins = spark.createDataFrame([(b, 300.0) for b in range(1, 26)], "bin int, value double")
     season = spark.createDataFrame([(m, 1.0) for m in range(1, 13)], "month int, value double")
     stations = spark.range(1, 5).withColumnRenamed("id", "StationId")
-    return monthly.full_calculation(
-        farm(spark, periods), codes, curve, bins, season, stations, monthly.Settings(step=STEP, turbines=4, **settings)
-    )
+    return {"codes": codes, "curve": curve, "distribution": bins, "season": season, "stations": stations}
+
+
+def run_month(spark, periods, **settings):
+    return monthly.full_calculation(farm(spark, periods), settings=monthly.Settings(step=STEP, turbines=4, **settings), **lookups(spark))
 
 
 def test_two_months_at_once_equal_two_runs(spark):
@@ -189,7 +191,7 @@ def test_store_and_weekly_report(spark, tmp_path):
     writers.write_partitioned(run_month(spark, ["2024-02"]), path)
     report, top = weekly(spark, path, ["2024-02"], "2024-02-01 00:00:00", "2024-02-07 23:50:00", 4, (38,), first_station=1)
     row = report.first().asDict()
-    assert "Indispo. SGRE énergie (%)" in row and row["Vent moyen Mâts (m/s)"] == "6.00"
+    assert "Maker downtime, energy (%)" in row and row["Mean mast wind (m/s)"] == "6.00"
     assert [r["StationId"] for r in top.collect()] and top.count() <= 15
 
 
@@ -197,3 +199,42 @@ def test_power_source_and_farm_wide_warning(spark):
     a = run_month(spark, ["2024-02"], source="power", warning_per_station=False)
     assert a.where("Energy_To_Use < 0").count() == 0
     assert a.where("`Duration 2006(s)` > 0").select("StationId").distinct().count() == 1
+
+
+LISTED = "pos long, id long, alarm_code long, station_nr long, time_on string, time_off string, notes string, last_updated string"
+
+
+def test_week_over_two_months_from_signals_to_report(spark, tmp_path):
+    """Alarm 4 of each month has no end. Production ends it; the list has the end, and a second run needs it no more."""
+    path, settings = str(tmp_path / "res"), monthly.Settings(step=STEP, turbines=4)
+    old = spark.createDataFrame([(0, 1, 1001, 1, None, "2024-02-01 10:00:00", "Auto-imputed from production data", "x"), (1, 2, 3203, 2, None, "2024-02-02 08:00:00", "by hand", "x")], LISTED)
+
+    def run(listed):
+        return process_week(
+            spark, lambda periods: farm(spark, periods), lookups(spark), path, "2024-02-26 00:00:00", "2024-03-03 23:50:00", "now", listed,
+            settings, first_station=1, masts=(38,),
+        )
+
+    done = run(old)
+    assert sorted(r["period"] for r in spark.read.parquet(path).select("period").distinct().collect()) == ["2024-02", "2024-03"]
+    assert done.grouped.count() == 2 * 4 and done.report.count() == 1 and done.top.count() == 4
+    listed = {r["id"]: r for r in done.adjustments.collect()}
+    # The automatic end of an alarm that has one is gone, what was set by hand stays, open ends are new.
+    assert sorted(listed) == [2, 4, 11] and listed[2]["notes"] == "by hand" and listed[2]["last_updated"] == "x"
+    produced = farm(spark, ["2024-02"])["cnt"].where("StationId = 3 AND wtc_kWG1TotE_accum > 0 AND TimeStamp >= TIMESTAMP_NTZ '2024-02-03 18:00:00'").agg(F.min("TimeStamp")).first()[0]
+    assert listed[4]["time_off"] == str(produced) and listed[4]["last_updated"] == "now"
+    assert done.left_open.count() == 0
+    first = sorted(map(str, spark.read.parquet(path).drop("UK Text").collect()))
+    again = run(done.adjustments)
+    assert sorted(map(tuple, again.adjustments.collect())) == sorted(map(tuple, done.adjustments.collect()))
+    assert sorted(map(str, spark.read.parquet(path).drop("UK Text").collect())) == first
+
+
+def test_what_a_calculation_says_of_open_alarms(spark):
+    done = monthly.calculate(farm(spark, ["2024-02"]), settings=monthly.Settings(step=STEP, turbines=4), **lookups(spark))
+    assert [r["id"] for r in done.imputed.collect()] == [4] and done.left_open.count() == 0
+    assert [(r["period"], r["warning_date"]) for r in done.warning_date.collect()] == [("2024-02", datetime(2024, 1, 31, 15))]
+    still = farm(spark, ["2024-02"])
+    still = {**still, "cnt": still["cnt"].where("StationId <> 3 OR TimeStamp < TIMESTAMP_NTZ '2024-02-02 00:00:00'")}
+    done = monthly.calculate(still, settings=monthly.Settings(step=STEP, turbines=4), **lookups(spark))
+    assert done.imputed.count() == 0 and [r["ID"] for r in done.left_open.collect()] == [4]
