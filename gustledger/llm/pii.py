@@ -2,7 +2,8 @@
 
 The patterns' spans always stay. The network is trained in numpy on labelled spans: what the
 patterns find in a bounded sample of documents, and generated spans in looser spellings set into
-lines of the sample. It then adds spans that the patterns miss.
+lines of the sample. It then adds spans that the patterns miss. Its gates are piecewise linear (hard
+sigmoids) and its cells are squashed by x / (1 + |x|), which cost a fraction of exponentials.
 
 Whole texts are tagged. They are cut into overlapping windows; each window is tagged on its own, the
 windows' tag probabilities are averaged with the most weight on a window's middle, and a Viterbi pass
@@ -29,9 +30,12 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2_000
 #: Few windows are gone through more often.
 LEAST_UPDATES = 400
-WINDOW, STRIDE = 96, 48
-#: Windows tagged at once.
-BATCH = 1024
+#: Characters of a training window.
+WINDOW = 96
+#: Characters of a window that is tagged, and how many of them the next window has too.
+SPAN, OVERLAP = 768, 64
+#: Windows tagged at once, and characters whose probabilities are held at once (a longer text is held alone).
+BATCH, HELD = 512, 1 << 19
 #: Characters are sure to be outside in the middle of a run of 2 * CALM whose best other tag is less probable by exp(-LOSS) each:
 #: leaving such a run outside in one half costs CALM * LOSS, more than any one tag can (log of 1e-12).
 CALM, LOSS = 6, 6.0
@@ -124,26 +128,30 @@ class Tagger:
         return both @ self.p["o"] + self.p["ob"], (both, caches)
 
     def transitions(self) -> np.ndarray:
-        return np.where(_ALLOWED, self.p["t"], _FORBIDDEN)
+        return np.where(_ALLOWED, self.p["t"], self.p["t"].dtype.type(_FORBIDDEN))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _gate(x: np.ndarray) -> np.ndarray:
+    return np.clip(0.2 * x + 0.5, 0, 1)
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
 
 
 def _lstm(table: np.ndarray, u: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list]:
     n = u.shape[0]
-    h = c = np.zeros((x.shape[1], n))
-    out, cache = np.empty((*x.shape, n)), []
+    h = c = np.zeros((x.shape[1], n), u.dtype)
+    out, cache = np.empty((*x.shape, n), u.dtype), []
     for t in range(len(x)):
         z = table[x[t]] + h @ u
-        gates, g = _sigmoid(z[:, : 3 * n]), np.tanh(z[:, 3 * n :])
+        gates, g = _gate(z[:, : 3 * n]), _squash(z[:, 3 * n :])
         i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
         alive = (x[t] > 0)[:, None]
-        c_new = np.where(alive, f * c + i * g, 0.0)
-        tc = np.tanh(c_new)
-        h_new = np.where(alive, o * tc, 0.0)
-        cache.append((h, c, i, f, o, g, tc, alive))
+        c_new = (f * c + i * g) * alive
+        tc = _squash(c_new)
+        h_new = o * tc
+        cache.append((h, c, gates, g, tc, alive))
         h, c = h_new, c_new
         out[t] = h
     return out, cache
@@ -151,14 +159,18 @@ def _lstm(table: np.ndarray, u: np.ndarray, x: np.ndarray) -> tuple[np.ndarray,
 
 def _lstm_back(table: np.ndarray, u: np.ndarray, x: np.ndarray, cache: list, dout: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     dtable, du = np.zeros_like(table), np.zeros_like(u)
+    n = u.shape[0]
     dh = dc = np.zeros_like(dout[0])
     codes = np.arange(len(table))[:, None]
     for t in range(len(x) - 1, -1, -1):
-        h, c, i, f, o, g, tc, alive = cache[t]
+        h, c, gates, g, tc, alive = cache[t]
+        i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
         dh = (dout[t] + dh) * alive
-        dc = dc * alive + dh * o * (1 - tc**2)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g**2)], 1)
-        dtable += (x[t][None, :] == codes) @ dz
+        # The slope of x / (1 + |x|) is (1 - |value|) squared.
+        dc = dc * alive + dh * o * (1 - np.abs(tc)) ** 2
+        dgates = np.concatenate([dc * g, dc * c, dh * tc], 1) * ((gates > 0) & (gates < 1)) * u.dtype.type(0.2)
+        dz = np.concatenate([dgates, dc * i * (1 - np.abs(g)) ** 2], 1)
+        dtable += (x[t][None, :] == codes).astype(u.dtype) @ dz
         du += h.T @ dz
         dh, dc = dz @ u.T, dc * f
     return dtable, du
@@ -190,49 +202,77 @@ def marginals(tagger: Tagger, x: np.ndarray) -> np.ndarray:
     return np.exp(np.minimum(a + b - z[None, :, None], 0))
 
 
-def _run(table: np.ndarray, u: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """States of _lstm without what training needs, in single precision."""
+def _add_scores(table: np.ndarray, u: np.ndarray, o: np.ndarray, x: np.ndarray, e: np.ndarray) -> None:
+    """Adds one direction's tag scores to ``e`` (time, tag, batch); those of padding mean nothing. Padding follows or precedes all letters."""
     n = u.shape[0]
-    h = c = np.zeros((x.shape[1], n), np.float32)
-    out = np.empty((*x.shape, n), np.float32)
+    scale = np.repeat(np.float32([0.2, 1]), [3 * n, n])
+    table, u = table * scale, u * scale
+    table[:, : 3 * n] += np.float32(0.5)
+    table[0] = 0  # all gates shut: the state stays zero until letters come
+    # Gates lie apart, so that every step works on whole blocks.
+    tables = np.ascontiguousarray(table.reshape(-1, 4, n).transpose(1, 0, 2))
+    parts = np.ascontiguousarray(u.reshape(n, 4, n).transpose(1, 0, 2))
+    o = np.ascontiguousarray(o.T)
+    batch = x.shape[1]
+    h, c, size = np.zeros((3, batch, n), np.float32)
+    z, more = np.empty((2, 4, batch, n), np.float32)
+    (i, f, out, g), gates, score = z, z[:3], np.empty(e.shape[1:], np.float32)
     for t in range(len(x)):
-        z = table[x[t]]
-        z += h @ u
-        gates = z[:, : 3 * n]
-        np.clip(gates, -30, 30, out=gates)
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        alive = (x[t] > 0)[:, None]
-        c = (gates[:, n : 2 * n] * c + gates[:, :n] * np.tanh(z[:, 3 * n :])) * alive
-        h = out[t] = gates[:, 2 * n :] * np.tanh(c) * alive
-    return out
+        for k in range(4):
+            np.take(tables[k], x[t], axis=0, out=z[k], mode="clip")
+            np.matmul(h, parts[k], out=more[k])
+        z += more
+        np.clip(gates, 0, 1, out=gates)
+        np.abs(g, out=size)
+        size += 1
+        g /= size
+        g *= i
+        c *= f
+        c += g
+        np.abs(c, out=size)
+        size += 1
+        np.divide(c, size, out=h)
+        h *= out
+        np.matmul(o, h.T, out=score)
+        e[t] += score
 
 
 def probabilities(tagger: Tagger, x: np.ndarray) -> np.ndarray:
     """marginals() in single precision, as sums of products that are scaled at each step."""
     p = {k: w.astype(np.float32) for k, w in tagger.p.items()}
-    e = np.concatenate([_run(p["ef"], p["uf"], x), _run(p["eb"], p["ub"], x[::-1])[::-1]], 2) @ p["o"] + p["ob"]
-    e = np.exp(e - e.max(2, keepdims=True))
+    n = len(p["uf"])
+    # Tags stand before windows, so that each step works on few long rows.
+    e = np.empty((len(x), TAGS, x.shape[1]), np.float32)
+    e[:] = p["ob"][:, None]
+    _add_scores(p["ef"], p["uf"], p["o"][:n], x, e)
+    _add_scores(p["eb"], p["ub"], p["o"][n:], x[::-1], e[::-1])
+    # Scores stay within e**-80, as the sums must not vanish.
+    e -= e.max(1, keepdims=True)
+    np.clip(e, -80, 0, out=e)
+    np.exp(e, out=e)
     step = np.exp(tagger.transitions()).astype(np.float32)
+    forth, back = np.ascontiguousarray(step[:-1].T), np.ascontiguousarray(step[:-1])
     mask = x > 0
-    a, b = np.empty_like(e), np.ones_like(e)
-    a[0] = step[-1] * e[0]
-    a[0] /= a[0].sum(1, keepdims=True)
+    whole = mask.all(1)
+    a = np.empty_like(e)
+    a[0] = step[-1][:, None] * e[0]
+    a[0] /= a[0].sum(0)
     for t in range(1, len(x)):
-        new = (a[t - 1] @ step[:-1]) * e[t]
-        new /= new.sum(1, keepdims=True)
-        a[t] = np.where(mask[t][:, None], new, a[t - 1])
+        np.matmul(forth, a[t - 1], out=a[t])
+        a[t] *= e[t]
+        a[t] /= a[t].sum(0)
+    b = np.ones(e.shape[1:], np.float32)
     for t in range(len(x) - 2, -1, -1):
-        new = (e[t + 1] * b[t + 1]) @ step[:-1].T
-        new /= new.sum(1, keepdims=True)
-        b[t] = np.where(mask[t + 1][:, None], new, 1)
-    a *= b
-    return a / a.sum(2, keepdims=True)
+        e[t + 1] *= b
+        new = back @ e[t + 1]
+        new /= new.sum(0)
+        b = new if whole[t + 1] else np.where(mask[t + 1], new, 1)
+        a[t] *= b
+        a[t] /= a[t].sum(0)
+    return a.transpose(0, 2, 1)
 
 
-def fit(windows: np.ndarray, tags: np.ndarray, rounds: int = 6, batch: int = 64, hidden: int = 20, seed: int = 11) -> Tagger:
+def fit(windows: np.ndarray, tags: np.ndarray, rounds: int = 6, batch: int = 64, hidden: int = 16, seed: int = 11) -> Tagger:
     """Maximum likelihood by back-propagation through whole windows, with Adam. Windows: (count, time)."""
     rng = np.random.default_rng(seed)
     p = {"o": rng.normal(0, 0.1, (2 * hidden, TAGS)), "ob": np.zeros(TAGS), "t": np.zeros((TAGS + 1, TAGS))}
@@ -240,6 +280,7 @@ def fit(windows: np.ndarray, tags: np.ndarray, rounds: int = 6, batch: int = 64,
         p["e" + d] = rng.normal(0, 0.3, (_LETTERS, 4 * hidden))
         p["e" + d][:, hidden : 2 * hidden] += 1.0
         p["u" + d] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden))
+    p = {k: w.astype(np.float32) for k, w in p.items()}
     tagger = Tagger(p)
     m = {k: np.zeros_like(w) for k, w in p.items()}
     v = {k: np.zeros_like(w) for k, w in p.items()}
@@ -274,12 +315,12 @@ def fit(windows: np.ndarray, tags: np.ndarray, rounds: int = 6, batch: int = 64,
                 seq, part = (x, part) if d == "f" else (x[::-1], part[::-1])
                 g["e" + d], g["u" + d] = _lstm_back(p["e" + d], p["u" + d], seq, caches[k], part)
             step += 1
-            rate = 0.01 * (1 - 0.9 * step / total)
+            rate = 0.03 * (1 - 0.9 * step / total)
             for k in p:
                 gk = np.clip(g[k] / size, -1, 1)
                 m[k] = 0.9 * m[k] + 0.1 * gk
                 v[k] = 0.999 * v[k] + 0.001 * gk**2
-                p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return tagger
 
 
@@ -328,7 +369,7 @@ def labelled(text: str, spans: list[tuple[int, int, int]], low: int, high: int)
     return x, y
 
 
-def examples(texts: list[str], seed: int = 5, made: int = 3_000, most: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+def examples(texts: list[str], seed: int = 5, made: int = 6_000, most: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
     """Training windows: at most ``most`` anywhere in the texts and ``most`` around their digits and @, and ``made`` with generated spans."""
     rng = np.random.default_rng(seed)
     rows, lines, plain = [], [], 0
@@ -373,13 +414,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     return fit(*examples([r["_text"] for r in some.select("_text").toLocalIterator()]))
 
 
-_CENTRE = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-
-
 def _stretches(p: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of a text's tag probabilities that need a Viterbi pass; the best path is outside in all others."""
-    with np.errstate(divide="ignore"):
-        hot = np.flatnonzero(np.log(p[:, 0] + 1e-12) - np.log(p[:, 1:].max(1) + 1e-12) < LOSS)
+    hot = np.flatnonzero(p[:, 0] < 1 / (1 + np.exp(-LOSS)))  # all others are calm, as probabilities add up to one
+    hot = hot[np.log(p[hot, 0] + 1e-12) - np.log(p[hot, 1:].max(1) + 1e-12) < LOSS]
     if not len(hot):
         return []
     gaps = np.flatnonzero(np.diff(hot) > 2 * CALM)
@@ -388,21 +426,26 @@ def _stretches(p: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _averaged(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
-    """Tag probabilities of each text, averaged over its windows."""
-    coded = [letters(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")) for t in texts]
-    sums = [np.zeros((len(c), TAGS), np.float32) for c in coded]
-    weights = [np.zeros((len(c), 1), np.float32) for c in coded]
-    places = [(k, at) for k, c in enumerate(coded) for at in range(0, max(1, len(c) - WINDOW + STRIDE), STRIDE) if len(c)]
+    """Tag probabilities of each text, averaged over the windows that hold a character."""
+    sizes = [len(t) for t in texts]
+    base = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.concatenate([*(letters(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")) for t in texts), [0]]).astype(np.int64)
+    sums = np.zeros((base[-1], TAGS), np.float32)
+    weights = np.zeros((base[-1], 1), np.float32)
+    places = [(min(SPAN, size - at), int(low) + at) for low, size in zip(base, sizes, strict=False) for at in range(0, max(1, size - OVERLAP), SPAN - OVERLAP) if size]
+    places.sort()  # windows of about one length share a batch
+    ramp = np.minimum(1.0 + np.arange(SPAN), OVERLAP).astype(np.float32)
     for low in range(0, len(places), BATCH):
-        part = places[low : low + BATCH]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for row, (k, at) in zip(x, part, strict=True):
-            row[: min(WINDOW, len(coded[k]) - at)] = coded[k][at : at + WINDOW]
-        for (k, at), p in zip(part, probabilities(tagger, x.T).transpose(1, 0, 2), strict=True):
-            length = min(WINDOW, len(coded[k]) - at)
-            sums[k][at : at + length] += p[:length] * _CENTRE[:length, None]
-            weights[k][at : at + length] += _CENTRE[:length, None]
-    return [s / w for s, w in zip(sums, weights, strict=True)]
+        length, start = np.array(places[low : low + BATCH]).T
+        step = np.arange(length[-1])[:, None]
+        x = np.where(step < length, codes[np.minimum(start + step, base[-1])], 0)
+        found = np.ascontiguousarray(probabilities(tagger, x).transpose(1, 0, 2))
+        for p, n, at in zip(found, length.tolist(), start.tolist(), strict=True):
+            weight = np.minimum(ramp[:n], ramp[:n][::-1])[:, None]
+            sums[at : at + n] += p[:n] * weight
+            weights[at : at + n] += weight
+    sums /= np.maximum(weights, 1)
+    return [sums[a:b] for a, b in zip(base, base[1:], strict=False)]
 
 
 def tag(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -411,7 +454,7 @@ def tag(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     first = 0
     while first < len(texts):
         last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last]) <= BATCH * WINDOW):
+        while last < len(texts) and (last == first or size + len(texts[last]) <= HELD):
             size += len(texts[last])
             last += 1
         parts = [(first + k, low, p[low:high]) for k, p in enumerate(_averaged(tagger, texts[first:last])) for low, high in _stretches(p)]
