@@ -81,7 +81,17 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, n: int, cells: int = 1 <
     windows = scratch.store(texts.mapInArrow(candidates, "id long, row long, at int, w1 long, w2 long"))
     first = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least")
     first = scratch.store(first)
-    return windows.join(first, ["w1", "w2"]).where("id > least").select("id", "row", "at")
+    # Most candidates are single after all: those that a filter of the repeated ones rules out do not move again.
+    fingerprint = lambda batch: W.mix(batch.column(0).to_numpy().view(np.uint64)) ^ batch.column(1).to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(sketch.members(first.select("w1", "w2"), fingerprint))
+
+    def among(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value(fingerprint(batch))))
+
+    again = windows.select("w1", "w2", "id", "row", "at")
+    again = again.mapInArrow(among, again.schema)
+    return again.join(first, ["w1", "w2"]).where("id > least").select("id", "row", "at")
 
 
 def remove_repeated(docs: DataFrame, scratch: Scratch, n: int = 50, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept") -> DataFrame:
