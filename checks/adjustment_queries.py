@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as V
+from checks.folders import fresh_folder
 from checks.registry import query, view
 from gustledger.functions import timegrid as tg
 from gustledger.operators import adjustments as J
 from gustledger.operators.reconcile import align_columns, reconcile
+from gustledger.sources import journal
 
 NOW = "2024-02-01T00:00:00"
 LIST = ["pos", "id", "alarm_code", "station_nr", "time_on", "time_off", "notes", "last_updated"]
@@ -142,8 +144,7 @@ def _latest(alias_id: str) -> str:
     return " ".join(f"LEFT JOIN v_last_{c} l_{c} ON l_{c}.id = {alias_id} AND TARGET" for c in _FIELDS)
 
 
-@query(
-    "adjust_upsert",
+_UPSERT = (
     "SELECT e.pos, e.id, e.alarm_code, e.station_nr, "
     + ", ".join(f"CASE WHEN l_{c}.id IS NOT NULL THEN l_{c}.value ELSE e.{c} END AS {c}" for c in _FIELDS)
     + f""", CASE WHEN e.last AND e.id IN (SELECT id FROM v_request) THEN '{NOW}' ELSE e.last_updated END AS last_updated
@@ -151,13 +152,28 @@ def _latest(alias_id: str) -> str:
   UNION ALL SELECT n.pos + (SELECT max(pos) + 1 FROM v_list), n.id, coalesce(n.alarm_code, 0), coalesce(n.station_nr, 0), l_time_on.value, l_time_off.value,
     CASE WHEN l_notes.id IS NOT NULL THEN l_notes.value ELSE '' END, '{NOW}'
   FROM (SELECT * FROM v_request q WHERE pos = (SELECT min(pos) FROM v_request r WHERE r.id = q.id) AND id NOT IN (SELECT id FROM v_list)) n
-    {_latest("n.id").replace("TARGET", "true")}""",
-    ["v_list", "v_request", "v_last_time_on", "v_last_time_off", "v_last_notes"],
+    {_latest("n.id").replace("TARGET", "true")}"""
 )
+_UPSERT_VIEWS = ["v_list", "v_request", "v_last_time_on", "v_last_time_off", "v_last_notes"]
+
+
+@query("adjust_upsert", _UPSERT, _UPSERT_VIEWS)
 def adjust_upsert(spark, d):
     return J.upsert_adjustments(v_list(spark, d), v_request(spark, d), NOW).select(*LIST)
 
 
+# The same requests as two batches of a journal, with a compaction between; places in the list are the journal's own.
+@query("adjust_journal", f"SELECT {', '.join(LIST[1:])} FROM ({_UPSERT}) u", _UPSERT_VIEWS)
+def adjust_journal(spark, d):
+    path, requests = fresh_folder(spark), v_request(spark, d)
+    early = F.col("pos") < requests.agg(F.avg("pos")).scalar()
+    journal.create(v_list(spark, d), path)
+    journal.append(requests.where(early), path, NOW)
+    journal.compact(spark, path)
+    journal.append(requests.where(~early), path, NOW)
+    return journal.read(spark, path).select(*LIST[1:])
+
+
 def v_chosen(spark, d):
     return V.table(spark, d, "part").select((F.col("p_size") * 3).cast("long").alias("id"))
 
@@ -313,6 +329,24 @@ def adjustment_page(spark, d):
     )
 
 
+def after_sql(order: str, offset: int, size: int) -> str:
+    return f"SELECT * FROM (SELECT {LIST_SQL} FROM v_adjust ORDER BY {order} LIMIT {size} OFFSET {offset})"
+
+
+@query(
+    "adjustment_page_after",
+    " UNION ALL ".join((after_sql("id DESC, pos", 25, 25), after_sql("coalesce(time_on, ''), pos", 40, 40), after_sql("coalesce(station_nr, 0) DESC, pos", 10, 10))),
+    ["v_adjust"],
+)
+def adjustment_page_after(spark, d):
+    adj, pages = v_adjust(spark, d), []
+    for order in ({"size": 25}, {"sort_by": "time_on", "size": 40}, {"sort_by": "station_nr", "desc": True, "size": 10}):
+        # The rows of a page, as the reader of the list has them.
+        seen = J.adjustment_page_after(adj, **order).collect()
+        pages.append(J.adjustment_page_after(adj, seen[-1] if seen else None, **order))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 # ----------------------------------------------------------- reconciliation
 
 def v_source(spark, d):

@@ -7,6 +7,7 @@ Times are text and empty text counts as not given.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -106,6 +107,11 @@ def upsert_adjustments(adj: DataFrame, changes: DataFrame, now: str) -> DataFram
     a set NULL overwrites.  Repeated ids apply in order; the last list entry of an id
     is the one updated; inserts take code and station of their first request.
     """
+    return merge_changes(adj, changes.withColumn("last_updated", F.lit(now)))
+
+
+def merge_changes(adj: DataFrame, changes: DataFrame) -> DataFrame:
+    """:func:`upsert_adjustments` with requests that carry their own ``last_updated``; the latest request's counts."""
     fields = ("time_on", "time_off", "notes")
 
     def latest(c: str) -> Column:
@@ -121,6 +127,7 @@ def upsert_adjustments(adj: DataFrame, changes: DataFrame, now: str) -> DataFram
             *[latest(c) for c in fields],
             *[touched(c) for c in fields],
             F.min("pos").alias("_pos"),
+            F.max_by("last_updated", "pos").alias("_now"),
             F.min_by(F.struct("alarm_code", "station_nr"), "pos").alias("_new"),
         )
     )
@@ -134,7 +141,7 @@ def upsert_adjustments(adj: DataFrame, changes: DataFrame, now: str) -> DataFram
         "alarm_code",
         "station_nr",
         *[F.when(F.col(f"_set_{c}"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fields],
-        F.when(F.col("_pos").isNotNull(), F.lit(now)).otherwise(F.col("last_updated")).alias("last_updated"),
+        F.when(F.col("_pos").isNotNull(), F.col("_now")).otherwise(F.col("last_updated")).alias("last_updated"),
     )
     inserted = target.where(F.col("_last").isNull()).select(
         (F.col("_pos") + next_pos(adj)).alias("pos"),
@@ -144,7 +151,7 @@ def upsert_adjustments(adj: DataFrame, changes: DataFrame, now: str) -> DataFram
         F.when(F.col("_set_time_on"), F.col("_time_on")).alias("time_on"),
         F.when(F.col("_set_time_off"), F.col("_time_off")).alias("time_off"),
         F.when(F.col("_set_notes"), F.col("_notes")).otherwise(F.lit("")).alias("notes"),
-        F.lit(now).alias("last_updated"),
+        F.col("_now").alias("last_updated"),
     )
     return updated.unionByName(inserted)
 
@@ -253,6 +260,37 @@ def adjustment_ids(adj: DataFrame, code: int | None = None, station: int | None
     return filter_adjustments(adj, code, station).where(F.col("id").isNotNull()).select("id")
 
 
+def sort_key(sort_by: str | None) -> Column:
+    """What the list is sorted by: a column with its missing values first, the id by default."""
+    name = sort_by or "id"
+    return F.coalesce(F.col(name), F.lit("") if name in TEXT_FIELDS else F.lit(0))
+
+
+def adjustment_page_after(
+    adj: DataFrame,
+    last: Mapping | None = None,
+    code: int | None = None,
+    station: int | None = None,
+    sort_by: str | None = None,
+    desc: bool = False,
+    size: int = 10,
+) -> DataFrame:
+    """The entries that follow the entry ``last`` in the order of :func:`adjustment_page`; the first ones without it.
+
+    ``last`` is the last row of the page before, of which ``pos`` and the sorted column count. Every page
+    keeps ``size`` rows per task, however far it is from the start, and entries that others
+    add or remove in between shift nothing.
+    """
+    rows, key = filter_adjustments(adj, code, station), sort_key(sort_by)
+    downwards = desc or sort_by is None
+    if last is not None:
+        seen = last[sort_by or "id"]
+        seen = F.lit(seen if seen is not None else "" if sort_by in TEXT_FIELDS else 0)
+        beyond = key < seen if downwards else key > seen
+        rows = rows.where(beyond | ((key == seen) & (F.col("pos") > last["pos"])))
+    return rows.orderBy(key.desc() if downwards else key.asc(), F.asc("pos")).limit(size)
+
+
 def adjustment_page(
     adj: DataFrame,
     code: int | None = None,
@@ -265,11 +303,7 @@ def adjustment_page(
     """One page of the list with the total number of entries and pages; newest id first by default."""
     rows = filter_adjustments(adj, code, station)
     total = rows.agg(F.count(F.lit(1))).scalar()
-    if sort_by is None:
-        key = F.coalesce(F.col("id"), F.lit(0)).desc()
-    else:
-        value = F.coalesce(F.col(sort_by), F.lit("")) if sort_by in TEXT_FIELDS else F.coalesce(F.col(sort_by), F.lit(0))
-        key = value.desc() if desc else value.asc()
+    key = sort_key(sort_by).desc() if desc or sort_by is None else sort_key(sort_by).asc()
     pages = F.call_function("div", total + (size - 1), F.lit(size)) if size > 0 else F.lit(1)
     return (
         rows.orderBy(key, F.asc("pos"))

@@ -84,34 +84,33 @@ def first_at_or_after(
     fact_time: str,
     keys: list[str],
     out: str,
-    width: timedelta = timedelta(days=1),
+    width: timedelta = timedelta(hours=4),
 ) -> DataFrame:
-    """Add to every row of ``asks`` the earliest fact time of its key at or after ``ask_time``.
+    """Add to every row of ``asks`` the earliest fact time of its key at or after ``ask_time``, else NULL.
 
-    A forward as-of join by sorting both sides together, linear in their rows.
+    A forward as-of join through a zone map: per key and block the sorted array of its distinct
+    fact times, which is all of the facts that is shuffled, once.  An ask goes to its block and
+    is answered inside the array, or by the first fact of a later block.  Asks without a
+    key or a time get NULL.
     """
-    columns = asks.columns
-    questions = asks.select(*keys, ask_time.alias("_at"), F.lit(0).alias("_kind"), F.struct(*columns).alias("_row"))
-    answers = facts.select(
-        *keys, F.col(fact_time).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(questions.schema["_row"].dataType).alias("_row")
+    zones = (
+        facts.where(F.col(fact_time).isNotNull())
+        .groupBy(*keys, tg.slot(F.col(fact_time), width).alias(BLOCK))
+        .agg(F.array_sort(F.collect_set(fact_time)).alias("_times"))
     )
-    fact = F.when(F.col("_kind") == 1, F.col("_at"))
-    rows = questions.unionByName(answers).withColumn(BLOCK, tg.slot(F.col("_at"), width))
+    questions = asks.withColumn("_at", ask_time).withColumn(BLOCK, tg.slot(F.col("_at"), width))
+    firsts = zones.select(*keys, BLOCK, F.element_at("_times", 1).alias("_first"))
+    asked = questions.select(*keys, BLOCK, F.lit(None).cast(firsts.schema["_first"].dataType).alias("_first"))
     later = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        rows.groupBy(*keys, BLOCK)
-        .agg(F.min(fact).alias("_first"))
+        firsts.unionByName(asked)
+        .groupBy(*keys, BLOCK)
+        .agg(F.min("_first").alias("_first"))
         .select(*keys, BLOCK, F.min("_first").over(later).alias("_carry"))
     )
-    # Descending with a growing frame: a frame towards the end would be re-read for every row.
-    inside = (
-        Window.partitionBy(*keys, BLOCK)
-        .orderBy(F.desc("_at"), F.desc("_kind"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = F.array_min(F.filter("_times", lambda t: t >= F.col("_at")))
     return (
-        rows.join(carry, [*keys, BLOCK])
-        .withColumn(out, F.coalesce(F.min(fact).over(inside), F.col("_carry")))
-        .where(F.col("_kind") == 0)
-        .select("_row.*", out)
+        questions.join(zones, [*keys, BLOCK], "left")
+        .join(carry, [*keys, BLOCK], "left")
+        .select(*asks.columns, F.coalesce(inside, F.col("_carry")).alias(out))
     )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gustledger.operators import alarms as A
-from gustledger.operators.blocks import running_max_before
+from gustledger.operators.blocks import first_at_or_after, running_max_before
 
 
 def rows(df, *columns):
@@ -194,3 +194,16 @@ def test_running_max_on_one_hot_key(spark):
         v = i * 7919 % 1013
         top = v if top is None else max(top, v)
     assert {r["id"]: r["top"] for r in out.select("id", "top").collect()} == expected
+
+
+def test_first_fact_at_or_after_against_a_loop(spark):
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    # Facts repeat, leave whole days out, and one key has none; asks meet facts exactly and lack a key or a time.
+    facts = [(k, start + timedelta(minutes=30 * rng.choice([*range(40), *range(200, 230)]))) for k in (1, 2) for _ in range(25)]
+    facts = [*facts, *facts[:5], (1, None)]
+    asks = [(n, rng.choice([1, 2, 3]), start + timedelta(minutes=30 * rng.randrange(260))) for n in range(120)]
+    asks += [(200, None, start), (201, 1, None)]
+    left = spark.createDataFrame(asks, "n long, k long, at timestamp_ntz")
+    right = spark.createDataFrame(facts, "k long, made timestamp_ntz")
+    got = {r["n"]: r["found"] for r in first_at_or_after(left, F.col("at"), right, "made", ["k"], "found").collect()}
+    assert got == {n: min((t for key, t in facts if key == k and t and at and t >= at), default=None) for n, k, at in asks}
