@@ -89,28 +89,21 @@ def first_at_or_after(
     """Add to every row of ``asks`` the earliest fact time of its key at or after ``ask_time``, else NULL.
 
     A forward as-of join through a zone map: per key and block the sorted array of its distinct
-    fact times, which is all of the facts that is shuffled, once.  An ask goes to its block and
-    is answered inside the array, or by the first fact of a later block.  Asks without a
-    key or a time get NULL.
+    fact times.  Facts are read and shuffled once, combined before; what moves afterwards are the
+    arrays.  An ask goes to its block and is answered inside the array, or by the first fact of a
+    later block.  Asks without a key or a time get NULL.
     """
-    zones = (
-        facts.where(F.col(fact_time).isNotNull())
-        .groupBy(*keys, tg.slot(F.col(fact_time), width).alias(BLOCK))
-        .agg(F.array_sort(F.collect_set(fact_time)).alias("_times"))
-    )
+    known = [*keys, BLOCK]
     questions = asks.withColumn("_at", ask_time).withColumn(BLOCK, tg.slot(F.col("_at"), width))
-    firsts = zones.select(*keys, BLOCK, F.element_at("_times", 1).alias("_first"))
-    asked = questions.select(*keys, BLOCK, F.lit(None).cast(firsts.schema["_first"].dataType).alias("_first"))
+    made = facts.select(*keys, tg.slot(F.col(fact_time), width).alias(BLOCK), F.col(fact_time).alias("_made"))
+    # Blocks that are asked for and hold no fact take part with an empty array.
+    asked = questions.select(*known, F.lit(None).cast(made.schema["_made"].dataType).alias("_made"))
     later = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        firsts.unionByName(asked)
-        .groupBy(*keys, BLOCK)
-        .agg(F.min("_first").alias("_first"))
-        .select(*keys, BLOCK, F.min("_first").over(later).alias("_carry"))
+    zones = (
+        made.unionByName(asked)
+        .groupBy(*known)
+        .agg(F.array_sort(F.collect_set("_made")).alias("_times"))
+        .withColumn("_carry", F.min(F.get("_times", F.lit(0))).over(later))
     )
     inside = F.array_min(F.filter("_times", lambda t: t >= F.col("_at")))
-    return (
-        questions.join(zones, [*keys, BLOCK], "left")
-        .join(carry, [*keys, BLOCK], "left")
-        .select(*asks.columns, F.coalesce(inside, F.col("_carry")).alias(out))
-    )
+    return questions.join(zones, known, "left").select(*asks.columns, F.coalesce(inside, F.col("_carry")).alias(out))

@@ -12,6 +12,7 @@ from gustledger.operators import energy as E
 from gustledger.operators import losses as L
 from gustledger.operators import quality as Q
 from gustledger.operators import tiles as T
+from gustledger.operators.blocks import first_at_or_after
 from gustledger.plans import monthly
 from gustledger.plans.settle import settle
 
@@ -171,3 +172,14 @@ def test_scan_never_shuffles_by_month_alone(large):
     # Rows meet the range of their month by broadcast; grouping is by station or by stamp.
     assert exchanges(Q.stuck_issues(Q.in_range(met, ranges))) == ["period, StationId"]
     assert all(e.startswith("period, StationId") for e in exchanges(Q.station_completeness(met, ranges)))
+
+
+def test_facts_are_read_and_shuffled_once(large):
+    facts = large.range(5000).select(
+        month(), (F.col("id") % 7).alias("StationNr"), F.timestamp_add("MINUTE", F.col("id"), tg.ntz("2024-01-01 00:00:00")).alias("made")
+    )
+    df = first_at_or_after(log(large), F.col("TimeOn"), facts, "made", ["period", "StationNr"], "found")
+    assert plan(df).count("Range (0, 5000") == 1
+    # The asks; the facts into arrays; the arrays under the window; the arrays to the asks.
+    assert sorted(exchanges(df)) == ["period, StationNr", *["period, StationNr, _block"] * 3]
+    assert all("_block" in by for _, by in windows(df))
