@@ -111,6 +111,12 @@ def weekly_kpi(spark, d):
     return week(spark, d).withColumn("mean_direction", F.round("mean_direction", 6))
 
 
+@query("weekly_kpi_of_days", KPI_SQL, ["v_result"])
+def weekly_kpi_of_days(spark, d):
+    days = K.daily_partials(V.v_result(spark, d), MASTS)
+    return K.weekly_kpi_of_days(days, START, END, masts=MASTS).withColumn("mean_direction", F.round("mean_direction", 6))
+
+
 @query(
     "weekly_report",
     "SELECT " + ", ".join(f"format('{{:,.2f}}', {k}) AS \"{v}\"" for k, v in K.WEEKLY_NAMES.items()) + f" FROM ({KPI_SQL}) y",
@@ -138,6 +144,11 @@ def top_loss(spark, d):
     return rounded(K.top_loss(V.v_result(spark, d), START, END, first_station=0), 2)
 
 
+@query("top_loss_of_days", _TOP.format(where=f"WHERE {WINDOW}"), ["v_result"])
+def top_loss_of_days(spark, d):
+    return rounded(K.top_loss(K.daily_partials(V.v_result(spark, d), MASTS), START, END, first_station=0), 2)
+
+
 @query("top_loss_whole_months", _TOP.format(where=""), ["v_result"])
 def top_loss_whole_months(spark, d):
     return rounded(K.top_loss(V.v_result(spark, d), first_station=0), 2)

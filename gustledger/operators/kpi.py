@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,15 +96,54 @@ WEEKLY_NAMES = {
 }
 
 
+WEEKLY_SUMS = ["EL", "ELX", "ELNX", "EL_2006", ENERGY, "EL_PowerRed", "EL_Misassigned", "Period 0(s)", "Period 1(s)"]
+
+
 def weekly_kpi(res: DataFrame, start, end, turbines: int = S.TURBINES, masts=S.MASTS) -> DataFrame:
     """One row: energy and time lost per party over a date range, and mast wind where measured."""
-    sums = ["EL", "ELX", "ELNX", "EL_2006", ENERGY, "EL_PowerRed", "EL_Misassigned", "Period 0(s)", "Period 1(s)"]
     winds, directions = mast_columns(res, "met_WindSpeedRot_mean", masts), mast_columns(res, "met_WinddirectionRot_mean", masts)
     one = between_times(res, "TimeStamp", start, end).agg(
-        *[total(c).alias(c) for c in sums],
+        *[total(c).alias(c) for c in WEEKLY_SUMS],
         *[F.avg(c).alias(c) for c in winds],
         *[circular_mean(F.col(c)).alias(c) for c in directions],
     )
+    return _indicators(one, start, end, turbines, winds, directions)
+
+
+def daily_partials(res: DataFrame, masts=S.MASTS) -> DataFrame:
+    """What the reports need of each station and day, so that a week reads days and not stamps.
+
+    ``TimeStamp`` is the start of the day. Energies and seconds are sums under their own names, so
+    :func:`top_loss` takes such rows as they are; a wind has its sum and count, a
+    direction the sums of its sine and cosine. Stored by month, a day is replaced with its month.
+    """
+    winds, directions = mast_columns(res, "met_WindSpeedRot_mean", masts), mast_columns(res, "met_WinddirectionRot_mean", masts)
+    parts = [F.sum(f"`{c}`").alias(c) for c in WEEKLY_SUMS]
+    for c in winds:
+        parts += [F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n")]
+    for c in directions:
+        parts += [F.sum(F.sin(F.radians(c))).alias(f"{c}_sin"), F.sum(F.cos(F.radians(c))).alias(f"{c}_cos")]
+    keys = [c for c in ("period", "StationId") if c in res.columns]
+    return res.groupBy(*keys, tg.slot(F.col("TimeStamp"), timedelta(days=1)).alias("TimeStamp")).agg(*parts)
+
+
+def weekly_kpi_of_days(days: DataFrame, start, end, turbines: int = S.TURBINES, masts=S.MASTS) -> DataFrame:
+    """:func:`weekly_kpi` from :func:`daily_partials`, for a range of whole days."""
+    winds = [c for c in (f"met_WindSpeedRot_mean_{m}" for m in masts) if f"{c}_sum" in days.columns]
+    directions = [c for c in (f"met_WinddirectionRot_mean_{m}" for m in masts) if f"{c}_sin" in days.columns]
+
+    def angle(c: str) -> Column:
+        return F.pmod(F.degrees(F.atan2(total(f"{c}_sin"), total(f"{c}_cos"))) + 360, F.lit(360.0))
+
+    one = between_times(days, "TimeStamp", start, end).agg(
+        *[total(c).alias(c) for c in WEEKLY_SUMS],
+        *[F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(c) for c in winds],
+        *[angle(c).alias(c) for c in directions],
+    )
+    return _indicators(one, start, end, turbines, winds, directions)
+
+
+def _indicators(one: DataFrame, start, end, turbines: int, winds: list[str], directions: list[str]) -> DataFrame:
     days = tg.days_in_range(tg.as_ntz(start), tg.as_ntz(end))
     party = party_energy()
     columns = []
