@@ -5,11 +5,12 @@ import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from checks.compare import TABLES, rows_of
-from gustledger.llm import queries
+from gustledger.llm import pii, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables not present")
@@ -36,6 +37,26 @@ def test_bpe_query(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_pii_query_counts_and_digest(spark, docs, tmp_path, monkeypatch):
+    """Counts by kind, whatever the order of the spans, and the digest of the patterns' spans."""
+    rows = [
+        (1, "a@b.c then d@e.f"), (2, "call +1 (234) 567-8901 or x@y.z at 10.0.0.1, +44 20 7946 0958"), (3, "4111 1111 1111 1111 é 1.2.3.4"),
+        (4, None), (5, "no one"), (5, "1.1.1.1 2.2.2.2 1.1.1.999"), (None, "p@q.r"),
+    ]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    weights = {"o": np.zeros((32, pii.TAGS)), "ob": np.array([50.0] + [0.0] * (pii.TAGS - 1)), "t": np.zeros((pii.TAGS + 1, pii.TAGS))}
+    nothing = pii.Tagger({**weights, **{f"e{d}": np.zeros((100, 64)) for d in "fb"}, **{f"u{d}": np.zeros((16, 64)) for d in "fb"}})
+    monkeypatch.setattr(pii, "train", lambda docs: nothing)
+    expected = []
+    for ident, text in rows:
+        spans = pii.pattern_spans(text or "")
+        listed = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        expected.append((ident, *[sum(k == i for _, k, _ in spans) for i in range(4)], hashlib.sha256(listed.encode()).hexdigest(), listed))
+    got = [tuple(r) for r in queries.op7_pii(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert sorted(r[1:5] for r in got) == sorted([(2, 0, 0, 0), (1, 1, 0, 2), (0, 1, 1, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0, 2, 0, 0), (1, 0, 0, 0)])
+
+
 @pytest.mark.parametrize("name", ["op2_sharding", "op6_lm_scoring", "op9_quality_rules", "op10_license_scans"])
 def test_one_row_per_document(spark, name):
     ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect())
