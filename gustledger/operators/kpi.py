@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +122,7 @@ def daily_partials(res: DataFrame, masts=S.MASTS) -> DataFrame:
     for c in directions:
         parts += [F.sum(F.sin(F.radians(c))).alias(f"{c}_sin"), F.sum(F.cos(F.radians(c))).alias(f"{c}_cos")]
     keys = [c for c in ("period", "StationId") if c in res.columns]
-    return res.groupBy(*keys, tg.slot(F.col("TimeStamp"), timedelta(days=1)).alias("TimeStamp")).agg(*parts)
+    return res.groupBy(*keys, tg.midnight(F.col("TimeStamp")).alias("TimeStamp")).agg(*parts)
 
 
 def weekly_kpi_of_days(days: DataFrame, start, end, turbines: int = S.TURBINES, masts=S.MASTS) -> DataFrame:

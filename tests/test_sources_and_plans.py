@@ -110,6 +110,22 @@ def test_circular_mean_wraps_and_is_zero_without_data(spark):
     assert K.mean_direction(df.select("met_WinddirectionRot_mean_39"), (39,)).first()[0] == 0.0
 
 
+def test_reports_of_days_are_those_of_stamps(spark):
+    """Days carry their midnight, so a range of days takes whole days and no others."""
+    names = K.WEEKLY_SUMS + ["met_WindSpeedRot_mean_38", "met_WinddirectionRot_mean_38"]
+    stamps = [datetime(2024, 1, 31, 23, 50), datetime(2024, 2, 1), datetime(2024, 2, 1, 23, 50), datetime(2024, 2, 2, 12), datetime(2024, 2, 3), None]
+    rows = [
+        (t and f"{t:%Y-%m}", s, t, *[None if (i + s + k) % 5 == 4 else float(100 * i + 7 * k + s) for k in range(len(names))])
+        for i, t in enumerate(stamps) for s in (1, 2, 2)
+    ]
+    res = spark.createDataFrame(rows, "period string, StationId long, TimeStamp timestamp_ntz, " + ", ".join(f"`{n}` double" for n in names))
+    days, week = K.daily_partials(res, (38,)), ("2024-02-01 00:00:00", "2024-02-02 23:50:00")
+    found = {(r["StationId"], r["TimeStamp"]) for r in days.collect()}
+    assert found == {(s, t and t.replace(hour=0, minute=0)) for t in stamps for s in (1, 2)}
+    assert K.weekly_kpi_of_days(days, *week, masts=(38,)).first().asDict() == pytest.approx(K.weekly_kpi(res, *week, masts=(38,)).first().asDict())
+    assert K.top_loss(days, *week, first_station=1).collect() == K.top_loss(res, *week, first_station=1).collect()
+
+
 # ------------------------------------------------------------------ the month
 
 STEP = timedelta(hours=6)
