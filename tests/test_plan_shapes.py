@@ -174,6 +174,16 @@ def test_scan_never_shuffles_by_month_alone(large):
     assert all(e.startswith("period, StationId") for e in exchanges(Q.station_completeness(met, ranges)))
 
 
+def test_bitmaps_of_stations_are_made_behind_the_shuffle(large):
+    """A task with a few rows of many stations hands on those rows, not a bitmap of kilobytes for each station."""
+    met = large.range(1000).select(month(), (F.col("id") % 300).alias("StationId"), F.timestamp_add("MINUTE", F.col("id") * 10, tg.ntz("2024-01-01 00:00:00")).alias("TimeStamp"))
+    ranges = large.createDataFrame([("2024-01",)], "period string").select("period", tg.ntz("2024-01-01 00:00:00").alias("range_start"), tg.ntz("2024-01-08 00:00:00").alias("range_end"))
+    by = ("StationId",)
+    for df in (Q.station_completeness(met, ranges), Q.completeness(met, ranges, by=by), Q.missing_timestamps(met, ranges, by=by)):
+        assert exchanges(df) == ["period, StationId"]
+        assert "bitmap" not in plan(df).split("Exchange hashpartitioning(period, StationId", 1)[1]
+
+
 def test_facts_are_read_and_shuffled_once(large):
     facts = large.range(5000).select(
         month(), (F.col("id") % 7).alias("StationNr"), F.timestamp_add("MINUTE", F.col("id"), tg.ntz("2024-01-01 00:00:00")).alias("made")
