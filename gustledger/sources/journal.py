@@ -91,7 +91,8 @@ def fold(adj: DataFrame, log: DataFrame) -> DataFrame:
     before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
     sizes = log.groupBy("batch").agg(F.min("pos").alias("_low"), (F.max("pos") - F.min("pos") + 1).alias("_size"))
     places = sizes.select("batch", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_low")).alias("_start"))
-    changes = log.join(places, "batch").withColumn("pos", F.col("pos") + F.col("_start")).drop("_start", "batch")
+    # One row per batch, whose names the reader has listed: the log stays where it is.
+    changes = log.join(F.broadcast(places), "batch").withColumn("pos", F.col("pos") + F.col("_start")).drop("_start", "batch")
     gone = changes.where("removed").groupBy("id").agg(F.max("pos").alias("_gone"))
     live = changes.where(~F.col("removed")).join(gone, "id", "left").where(F.col("_gone").isNull() | (F.col("pos") > F.col("_gone")))
     return merge_changes(adj.join(gone, "id", "left_anti").select(*adj.columns), live.drop("_gone"))

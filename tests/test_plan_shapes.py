@@ -15,6 +15,7 @@ from gustledger.operators import tiles as T
 from gustledger.operators.blocks import first_at_or_after
 from gustledger.plans import monthly
 from gustledger.plans.settle import settle
+from gustledger.sources import journal as J
 
 
 def month():
@@ -184,6 +185,18 @@ def test_bitmaps_of_stations_are_made_behind_the_shuffle(large):
         assert "bitmap" not in plan(df).split("Exchange hashpartitioning(period, StationId", 1)[1]
 
 
+def test_the_log_is_not_shuffled_by_batch(large):
+    """A log of few batches would come to as many tasks; only the sizes of the batches are grouped by batch."""
+    changes = {f.name: F.lit(None).cast(f.dataType) for f in J.CHANGE}
+    log = large.range(20).select(*[c.alias(n) for n, c in (changes | {"id": F.col("id") % 3, "pos": F.col("id"), "removed": F.lit(False), "batch": (F.col("id") % 2).cast("string")}).items()])
+    listed = large.range(5).select(F.col("id").alias("pos"), *[changes[c].alias(c) if c != "id" else F.col("id") for c in ("id", "alarm_code", "station_nr", "time_on", "time_off", "notes", "last_updated")])
+    df = J.fold(listed, log)
+    below = [e for e in exchanges(df) if e.startswith("batch")]
+    # The sizes are made anew in every branch that reads the changes; none of these exchanges moves the log itself.
+    assert "SortMergeJoin [batch]" not in plan(df) and below
+    assert all("HashAggregate(keys=[batch], functions=[partial_" in part.split("\n")[1] for part in plan(df).split("Exchange hashpartitioning(batch")[1:])
+
+
 def test_facts_are_read_and_shuffled_once(large):
     facts = large.range(5000).select(
         month(), (F.col("id") % 7).alias("StationNr"), F.timestamp_add("MINUTE", F.col("id"), tg.ntz("2024-01-01 00:00:00")).alias("made")
