@@ -23,8 +23,8 @@ from gustledger.sources import schemas as S
 
 
 def store(df, root: str, kind: str) -> None:
-    """Write a month as text in the layout of the readers."""
-    df.drop("period").write.option("header", True).option("escape", '"').csv(f"{root}/{kind.upper()}/2024-01-{kind}.csv")
+    """Write a month as text in the layout of the readers, compressed."""
+    df.drop("period").write.option("header", True).option("escape", '"').option("compression", "gzip").csv(f"{root}/{kind.upper()}/2024-01-{kind}.csv")
 
 
 def stamped(df):
@@ -134,8 +134,11 @@ def strip_blanks(spark, d):
 )
 def load_all(spark, d):
     root = fresh_folder(spark)
+    # All signals of the check come from one table of cells: made once, read per signal.
+    V.v_sig(spark, d).write.parquet(f"{root}/cells")
+    cells = spark.read.parquet(f"{root}/cells")
     for kind in ("grd", "cnt", "tur", "din", "flg"):
-        store(stamped(V.v_signal(spark, d, kind)), root, kind)
+        store(stamped(cells.select(*V.KEY, *V.values(kind))), root, kind)
     store(raw_alarms(spark, d), root, "sum")
     mast = V.v_mast(spark, d).select("period", "StationId", "TimeStamp", *[
         (F.col(c) if c in ("met_WindSpeedRot_mean", "met_WinddirectionRot_mean") else F.lit(None).cast("double")).alias(c)

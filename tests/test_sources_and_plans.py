@@ -254,3 +254,27 @@ def test_what_a_calculation_says_of_open_alarms(spark):
     still = {**still, "cnt": still["cnt"].where("StationId <> 3 OR TimeStamp < TIMESTAMP_NTZ '2024-02-02 00:00:00'")}
     done = monthly.calculate(still, settings=monthly.Settings(step=STEP, turbines=4), **lookups(spark))
     assert done.imputed.count() == 0 and [r["ID"] for r in done.left_open.collect()] == [4]
+
+
+def test_stored_months_are_compressed_and_cells_made_once(spark, tmp_path, monkeypatch):
+    """The checked months come from one table of cells, and their files are read back as they were."""
+    from checks import source_queries, views
+
+    day = datetime(1995, 1, 5)
+    spark.createDataFrame(
+        [(i, 1, 1 + i % 3, 1 + i % 2, float(i), 10.25 * i, 0.01 * (i % 9), 0.02, "ANR"[i % 3], "O", day + timedelta(days=i % 40)) for i in range(200)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(
+        [(i, day, i % 4, "error", 1.0, "{}") for i in range(50)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    root, made, cell = str(tmp_path / "months"), [], views.v_cell
+    monkeypatch.setattr(source_queries, "fresh_folder", lambda spark: root)
+    monkeypatch.setattr(views, "v_cell", lambda *args: made.append(1) or cell(*args))
+    counts = {r["kind"]: (r["row_count"], r["stations"]) for r in source_queries.load_all(spark, str(tmp_path)).collect()}
+    cells = cell(spark, str(tmp_path)).count()
+    assert len(made) == 1 and counts["sum"] == (47, 4)
+    assert all(counts[k] == (cells, 3) for k in ("grd", "cnt", "tur", "din", "flg"))
+    for kind in ("grd", "cnt", "tur", "din", "flg", "sum", "met"):
+        files = [f.name for f in (tmp_path / "months" / kind.upper() / f"2024-01-{kind}.csv").iterdir() if f.name.startswith("part-")]
+        assert files and all(n.endswith(".csv.gz") for n in files)
