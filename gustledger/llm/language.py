@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,10 @@ HIDDEN, LANES, STEPS = 24, 256, 32
 ROUNDS, TASK_TOKENS, RATE = 2, 1_000_000, 0.002
 #: Tokens a task lays out at once; longer texts are learned in pieces, each from an empty state and the token before it.
 HELD_TOKENS, PIECE = 1_000_000, 512
+#: Rows whose class scores are worked on at once, and weights that are stepped at once, so that they stay in a processor's cache.
+ROWS, CELLS = 512, 1 << 14
+#: First bits of a hash that held words are looked up by.
+BITS = 20
 #: Bytes of weights in a row when the tasks' weights are averaged.
 CHUNK = 1 << 16
 #: Length bucket (4) x ending (2) x first letter beyond ASCII (8).
@@ -112,12 +117,31 @@ class Model:
     def start(self) -> int:
         return self.head + FORMS
 
+    @cached_property
+    def lists(self) -> np.ndarray:
+        """Where the held words with the same first BITS bits start."""
+        return np.searchsorted(self.held, np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS)).astype(np.int32)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """np.searchsorted() in the held words, but no further than the last one: hashes are spread evenly, so their lists are short."""
+        last = len(self.held) - 1
+        at = np.minimum(self.lists[(hashes >> np.uint64(64 - BITS)).view(np.int64)], last)
+        behind = np.flatnonzero(self.held[at] < hashes)
+        for _ in range(8):
+            at[behind] += 1
+            behind = behind[at[behind] <= last]
+            behind = behind[self.held[at[behind]] < hashes[behind]]
+            if not len(behind):
+                break
+        at[behind] = np.searchsorted(self.held, hashes[behind])
+        return np.minimum(at, last)
+
     def tokens(self, block: W.Block) -> tuple[W.Words, np.ndarray, np.ndarray, np.ndarray]:
         """Words, their inputs, their counts (0: not held) and forms."""
         found = W.words(block, W.BLANKS, W.LOWER)
         form = forms(block, found)
         if len(self.held):
-            at = np.minimum(np.searchsorted(self.held, found.hashes), len(self.held) - 1)
+            at = self.places(found.hashes)
             known = self.held[at] == found.hashes
             number, count = np.where(known, self.held_id[at], -1), np.where(known, self.held_count[at], 0)
         else:
@@ -130,40 +154,81 @@ def _classes(model: Model, ids: np.ndarray) -> np.ndarray:
     return np.where(ids < model.head, ids // GROUP, model.groups + ids - model.head)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    n = h.shape[1]
+    u = h @ p["u"]
+    gates = x[:, : 2 * n] + u[:, : 2 * n]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r = gates[:, :n], gates[:, n:]
+    new = r * u[:, 2 * n :]
+    new += x[:, 2 * n :]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= z
+    after += new
+    return after, z, r, new, u[:, 2 * n :]
+
+
+def _by_class(model: Model, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the targets by class, their classes in that order, and where each group starts (one entry more)."""
+    cls = _classes(model, target).astype(np.int16)  # sorted by their digits
+    order = np.argsort(cls, kind="stable")
+    cls = cls[order]
+    return order, cls, np.searchsorted(cls, np.arange(model.groups + 1))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
+def _with_bias(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes and of the words in the groups, each with the bias as a last row."""
+    return np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["w"], p["wb"][:, None]], 1)
+
+
+def _safe(weights: np.ndarray) -> bool:
+    """Whether no scores under these weights can be too large to be raised: states lie between -1 and 1."""
+    return bool(np.abs(weights).sum(-2).max(initial=0) < 80)
+
+
+def _raised(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of rows of scores, in place, and their sums."""
+    if not safe:
+        x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    n = h.shape[1]
-    u = h @ p["u"]
-    gates = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-    z, r = gates[:, :n], gates[:, n:]
-    new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-    return new + z * (h - new), z, r, new, u[:, 2 * n :]
+def _words_in_groups(h: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Scores of the words inside the groups; ``h`` stands in order of class."""
+    out = np.empty((cuts[-1], GROUP), np.float32)
+    for g in np.flatnonzero(np.diff(cuts)):
+        np.matmul(h[cuts[g] : cuts[g + 1]], weights[g], out=out[cuts[g] : cuts[g + 1]])
+    return out
+
+
+def _blocks_of(n: int) -> list[slice]:
+    return [slice(low, min(low + ROWS, n)) for low in range(0, n, ROWS)]
 
 
 def _log_probabilities(model: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target given its state: class, then word in the group."""
-    p = model.p
-    cls = _classes(model, target)
-    logits = h @ p["c"] + p["cb"]
-    logits -= logits.max(1, keepdims=True)
-    out = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits).sum(1))
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(model.groups + 1))
-    for g in np.flatnonzero(np.diff(cuts)):
-        rows = order[cuts[g] : cuts[g + 1]]
-        scores = h[rows] @ p["w"][g] + p["wb"][g]
-        scores -= scores.max(1, keepdims=True)
-        out[rows] += scores[np.arange(len(rows)), target[rows] % GROUP] - np.log(np.exp(scores).sum(1))
+    classes, words = _with_bias(model.p)
+    order, cls, cuts = _by_class(model, target)
+    h, place = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)[order], target[order] % GROUP
+    found = np.empty(len(order), np.float32)
+
+    def share(x, at, safe):
+        own = x[np.arange(len(x)), at] if safe else x[np.arange(len(x)), at] - x.max(1)
+        return own - np.log(_raised(x, safe)[1])
+
+    safe = _safe(classes)
+    for part in _blocks_of(len(order)):
+        found[part] = share(h[part] @ classes, cls[part], safe)
+    inside, safe = _words_in_groups(h, words, cuts), _safe(words)
+    for part in _blocks_of(len(inside)):
+        found[part] += share(inside[part], place[part], safe)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -233,56 +298,90 @@ class _Trainer:
         self.m = {k: np.zeros_like(w) for k, w in model.p.items()}
         self.v = {k: np.zeros_like(w) for k, w in model.p.items()}
 
+    def _adam(self, name: str, gradient: tuple, rate: float) -> None:
+        """Step the weights ``name``; the gradient is given for some rows, and nothing for the others."""
+        m, v, p = self.m[name], self.v[name], self.p[name]
+        at, g = gradient
+        m *= 0.9
+        v *= 0.99
+        m[at] += 0.1 * g
+        v[at] += 0.01 * g**2
+        m, v, p = m.reshape(-1), v.reshape(-1), p.reshape(-1)
+        for low in range(0, len(p), CELLS):
+            part = np.s_[low : low + CELLS]
+            change = m[part] * (rate / (1 - 0.9**self.step))
+            root = v[part] / (1 - 0.99**self.step)
+            np.sqrt(root, out=root)
+            root += 1e-6
+            change /= root
+            p[part] -= change
+
     def window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, begin: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One step on inputs ``x`` and targets ``y`` from state ``h``; returns the state after it."""
         model, p, n = self.model, self.p, HIDDEN
-        states, cache = np.zeros((*x.shape, n), np.float32), []
+        states, before = np.ones((*x.shape, n + 1), np.float32), np.empty((*x.shape, n), np.float32)  # the last column is for the bias
+        cache, embedded, fresh = [], p["x"][x], begin.any(1)
         for t in range(len(x)):
-            h = np.where(begin[t][:, None], 0, h).astype(np.float32)
-            h_new, z, r, new, un = _step(p, p["x"][x[t]], h)
-            cache.append((h, z, r, new, un))
-            h = states[t] = h_new
-        hs, ys = states[live], y[live]
-        cls = _classes(model, ys)
-        size = len(ys)
-        g = {k: np.zeros_like(w) for k, w in p.items()}
-        d = _softmax(hs @ p["c"] + p["cb"])
-        d[np.arange(size), cls] -= 1
-        d /= size
-        g["c"], g["cb"] = hs.T @ d, d.sum(0)
-        dh_out = d @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(model.groups + 1))
+            before[t] = h
+            if fresh[t]:
+                before[t][begin[t]] = 0
+            h, *gates = _step(p, embedded[t], before[t])
+            states[t, :, :n] = h
+            cache.append(gates)
+        order, cls, cuts = _by_class(model, y[live])
+        hs, place = states[live][order], y[live][order] % GROUP
+        size = len(order)
+        classes, words = _with_bias(p)
+        dclasses, dwords, dh_out = np.zeros_like(classes), np.zeros_like(words), np.empty((size, n), np.float32)
+
+        def less(scores, at, safe):
+            """Probabilities less one at the row's place, over the number of targets."""
+            d, sums = _raised(scores, safe)
+            d *= (1 / (size * sums))[:, None]
+            d[np.arange(len(d)), at] -= np.float32(1 / size)
+            return d
+
+        safe = _safe(classes)
+        for part in _blocks_of(size):
+            d = less(hs[part] @ classes, cls[part], safe)
+            dclasses += hs[part].T @ d
+            np.matmul(d, p["c"].T, out=dh_out[part])
+        e, safe = _words_in_groups(hs, words, cuts), _safe(words)
+        for part in _blocks_of(len(e)):
+            less(e[part], place[part], safe)
         for k in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[k] : cuts[k + 1]]
-            e = _softmax(hs[rows] @ p["w"][k] + p["wb"][k])
-            e[np.arange(len(rows)), ys[rows] % GROUP] -= 1
-            e /= size
-            g["w"][k], g["wb"][k] = hs[rows].T @ e, e.sum(0)
-            dh_out[rows] += e @ p["w"][k].T
-        dstates = np.zeros_like(states)
-        dstates[live] = dh_out
-        dh = np.zeros_like(h)
-        dx = np.zeros((*x.shape, 3 * n), np.float32)
+            part = np.s_[cuts[k] : cuts[k + 1]]
+            np.matmul(hs[part].T, e[part], out=dwords[k])
+            dh_out[part] += e[part] @ p["w"][k].T
+        at = np.flatnonzero(live)[order]
+        dstates = np.zeros((x.size, n), np.float32)
+        dstates[at] = dh_out
+        dstates = dstates.reshape(*x.shape, n)
+        z, r, new, un = (np.stack(part) for part in zip(*cache, strict=True))
+        to_new = (1 - z) * (1 - new**2)
+        to_r = un * r * (1 - r)
+        to_z = (before - new) * z * (1 - z)
+        dx, du = np.empty((2, *x.shape, 3 * n), np.float32)
+        dh, back = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, new, un = cache[t]
-            dh = dh + dstates[t]
-            dnew = dh * (1 - z) * (1 - new**2)
-            dr = dnew * un * r * (1 - r)
-            dz = dh * (before - new) * z * (1 - z)
-            du = np.concatenate([dz, dr, dnew * r], 1)
-            dx[t] = np.concatenate([dz, dr, dnew], 1)
-            g["u"] += before.T @ du
-            dh = (dh * z + du @ p["u"].T) * ~begin[t][:, None]
-        order = np.argsort(x, axis=None, kind="stable")
-        used, cuts = np.unique(x.ravel()[order], return_index=True)
-        g["x"][used] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], cuts)
+            dh += dstates[t]
+            dnew = np.multiply(dh, to_new[t], out=dx[t, :, 2 * n :])
+            np.multiply(dnew, to_r[t], out=du[t, :, n : 2 * n])
+            np.multiply(dh, to_z[t], out=du[t, :, :n])
+            np.multiply(dnew, r[t], out=du[t, :, 2 * n :])
+            dh *= z[t]
+            dh += du[t] @ back
+            if fresh[t]:
+                dh[begin[t]] = 0
+        dx[:, :, : 2 * n] = du[:, :, : 2 * n]
+        g = {"u": before.reshape(-1, n).T @ du.reshape(-1, 3 * n), "c": dclasses[:-1], "cb": dclasses[-1], "w": dwords[:, :-1], "wb": dwords[:, -1]}
+        order = np.argsort(x.astype(np.int16), axis=None, kind="stable")
+        tokens = x.ravel()[order]
+        cuts = np.flatnonzero(np.diff(tokens, prepend=-1))
+        used, rows = tokens[cuts], np.add.reduceat(dx.reshape(-1, 3 * n)[order], cuts)
         self.step += 1
-        m, v, step = self.m, self.v, self.step
         for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            self._adam(k, (used, rows) if k == "x" else (slice(None), g[k]), rate)
         return h
 
 

@@ -5,6 +5,7 @@ import importlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -252,6 +253,40 @@ def test_pii_patterns():
     assert pii.pattern_spans("9" * 200_000) == [] and pii.pattern_spans("a" * 200_000 + "@") == []
 
 
+def test_language_model_looks_words_up_like_a_search():
+    rng = np.random.default_rng(2)
+    crowd = np.uint64(77 << 44) + np.arange(40, dtype=np.uint64)  # one list far longer than the others
+    held = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5_000, dtype=np.uint64) * np.uint64(2), crowd, np.array([0, 2**64 - 1], np.uint64)]))
+    for known in (held, held[:-1], held[:1]):
+        m = language.Model(known, known, known, np.zeros(64), np.zeros(64), 0, 0, {})
+        asked = np.concatenate([held, held + np.uint64(1), held - np.uint64(1), rng.integers(0, 1 << 63, 5_000, dtype=np.uint64)])
+        assert (m.places(asked) == np.minimum(np.searchsorted(known, asked), len(known) - 1)).all()
+
+
+def test_language_model_class_scores_never_stand_whole():
+    rng = np.random.default_rng(0)
+    groups, h, rows = 64, language.HIDDEN, 20_000
+    head = groups * language.GROUP
+    f = lambda *s: rng.normal(0, 0.5, s).astype(np.float32)
+    p = {"c": f(h, groups + language.FORMS + 1), "cb": f(groups + language.FORMS + 1), "w": f(groups, h, language.GROUP), "wb": f(groups, language.GROUP)}
+    states, target = np.tanh(f(rows, h)), rng.integers(0, head + language.FORMS + 1, rows)
+    whole = rows * len(p["cb"]) * 4
+    for shift in (0, 300):  # 300: scores that cannot be raised as they are
+        m = language.Model(*[np.zeros(0)] * 5, head, groups, {**p, "cb": p["cb"] + np.float32(shift)})
+        tracemalloc.start()
+        got = language._log_probabilities(m, states, target)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1.5 * whole
+        logits = (states @ p["c"] + p["cb"]).astype(float)
+        cls = language._classes(m, target)
+        want = logits[np.arange(rows), cls] - np.log(np.exp(logits).sum(1))
+        for i in np.flatnonzero(target < head):
+            inside = states[i].astype(float) @ p["w"][cls[i]] + p["wb"][cls[i]]
+            want[i] += inside[target[i] % language.GROUP] - np.log(np.exp(inside).sum())
+        assert np.abs(got - want).max() < 1e-3
+
+
 @pytest.fixture(scope="module")
 def tagged():
     rng = np.random.default_rng(8)
