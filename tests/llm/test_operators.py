@@ -319,6 +319,24 @@ def test_pii_windows_join(tagged):
     assert spans == sorted(spans) and all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_pii_windows_fill_their_batches(monkeypatch):
+    """Windows of many texts go through the network together; probabilities are averaged as before where spans are decided."""
+    calls = []
+
+    def stub(_, x):
+        calls.append(x.shape[1])
+        out = np.full((*x.shape, pii.TAGS), 1e-9, np.float32)
+        on = x == ord("q") - 31
+        out[..., 0], out[..., 1] = np.where(on, 0.05, 0.995), np.where(on, 0.95, 0.005)
+        return out
+
+    monkeypatch.setattr(pii, "probabilities", stub)
+    texts = ["", "q", "ab q"] + ["x" * (3_000 + i) + "q" + "x" * 299 for i in range(550)]
+    got = pii.tag(None, texts)
+    assert got == [[(len(t) - 1, 0, len(t))] if 0 < len(t) < 9 else [(i, 0, i + 1) for i in [t.find("q")] if i >= 0] for t in texts]
+    assert len(calls) <= -(-sum(calls) // pii.BATCH)
+
+
 def test_pii_probabilities_are_the_marginals():
     rng = np.random.default_rng(3)
     f = lambda *shape: rng.normal(0, 0.5, shape)
