@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder once, for a frame that is read several times."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows to the checkpoint folder once, for a frame that is read several times.
+
+    They are stored as Parquet: each reader takes its columns only, and Spark knows the size of what it joins next.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -206,3 +206,11 @@ def test_facts_are_read_and_shuffled_once(large):
     # The asks; the facts into arrays; the arrays under the window; the arrays to the asks.
     assert sorted(exchanges(df)) == ["period, StationNr", *["period, StationNr, _block"] * 3]
     assert all("_block" in by for _, by in windows(df))
+
+
+def test_settled_frames_are_read_by_column(spark):
+    rows = spark.range(5).selectExpr("id", "id * 1.5D AS `Period 0(s)`", "CAST(NULL AS STRING) AS text")
+    kept = settle(rows)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect())) and kept.dtypes == rows.dtypes
+    plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan
