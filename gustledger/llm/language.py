@@ -44,6 +44,8 @@ ROUNDS, TASK_TOKENS, RATE = 2, 1_000_000, 0.002
 HELD_TOKENS, PIECE = 1_000_000, 512
 #: Rows whose class scores are worked on at once, and weights that are stepped at once, so that they stay in a processor's cache.
 ROWS, CELLS = 512, 1 << 14
+#: Times that a token may come in a window for its gradients to be added one by one.
+RARE = 12
 #: First bits of a hash that held words are looked up by.
 BITS = 20
 #: Bytes of weights in a row when the tasks' weights are averaged.
@@ -55,8 +57,8 @@ LOG10 = float(np.log(10))
 
 
 def forms(block: W.Block, found: W.Words) -> np.ndarray:
-    """Form of every word, from its bytes."""
-    data = W.LOWER[block.data]
+    """Form of every word, from its bytes; upper and lower case have the same."""
+    data = block.data
     size = found.ends - found.starts
     length = np.searchsorted([5, 9, 13], size, "right")
     last = data[found.ends - 1] if len(size) else data[:0]
@@ -154,22 +156,23 @@ def _classes(model: Model, ids: np.ndarray) -> np.ndarray:
     return np.where(ids < model.head, ids // GROUP, model.groups + ids - model.head)
 
 
-def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, into: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+    """State after inputs ``x`` from state ``h``, and what the way back needs of it; all written to the arrays ``into``, if given."""
     n = h.shape[1]
-    u = h @ p["u"]
-    gates = x[:, : 2 * n] + u[:, : 2 * n]
+    after, new, u, gates = into or (np.empty((len(h), k * n), h.dtype) for k in (1, 1, 3, 2))
+    np.matmul(h, p["u"], out=u)
+    np.add(x[:, : 2 * n], u[:, : 2 * n], out=gates)
     np.negative(gates, out=gates)
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    z, r = gates[:, :n], gates[:, n:]
-    new = r * u[:, 2 * n :]
+    np.multiply(gates[:, n:], u[:, 2 * n :], out=new)
     new += x[:, 2 * n :]
     np.tanh(new, out=new)
-    after = h - new
-    after *= z
+    np.subtract(h, new, out=after)
+    after *= gates[:, :n]
     after += new
-    return after, z, r, new, u[:, 2 * n :]
+    return after, new, u, gates
 
 
 def _by_class(model: Model, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,9 +201,9 @@ def _raised(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
     return x, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _words_in_groups(h: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+def _words_in_groups(h: np.ndarray, weights: np.ndarray, cuts: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Scores of the words inside the groups; ``h`` stands in order of class."""
-    out = np.empty((cuts[-1], GROUP), np.float32)
+    out = np.empty((cuts[-1], GROUP), np.float32) if out is None else out
     for g in np.flatnonzero(np.diff(cuts)):
         np.matmul(h[cuts[g] : cuts[g + 1]], weights[g], out=out[cuts[g] : cuts[g + 1]])
     return out
@@ -210,23 +213,32 @@ def _blocks_of(n: int) -> list[slice]:
     return [slice(low, min(low + ROWS, n)) for low in range(0, n, ROWS)]
 
 
+def _outputs(p: dict[str, np.ndarray]) -> list[tuple[np.ndarray, bool]]:
+    """Weights of the classes and of the words in the groups, with bias, and whether they are safe."""
+    return [(w, _safe(w)) for w in _with_bias(p)]
+
+
 def _log_probabilities(model: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target given its state: class, then word in the group."""
-    classes, words = _with_bias(model.p)
+    return _log_shares(model, _outputs(model.p), np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1), target)
+
+
+def _log_shares(model: Model, outputs: list[tuple[np.ndarray, bool]], h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """_log_probabilities() from prepared weights and states that end in a one for the bias."""
+    (classes, safe), (words, safe_words) = outputs
     order, cls, cuts = _by_class(model, target)
-    h, place = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)[order], target[order] % GROUP
+    h, place = h.take(order, 0), target[order] % GROUP
     found = np.empty(len(order), np.float32)
 
     def share(x, at, safe):
         own = x[np.arange(len(x)), at] if safe else x[np.arange(len(x)), at] - x.max(1)
         return own - np.log(_raised(x, safe)[1])
 
-    safe = _safe(classes)
     for part in _blocks_of(len(order)):
         found[part] = share(h[part] @ classes, cls[part], safe)
-    inside, safe = _words_in_groups(h, words, cuts), _safe(words)
+    inside = _words_in_groups(h, words, cuts)
     for part in _blocks_of(len(inside)):
-        found[part] += share(inside[part], place[part], safe)
+        found[part] += share(inside[part], place[part], safe_words)
     out = np.empty_like(found)
     out[order] = found
     return out
@@ -272,24 +284,46 @@ def score_texts(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     if not texts:
         return out
     inputs, target, text, starts = _packed(model, ids, first, LANES)
-    used = (text >= 0).sum(1)
-    h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
+    used, fresh = (text >= 0).sum(1).tolist(), starts.any(1).tolist()
+    outputs, p, lanes = _outputs(model.p), model.p, inputs.shape[1]
+    h, after, new, u, gates = (np.zeros((lanes, k * HIDDEN), np.float32) for k in (1, 1, 1, 3, 2))
+    states = np.ones((STEPS, lanes, HIDDEN + 1), np.float32)  # the last column is for the bias
     for low in range(0, len(inputs), STEPS):
         high = min(low + STEPS, len(inputs))
-        width = int(used[low])
-        states = np.zeros((high - low, width, HIDDEN), np.float32)
+        width = used[low]
+        embedded = p["x"].take(inputs[low:high, :width], 0)
         for t in range(low, high):
-            n = int(used[t])
-            h = h[:n]
-            h[starts[t, :n]] = 0
-            h = _step(model.p, model.p["x"][inputs[t, :n]], h)[0]
-            states[t - low, :n] = h
-        there = text[low:high, :width] >= 0
-        log_p = _log_probabilities(model, states[there], target[low:high, :width][there])
-        out += np.bincount(text[low:high, :width][there], log_p, texts)
+            n = used[t]
+            if fresh[t]:
+                h[:n][starts[t, :n]] = 0
+            _step(p, embedded[t - low, :n], h[:n], (after[:n], new[:n], u[:n], gates[:n]))
+            h, after = after, h
+            states[t - low, :n, :HIDDEN] = h[:n]
+        there = np.flatnonzero(text[low:high, :width] >= 0)
+        at, lane = np.divmod(there, width)
+        place = at * lanes + lane
+        log_p = _log_shares(model, outputs, states.reshape(-1, HIDDEN + 1).take(place, 0), target[low:high].reshape(-1)[place])
+        out += np.bincount(text[low:high].reshape(-1)[place], log_p, texts)
     return out
 
 
+def _sums(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different tokens of ``x`` and the sums of their rows: one after the other where a token is rare, else its rows at once."""
+    order = np.argsort(x.astype(np.int16), axis=None, kind="stable")
+    tokens = x.reshape(-1)[order]
+    cuts = np.flatnonzero(np.diff(tokens, prepend=-1))
+    count = np.diff(np.append(cuts, len(order)))
+    sums = rows.take(order[cuts], 0)
+    some = np.flatnonzero((count > 1) & (count <= RARE))
+    for k in range(1, RARE):
+        some = some[count[some] > k]
+        sums[some] += rows.take(order[cuts[some] + k], 0)
+    for k in np.flatnonzero(count > RARE).tolist():
+        own = rows.take(order[cuts[k] : cuts[k] + count[k]], 0)
+        np.matmul(np.ones(len(own), own.dtype), own, out=sums[k])
+    return tokens[cuts], sums
+
+
 class _Trainer:
     """Adam steps on windows of tokens; gradients are cut at the window."""
 
@@ -297,42 +331,58 @@ class _Trainer:
         self.model, self.p, self.step = model, model.p, 0
         self.m = {k: np.zeros_like(w) for k, w in model.p.items()}
         self.v = {k: np.zeros_like(w) for k, w in model.p.items()}
+        self.held: dict[str, np.ndarray] = {}
+
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        """An array of any content that the next window gets again: memory given back and asked for anew costs a fifth of a step."""
+        size = int(np.prod(shape))
+        if size > len(self.held.get(name, ())):
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
 
     def _adam(self, name: str, gradient: tuple, rate: float) -> None:
         """Step the weights ``name``; the gradient is given for some rows, and nothing for the others."""
         m, v, p = self.m[name], self.v[name], self.p[name]
         at, g = gradient
-        m *= 0.9
-        v *= 0.99
-        m[at] += 0.1 * g
-        v[at] += 0.01 * g**2
+        # Both means fade afterwards, in the blocks.
+        m[at] += (0.1 / 0.9) * g
+        v[at] += (0.01 / 0.99) * g**2
         m, v, p = m.reshape(-1), v.reshape(-1), p.reshape(-1)
+        long = float(np.sqrt(1 - 0.99**self.step))
+        scale, least = rate * long / (1 - 0.9**self.step), 1e-6 * long
         for low in range(0, len(p), CELLS):
             part = np.s_[low : low + CELLS]
-            change = m[part] * (rate / (1 - 0.9**self.step))
-            root = v[part] / (1 - 0.99**self.step)
-            np.sqrt(root, out=root)
-            root += 1e-6
-            change /= root
-            p[part] -= change
+            m[part] *= 0.9
+            v[part] *= 0.99
+            root = np.sqrt(v[part])
+            root += least
+            np.divide(m[part], root, out=root)
+            root *= scale
+            p[part] -= root
 
     def window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, begin: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One step on inputs ``x`` and targets ``y`` from state ``h``; returns the state after it."""
         model, p, n = self.model, self.p, HIDDEN
-        states, before = np.ones((*x.shape, n + 1), np.float32), np.empty((*x.shape, n), np.float32)  # the last column is for the bias
-        cache, embedded, fresh = [], p["x"][x], begin.any(1)
+        space, shape = self._space, x.shape
+        states = space("states", *shape, n + 1)
+        states[:, :, n] = 1  # for the bias
+        before, new, u, gates = (space(name, *shape, k * n) for name, k in (("before", 1), ("new", 1), ("u", 3), ("gates", 2)))
+        embedded = p["x"].take(x, 0, space("embedded", *shape, 3 * n), "clip")
+        fresh, after = begin.any(1).tolist(), np.empty_like(h)
         for t in range(len(x)):
             before[t] = h
             if fresh[t]:
                 before[t][begin[t]] = 0
-            h, *gates = _step(p, embedded[t], before[t])
+            h, *_ = _step(p, embedded[t], before[t], (after, new[t], u[t], gates[t]))
             states[t, :, :n] = h
-            cache.append(gates)
-        order, cls, cuts = _by_class(model, y[live])
-        hs, place = states[live][order], y[live][order] % GROUP
+        at = np.flatnonzero(live)
+        y = y.reshape(-1)[at]
+        order, cls, cuts = _by_class(model, y)
+        at = at[order]
         size = len(order)
+        hs, place = states.reshape(-1, n + 1).take(at, 0, space("hs", size, n + 1), "clip"), y[order] % GROUP
         classes, words = _with_bias(p)
-        dclasses, dwords, dh_out = np.zeros_like(classes), np.zeros_like(words), np.empty((size, n), np.float32)
+        dclasses, dwords, dh_out = np.zeros_like(classes), np.zeros_like(words), space("dh_out", size, n)
 
         def less(scores, at, safe):
             """Probabilities less one at the row's place, over the number of targets."""
@@ -346,22 +396,30 @@ class _Trainer:
             d = less(hs[part] @ classes, cls[part], safe)
             dclasses += hs[part].T @ d
             np.matmul(d, p["c"].T, out=dh_out[part])
-        e, safe = _words_in_groups(hs, words, cuts), _safe(words)
+        e, safe = _words_in_groups(hs, words, cuts, space("e", int(cuts[-1]), GROUP)), _safe(words)
         for part in _blocks_of(len(e)):
             less(e[part], place[part], safe)
         for k in np.flatnonzero(np.diff(cuts)):
             part = np.s_[cuts[k] : cuts[k + 1]]
             np.matmul(hs[part].T, e[part], out=dwords[k])
             dh_out[part] += e[part] @ p["w"][k].T
-        at = np.flatnonzero(live)[order]
-        dstates = np.zeros((x.size, n), np.float32)
+        dstates = space("dstates", x.size, n)
+        dstates[~live.reshape(-1)] = 0
         dstates[at] = dh_out
-        dstates = dstates.reshape(*x.shape, n)
-        z, r, new, un = (np.stack(part) for part in zip(*cache, strict=True))
-        to_new = (1 - z) * (1 - new**2)
-        to_r = un * r * (1 - r)
-        to_z = (before - new) * z * (1 - z)
-        dx, du = np.empty((2, *x.shape, 3 * n), np.float32)
+        dstates = dstates.reshape(*shape, n)
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        to_new, to_r, to_z, rest = (space(name, *shape, n) for name in ("to_new", "to_r", "to_z", "rest"))
+        np.subtract(1, z, out=rest)
+        np.subtract(before, new, out=to_z)
+        to_z *= z
+        to_z *= rest
+        np.multiply(new, new, out=to_new)
+        np.subtract(1, to_new, out=to_new)
+        to_new *= rest
+        np.subtract(1, r, out=to_r)
+        to_r *= r
+        to_r *= u[:, :, 2 * n :]
+        dx, du = space("dx", *shape, 3 * n), space("du", *shape, 3 * n)
         dh, back = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
         for t in range(len(x) - 1, -1, -1):
             dh += dstates[t]
@@ -375,13 +433,9 @@ class _Trainer:
                 dh[begin[t]] = 0
         dx[:, :, : 2 * n] = du[:, :, : 2 * n]
         g = {"u": before.reshape(-1, n).T @ du.reshape(-1, 3 * n), "c": dclasses[:-1], "cb": dclasses[-1], "w": dwords[:, :-1], "wb": dwords[:, -1]}
-        order = np.argsort(x.astype(np.int16), axis=None, kind="stable")
-        tokens = x.ravel()[order]
-        cuts = np.flatnonzero(np.diff(tokens, prepend=-1))
-        used, rows = tokens[cuts], np.add.reduceat(dx.reshape(-1, 3 * n)[order], cuts)
         self.step += 1
         for k in p:
-            self._adam(k, (used, rows) if k == "x" else (slice(None), g[k]), rate)
+            self._adam(k, _sums(x, dx.reshape(-1, 3 * n)) if k == "x" else (slice(None), g[k]), rate)
         return h
 
 

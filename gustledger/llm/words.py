@@ -117,7 +117,7 @@ class Words:
 def ranges(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the longest runs without a separator that stay inside one text."""
     n = len(data)
-    word = ~separators[data]
+    word = (~separators).take(data)
     inner = bounds[(bounds > 0) & (bounds < n)]
     opens, closes = word.copy(), word.copy()
     opens[1:] &= ~word[:-1]
@@ -130,7 +130,7 @@ def ranges(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tupl
 def words(block: Block, separators: np.ndarray = BLANKS, fold: np.ndarray = SAME) -> Words:
     """All words of a block; ``fold`` maps bytes before hashing."""
     starts, ends = ranges(block.data, block.bounds, separators)
-    sums = range_sums(_CODES[fold[block.data]])
+    sums = range_sums(_CODES[fold].take(block.data))
     first = np.searchsorted(starts, block.bounds)
     text = np.repeat(np.arange(len(block)), np.diff(first))
     return Words(starts, ends, range_hash(sums, starts, ends), text, first)

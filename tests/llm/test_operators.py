@@ -232,6 +232,51 @@ def test_language_model_state_crosses_windows_and_sums_to_one():
         assert got[i] == pytest.approx(total, rel=1e-3)
 
 
+def test_language_model_steps_reuse_their_memory():
+    """A window's arrays are those of the window before; nothing of what they held is left in its result."""
+    rng = np.random.default_rng(1)
+    groups, h = 4, language.HIDDEN
+    head = groups * language.GROUP
+    f = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
+    p = {"x": f(head + language.FORMS + 1, 3 * h), "u": f(h, 3 * h), "c": f(h, groups + language.FORMS + 1), "cb": f(groups + language.FORMS + 1), "w": f(groups, h, language.GROUP), "wb": f(groups, language.GROUP)}
+
+    def windows():
+        x = np.minimum(rng.integers(0, head + language.FORMS, (2, language.STEPS, language.LANES)), rng.integers(0, 400, (2, language.STEPS, language.LANES))).astype(np.int32)
+        return x[0], x[1], rng.random(x[0].shape) < 0.9, rng.random(x[0].shape) < 0.05
+
+    def stepped(before):
+        m = language.Model(*[np.zeros(0)] * 5, head, groups, {k: w.copy() for k, w in p.items()})
+        trainer = language._Trainer(m)
+        for x, y, live, begin in before:
+            trainer.window(x, y, live, begin, np.zeros((x.shape[1], h), np.float32), 0.0)
+        trainer.step = 0
+        for k in p:
+            trainer.m[k][:] = trainer.v[k][:] = 0
+        return trainer
+
+    first, wide = windows(), windows()
+    one = tuple(a[:, :100] for a in first)
+    fresh, used = stepped([]), stepped([wide, wide])
+    state = np.zeros((100, h), np.float32)
+    tracemalloc.start()
+    out = used.window(*one, state, 0.01)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(out, fresh.window(*one, state, 0.01))
+    assert all(np.array_equal(used.p[k], fresh.p[k]) for k in p)
+    assert peak < one[0].size * 3 * h * 4 * 3  # a third of what its arrays take together
+
+
+def test_language_model_sums_of_tokens():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.full(300, 7), np.full(language.RARE, 9), np.full(language.RARE + 1, 11), rng.integers(20, 400, 700)]).astype(np.int32)
+    rng.shuffle(x)
+    rows = rng.normal(size=(len(x), 6)).astype(np.float32)
+    tokens, sums = language._sums(x.reshape(2, -1) if len(x) % 2 == 0 else x[None], rows)
+    assert tokens.tolist() == sorted(set(x.tolist()))
+    assert all(np.allclose(s, rows[x == t].astype(float).sum(0), atol=1e-4) for t, s in zip(tokens, sums, strict=True))
+
+
 def slow_spans(text):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     out = []
