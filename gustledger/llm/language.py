@@ -73,6 +73,14 @@ def forms(block: W.Block, found: W.Words) -> np.ndarray:
     return length * 16 + plain_end * 8 + letter
 
 
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different hashes, an order of all by hash, and where each hash starts in it; equal words have one form, so any may stand for them."""
+    order = np.argsort(h)
+    h = h[order]
+    cuts = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    return h[cuts], order, cuts
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``h, form, c``: every word of the ``text`` column and the end token, with its count. Counts are summed in each partition first."""
 
@@ -81,15 +89,15 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         def flush():
             h, f, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            return pa.record_batch([pa.array(W.signed(h)), pa.array(f[first].astype(np.int32)), pa.array(np.bincount(inverse, c).astype(np.int64))], names=["h", "form", "c"])
+            h, order, cuts = _runs(h)
+            return pa.record_batch([pa.array(W.signed(h)), pa.array(f[order[cuts]].astype(np.int32)), pa.array(np.add.reduceat(c[order], cuts).astype(np.int64))], names=["h", "form", "c"])
 
         for batch in batches:
             ends += len(batch)
             for block in W.blocks(batch.column("text")):
                 found = W.words(block, W.BLANKS, W.LOWER)
-                h, first, c = np.unique(found.hashes, return_index=True, return_counts=True)
-                held.append((h, forms(block, found)[first], c))
+                h, order, cuts = _runs(found.hashes)
+                held.append((h, forms(block, found)[order[cuts]], np.diff(np.append(cuts, len(order)))))
                 if sum(len(x[0]) for x in held) > 2_000_000:
                     yield flush()
                     held = []
@@ -320,7 +328,7 @@ def _sums(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sums[some] += rows.take(order[cuts[some] + k], 0)
     for k in np.flatnonzero(count > RARE).tolist():
         own = rows.take(order[cuts[k] : cuts[k] + count[k]], 0)
-        np.matmul(np.ones(len(own), own.dtype), own, out=sums[k])
+        np.add.reduce(own, 0, out=sums[k])
     return tokens[cuts], sums
 
 
@@ -344,21 +352,19 @@ class _Trainer:
         """Step the weights ``name``; the gradient is given for some rows, and nothing for the others."""
         m, v, p = self.m[name], self.v[name], self.p[name]
         at, g = gradient
-        # Both means fade afterwards, in the blocks.
-        m[at] += (0.1 / 0.9) * g
-        v[at] += (0.01 / 0.99) * g**2
+        m *= 0.9
+        v *= 0.99
+        m[at] += 0.1 * g
+        v[at] += 0.01 * g**2
         m, v, p = m.reshape(-1), v.reshape(-1), p.reshape(-1)
-        long = float(np.sqrt(1 - 0.99**self.step))
-        scale, least = rate * long / (1 - 0.9**self.step), 1e-6 * long
         for low in range(0, len(p), CELLS):
             part = np.s_[low : low + CELLS]
-            m[part] *= 0.9
-            v[part] *= 0.99
-            root = np.sqrt(v[part])
-            root += least
-            np.divide(m[part], root, out=root)
-            root *= scale
-            p[part] -= root
+            change = m[part] * (rate / (1 - 0.9**self.step))
+            root = v[part] / (1 - 0.99**self.step)
+            np.sqrt(root, out=root)
+            root += 1e-6
+            change /= root
+            p[part] -= change
 
     def window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, begin: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One step on inputs ``x`` and targets ``y`` from state ``h``; returns the state after it."""
@@ -416,9 +422,9 @@ class _Trainer:
         np.multiply(new, new, out=to_new)
         np.subtract(1, to_new, out=to_new)
         to_new *= rest
-        np.subtract(1, r, out=to_r)
-        to_r *= r
-        to_r *= u[:, :, 2 * n :]
+        np.subtract(1, r, out=rest)
+        np.multiply(u[:, :, 2 * n :], r, out=to_r)
+        to_r *= rest
         dx, du = space("dx", *shape, 3 * n), space("du", *shape, 3 * n)
         dh, back = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
         for t in range(len(x) - 1, -1, -1):
