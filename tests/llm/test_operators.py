@@ -390,6 +390,39 @@ def test_pii_probabilities_are_the_marginals():
     assert np.abs(pii.probabilities(pii.Tagger(p), x.T) - pii.marginals(pii.Tagger(p), x.T))[x.T > 0].max() < 1e-3
 
 
+def test_pii_tagger_compares_arrays_with_arrays(monkeypatch, tagged):
+    """numpy takes the larger of an array and a number, element by element, several times as slowly as that of two arrays."""
+    for name in ("maximum", "minimum"):
+        own = getattr(np, name)
+
+        def compared(a, b, *more, own=own, **named):
+            assert np.ndim(b) or np.size(a) < 1000
+            return own(a, b, *more, **named)
+
+        monkeypatch.setattr(np, name, compared)
+    x = np.random.default_rng(0).integers(1, 90, (40, 64))
+    assert pii.probabilities(tagged[1], x).shape == (40, 64, pii.TAGS)
+
+
+def test_pii_best_path():
+    """The best path is that of a plain search over all steps that are allowed."""
+    rng = np.random.default_rng(9)
+    parts = [rng.dirichlet(np.full(pii.TAGS, 0.3), n).astype(np.float32) for n in (1, 2, 3, 17, 40)] + [np.full((5, pii.TAGS), 1 / pii.TAGS, np.float32)]
+    allowed = np.where(pii._ALLOWED, 0.0, pii._FORBIDDEN)
+    for p, got in zip(parts, pii._viterbi(parts), strict=True):
+        scores = np.zeros((len(p), pii.TAGS))
+        scores[:] = np.log(p + 1e-12)
+        best, back = scores[0] + allowed[-1], []
+        for s in scores[1:]:
+            options = best[:, None] + allowed[:-1]
+            back.append(options.argmax(0))
+            best = options.max(0) + s
+        path = [int(best.argmax())]
+        for origin in reversed(back):
+            path.append(int(origin[path[-1]]))
+        assert got.tolist() == path[::-1]
+
+
 def test_pii_whole_texts_are_tagged(monkeypatch):
     """Whatever the network finds is a span: without digit or @, far from one, and longer than a window."""
 
