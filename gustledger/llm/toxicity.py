@@ -26,6 +26,8 @@ from gustledger.llm import words as W
 SAMPLE = 10_000
 #: Words in fewer documents of the sample are not used.
 LEAST_DOCS = 8
+#: Words in sentences that the sums of a step are made of at once.
+PART = 1 << 16
 _END = np.zeros(256, bool)
 _END[[0x0A, 0x0D, 0x21, 0x2E, 0x3F]] = True
 
@@ -74,45 +76,96 @@ class Model:
         return -np.expm1(self.log_not_leak + np.bincount(b.text, clean, texts))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 300, rate: float = 0.1, l1: float = 1e-5) -> Model:
-    """Maximum likelihood with a lasso on the words, by Adam with a proximal step, over the whole sample each time."""
+def _entries(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Words in LEAST_DOCS texts or more, by hash; each of them once per sentence, in order of word and sentence; each sentence's text; and the number of texts.
+
+    A block's hashes go as soon as its words have numbers: there is one set of them at a time besides the numbers.
+    """
     sentences, docs = 0, 0
-    hashes, sentence, text = [], [], []
+    hashes, sentence, text, found = [], [], [], []
     for block in W.blocks(texts):
         b = bags(block)
         # Each word once per sentence.
-        order = np.lexsort((b.hashes, b.sentence))
+        order = np.lexsort((b.sentence, b.hashes))  # sentences, and so documents, stay in order within a word
         h, at = b.hashes[order], b.sentence[order].astype(np.int32)
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
-        hashes.append(h[fresh])
-        sentence.append(at[fresh] + np.int32(sentences))
+        new_word = np.append(True, h[1:] != h[:-1])[: len(h)]
+        fresh = new_word.copy()
+        fresh[1:] |= at[1:] != at[:-1]
+        h, at, new_word = h[fresh], at[fresh], new_word[fresh]
+        new_doc = new_word.copy()
+        new_doc[1:] |= b.text[at[1:]] != b.text[at[:-1]]
+        starts = np.flatnonzero(new_word)
+        found.append((h[starts], np.add.reduceat(new_doc, starts, dtype=np.int64) if len(starts) else starts))
+        hashes.append(h)
+        sentence.append(at + np.int32(sentences))
         text.append((b.text + docs).astype(np.int32))
         sentences += len(b.starts)
         docs += len(block)
+    if not sentences:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), docs
+    vocabulary, at = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+    vocabulary = vocabulary[np.bincount(at, np.concatenate([n for _, n in found]), len(vocabulary)) >= LEAST_DOCS]
+    del found
+    word = []
+    for k, h in enumerate(hashes):
+        at = np.searchsorted(vocabulary, h).astype(np.int32)
+        use = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h if len(vocabulary) else np.zeros(len(h), bool)
+        word.append(at[use])
+        sentence[k], hashes[k] = sentence[k][use], None
+    word, sentence = np.concatenate(word), np.concatenate(sentence)
+    order = np.argsort(word, kind="stable")
+    return vocabulary, word[order], sentence[order], np.concatenate(text), docs
+
+
+def _parts(first: np.ndarray) -> list[tuple[slice, slice]]:
+    """Groups, and their entries, of which PART or those of one group are worked on at once; ``first``: where each group's entries begin (one more)."""
+    out, low, groups = [], 0, len(first) - 1
+    while low < groups:
+        high = min(max(low + 1, int(np.searchsorted(first, first[low] + PART, "right")) - 1), groups)
+        out.append((slice(low, high), slice(first[low], first[high])))
+        low = high
+    return out
+
+
+class _Sums:
+    """Sums over groups of entries, of the values that the entries point to."""
+
+    def __init__(self, group: np.ndarray, points_to: np.ndarray, groups: int):
+        """``group``: of each entry, in order."""
+        self.size = np.bincount(group, minlength=groups).astype(np.int32)
+        self.points_to = points_to
+        self.parts = _parts(np.concatenate([[0], np.cumsum(self.size, dtype=np.int64)]))
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.size))
+        for own, entries in self.parts:
+            n = own.stop - own.start
+            out[own] = np.bincount(np.repeat(np.arange(n), self.size[own]), values[self.points_to[entries]], n)
+        return out
+
+
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 300, rate: float = 0.1, l1: float = 1e-5) -> Model:
+    """Maximum likelihood with a lasso on the words, by Adam with a proximal step, over the whole sample each time."""
+    return _climbed(*_entries(texts), labels, rounds, rate, l1)
+
+
+def _climbed(vocabulary: np.ndarray, word: np.ndarray, sentence: np.ndarray, text: np.ndarray, docs: int, labels: np.ndarray, rounds: int = 300, rate: float = 0.1, l1: float = 1e-5) -> Model:
+    """fit() from the entries of the texts."""
+    sentences = len(text)
     if not docs or not sentences:
         share = min(max(float(np.mean(labels)) if len(labels) else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0, float(np.log1p(-share)))
-    hashes, sentence, text = map(np.concatenate, (hashes, sentence, text))
-    order = np.argsort(hashes, kind="stable")  # sentences, and so documents, stay in order within a word
-    hashes, sentence = hashes[order], sentence[order]
-    new_word = np.ones(len(hashes), bool)
-    new_word[1:] = hashes[1:] != hashes[:-1]
-    new_doc = new_word.copy()
-    new_doc[1:] |= text[sentence[1:]] != text[sentence[:-1]]
-    word = np.cumsum(new_word, dtype=np.int32) - 1
-    vocabulary = hashes[new_word]
-    kept = np.bincount(word, new_doc, len(vocabulary)) >= LEAST_DOCS
-    number = np.cumsum(kept, dtype=np.int32) - 1
-    use = kept[word]
-    word, sentence, vocabulary = number[word[use]], sentence[use], vocabulary[kept]
+    of_words = _Sums(word, sentence, len(vocabulary))
+    order = np.argsort(sentence, kind="stable")
+    of_sentences = _Sums(sentence[order], word[order], sentences)
+    del word, sentence, order
     y = labels.astype(float)
     base = min(max(y.mean(), 1e-3), 1 - 1e-3)
     w, bias, leak = np.zeros(len(vocabulary)), -5.0, np.log(base / (1 - base))
     m = np.zeros(len(w) + 2)
     v = np.zeros(len(w) + 2)
     for step in range(1, rounds + 1):
-        odds = bias + np.bincount(sentence, w[word], sentences)
+        odds = bias + of_sentences(w)
         p = 1 / (1 + np.exp(-odds))
         leak_p = 1 / (1 + np.exp(-leak))
         log_clean = np.bincount(text, -np.logaddexp(0, odds), docs) - np.logaddexp(0, leak)
@@ -120,7 +173,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 300, rate: float = 0.
         # d log-likelihood / d log(1 - p) of a part: 1 when clean, -(1 - P) / P when toxic
         pull = np.where(y > 0, np.exp(log_clean) / dirty, -1.0)
         by_sentence = pull[text] * p / docs
-        gradient = np.concatenate([np.bincount(word, by_sentence[sentence], len(w)), [by_sentence.sum(), (pull * leak_p).sum() / docs]])
+        gradient = np.concatenate([of_words(by_sentence), [by_sentence.sum(), (pull * leak_p).sum() / docs]])
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         pace = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-5)
@@ -142,7 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").toArrow()
     rows = rows.sort_by("_id")
-    return fit(rows["_text"].combine_chunks(), rows["_y"].to_numpy().astype(np.float64))
+    found, labels = _entries(rows["_text"].combine_chunks()), rows["_y"].to_numpy().astype(np.float64)
+    del rows  # the texts are not held while the model is fitted
+    pa.default_memory_pool().release_unused()
+    return _climbed(*found, labels)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5, score_col: str = "score", offending_col: str = "offending") -> DataFrame:

@@ -125,6 +125,26 @@ def jaccard_classes(rows, n=3, percent=90):
     return sorted(((i, len(s), root(i) if i is not None else None) for i in sets for s in sets[i]), key=str)
 
 
+def test_toxicity_is_fitted_in_little_memory(monkeypatch):
+    """The driver holds no hashes and no texts beside the words' numbers while it fits; sums come out as by plain counting."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"word{i}" for i in range(3000)])
+    texts = pa.array([". ".join(" ".join(words[rng.integers(0, 3000, 12)]) for _ in range(20)) for _ in range(1500)])
+    labels = (np.arange(1500) % 3 == 0).astype(float)
+    blocks = W.blocks
+    monkeypatch.setattr(W, "blocks", lambda column: blocks(column, 1 << 17))
+    toxicity.fit(texts[:50], labels[:50], rounds=1)
+    tracemalloc.start()
+    model = toxicity.fit(texts, labels, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.hashes) and peak < 40 * 1500 * 240
+    _, word, sentence, text, docs = toxicity._entries(texts)
+    assert docs == 1500 and len(text) == 30_000
+    values = rng.normal(0, 1, 30_000)
+    assert np.array_equal(toxicity._Sums(word, sentence, word[-1] + 1)(values), np.bincount(word, values[sentence]))
+
+
 def test_similarity(spark, docs):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(80)]
