@@ -7,6 +7,8 @@ a group the word: a class-factored softmax. Inside a form a known word has its s
 form's training tokens, and unknown words together have the share of words seen once (Good-Turing),
 so that the probabilities of all words known in training and of one unknown word per form add up to one.
 
+Words become token numbers once, in a stored table of two bytes a token that training and scoring read.
+
 The network is a GRU trained in numpy by truncated back-propagation. The driver starts it on a
 small sample; then every training token is learned from once, in Spark tasks: in each of ROUNDS
 rounds a task takes the weights of the round before through its share of the round's documents, and
@@ -164,21 +166,35 @@ def _classes(model: Model, ids: np.ndarray) -> np.ndarray:
     return np.where(ids < model.head, ids // GROUP, model.groups + ids - model.head)
 
 
-def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, into: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
-    """State after inputs ``x`` from state ``h``, and what the way back needs of it; all written to the arrays ``into``, if given."""
-    n = h.shape[1]
-    after, new, u, gates = into or (np.empty((len(h), k * n), h.dtype) for k in (1, 1, 3, 2))
-    np.matmul(h, p["u"], out=u)
-    np.add(x[:, : 2 * n], u[:, : 2 * n], out=gates)
+def _by_gate(weights: np.ndarray) -> np.ndarray:
+    """Rows of all gates as (gate, row, unit), so that every step works on whole blocks."""
+    return np.ascontiguousarray(weights.reshape(len(weights), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _embedded(p: dict[str, np.ndarray], x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Inputs ``x`` as (gate, *x, unit)."""
+    return p["x"].reshape(-1, HIDDEN).take(3 * x + np.arange(3).reshape(3, *[1] * x.ndim), 0, out, "clip")
+
+
+def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """State after rows of inputs ``x`` from state ``h``, and what the way back needs of it."""
+    return _advanced(_by_gate(p["u"]), _by_gate(x), h, tuple(np.empty((*k, *h.shape), h.dtype) for k in ((), (), (3,), (2,))))
+
+
+def _advanced(weights: np.ndarray, x: np.ndarray, h: np.ndarray, into: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """_step() with all gates apart; written to the arrays ``into``."""
+    after, new, u, gates = into
+    np.matmul(h, weights, out=u)
+    np.add(x[:2], u[:2], out=gates)
     np.negative(gates, out=gates)
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    np.multiply(gates[:, n:], u[:, 2 * n :], out=new)
-    new += x[:, 2 * n :]
+    np.multiply(gates[1], u[2], out=new)
+    new += x[2]
     np.tanh(new, out=new)
     np.subtract(h, new, out=after)
-    after *= gates[:, :n]
+    after *= gates[0]
     after += new
     return after, new, u, gates
 
@@ -293,18 +309,18 @@ def score_texts(model: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         return out
     inputs, target, text, starts = _packed(model, ids, first, LANES)
     used, fresh = (text >= 0).sum(1).tolist(), starts.any(1).tolist()
-    outputs, p, lanes = _outputs(model.p), model.p, inputs.shape[1]
-    h, after, new, u, gates = (np.zeros((lanes, k * HIDDEN), np.float32) for k in (1, 1, 1, 3, 2))
+    outputs, weights, lanes = _outputs(model.p), _by_gate(model.p["u"]), inputs.shape[1]
+    h, after, new, u, gates = (np.zeros((*k, lanes, HIDDEN), np.float32) for k in ((), (), (), (3,), (2,)))
     states = np.ones((STEPS, lanes, HIDDEN + 1), np.float32)  # the last column is for the bias
     for low in range(0, len(inputs), STEPS):
         high = min(low + STEPS, len(inputs))
         width = used[low]
-        embedded = p["x"].take(inputs[low:high, :width], 0)
+        embedded = _embedded(model.p, inputs[low:high, :width])
         for t in range(low, high):
             n = used[t]
             if fresh[t]:
                 h[:n][starts[t, :n]] = 0
-            _step(p, embedded[t - low, :n], h[:n], (after[:n], new[:n], u[:n], gates[:n]))
+            _advanced(weights, embedded[:, t - low, :n], h[:n], (after[:n], new[:n], u[:, :n], gates[:, :n]))
             h, after = after, h
             states[t - low, :n, :HIDDEN] = h[:n]
         there = np.flatnonzero(text[low:high, :width] >= 0)
@@ -372,14 +388,14 @@ class _Trainer:
         space, shape = self._space, x.shape
         states = space("states", *shape, n + 1)
         states[:, :, n] = 1  # for the bias
-        before, new, u, gates = (space(name, *shape, k * n) for name, k in (("before", 1), ("new", 1), ("u", 3), ("gates", 2)))
-        embedded = p["x"].take(x, 0, space("embedded", *shape, 3 * n), "clip")
+        before, new, u, gates = (space(name, *k, *shape, n) for name, k in (("before", ()), ("new", ()), ("u", (3,)), ("gates", (2,))))
+        embedded, weights = _embedded(p, x, space("embedded", 3, *shape, n)), _by_gate(p["u"])
         fresh, after = begin.any(1).tolist(), np.empty_like(h)
         for t in range(len(x)):
             before[t] = h
             if fresh[t]:
                 before[t][begin[t]] = 0
-            h, *_ = _step(p, embedded[t], before[t], (after, new[t], u[t], gates[t]))
+            h, *_ = _advanced(weights, embedded[:, t], before[t], (after, new[t], u[:, t], gates[:, t]))
             states[t, :, :n] = h
         at = np.flatnonzero(live)
         y = y.reshape(-1)[at]
@@ -399,9 +415,12 @@ class _Trainer:
 
         safe = _safe(classes)
         for part in _blocks_of(size):
-            d = less(hs[part] @ classes, cls[part], safe)
-            dclasses += hs[part].T @ d
+            d, sums = _raised(hs[part] @ classes, safe)
+            d[np.arange(len(d)), cls[part]] -= sums
+            share = (1 / (size * sums))[:, None]  # of the few columns of the states, not of every class
+            dclasses += (hs[part] * share).T @ d
             np.matmul(d, p["c"].T, out=dh_out[part])
+            dh_out[part] *= share
         e, safe = _words_in_groups(hs, words, cuts, space("e", int(cuts[-1]), GROUP)), _safe(words)
         for part in _blocks_of(len(e)):
             less(e[part], place[part], safe)
@@ -413,7 +432,7 @@ class _Trainer:
         dstates[~live.reshape(-1)] = 0
         dstates[at] = dh_out
         dstates = dstates.reshape(*shape, n)
-        z, r = gates[:, :, :n], gates[:, :, n:]
+        z, r = gates
         to_new, to_r, to_z, rest = (space(name, *shape, n) for name in ("to_new", "to_r", "to_z", "rest"))
         np.subtract(1, z, out=rest)
         np.subtract(before, new, out=to_z)
@@ -423,22 +442,26 @@ class _Trainer:
         np.subtract(1, to_new, out=to_new)
         to_new *= rest
         np.subtract(1, r, out=rest)
-        np.multiply(u[:, :, 2 * n :], r, out=to_r)
+        np.multiply(u[2], r, out=to_r)
         to_r *= rest
-        dx, du = space("dx", *shape, 3 * n), space("du", *shape, 3 * n)
-        dh, back = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
+        dx, dnew, du, through = space("dx", *shape, 3, n), space("dnew", *shape, n), space("du", 3, *shape, n), space("through", 3, *h.shape)
+        dh, back = np.zeros_like(h), np.ascontiguousarray(weights.transpose(0, 2, 1))
         for t in range(len(x) - 1, -1, -1):
             dh += dstates[t]
-            dnew = np.multiply(dh, to_new[t], out=dx[t, :, 2 * n :])
-            np.multiply(dnew, to_r[t], out=du[t, :, n : 2 * n])
-            np.multiply(dh, to_z[t], out=du[t, :, :n])
-            np.multiply(dnew, r[t], out=du[t, :, 2 * n :])
+            np.multiply(dh, to_new[t], out=dnew[t])
+            np.multiply(dnew[t], to_r[t], out=du[1, t])
+            np.multiply(dh, to_z[t], out=du[0, t])
+            np.multiply(dnew[t], r[t], out=du[2, t])
             dh *= z[t]
-            dh += du[t] @ back
+            np.matmul(du[:, t], back, out=through)
+            for k in range(3):
+                dh += through[k]
             if fresh[t]:
                 dh[begin[t]] = 0
-        dx[:, :, : 2 * n] = du[:, :, : 2 * n]
-        g = {"u": before.reshape(-1, n).T @ du.reshape(-1, 3 * n), "c": dclasses[:-1], "cb": dclasses[-1], "w": dwords[:, :-1], "wb": dwords[:, -1]}
+        for k, part in enumerate((du[0], du[1], dnew)):
+            dx[:, :, k] = part
+        du = [before.reshape(-1, n).T @ part.reshape(-1, n) for part in du]
+        g = {"u": np.concatenate(du, 1), "c": dclasses[:-1], "cb": dclasses[-1], "w": dwords[:, :-1], "wb": dwords[:, -1]}
         self.step += 1
         for k in p:
             self._adam(k, _sums(x, dx.reshape(-1, 3 * n)) if k == "x" else (slice(None), g[k]), rate)
@@ -478,8 +501,17 @@ def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts of an ``ids`` column, flat, and where each text's begin."""
+    bounds, data = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 2, column.buffers()[2]
+    return np.frombuffer(data, "<i2")[bounds[0] : bounds[-1]] if data else np.zeros(0, "<i2"), (bounds - bounds[0]).astype(np.int64)
+
+
 def _averaged(texts: DataFrame, model: Model, tasks: int) -> tuple[dict[str, np.ndarray], int]:
-    """Weights after one pass in at most ``tasks`` tasks from the model's, averaged by tokens; and how many tokens that were."""
+    """Weights after one pass in at most ``tasks`` tasks from the model's, averaged by tokens; and how many tokens that were.
+
+    ``texts`` has coded ``ids``, or a ``text`` to be coded.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def learned(batches):
@@ -488,18 +520,21 @@ def _averaged(texts: DataFrame, model: Model, tasks: int) -> tuple[dict[str, np.
         held, n, done = [], 0, 0
 
         def take():
-            ids = np.concatenate([i for i, _ in held])
+            ids = np.concatenate([i for i, _ in held]).astype(np.int32)
             first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in held]))])
             _learn(trainer, ids, first)
 
         for batch in batches:
-            for block in W.blocks(batch.column(0)):
-                found, ids, _, _ = m.tokens(block)
-                held.append((np.insert(ids, found.first[1:], m.start).astype(np.int32), np.concatenate([[0], np.cumsum(found.counts() + 1)])))
+            ids, first = _numbers(batch.column(0))
+            low = 0
+            while low < len(batch):
+                high = max(low + 1, int(np.searchsorted(first, first[low] + HELD_TOKENS - n, "right")) - 1)
+                held.append((ids[first[low] : first[high]], first[low : high + 1]))
                 n += len(held[-1][0])
-                if n >= HELD_TOKENS:
+                if n >= HELD_TOKENS or high < len(batch):
                     take()
                     held, n, done = [], 0, done + n
+                low = high
         if n:
             take()
             done += n
@@ -515,7 +550,8 @@ def _averaged(texts: DataFrame, model: Model, tasks: int) -> tuple[dict[str, np.
         return pa.table({"chunk": part["chunk"].combine_chunks()[:1].cast(pa.int32()), "tokens": pa.array([total], pa.int64()), "weights": pa.array([(out / total).astype("<f4").tobytes()], pa.binary())})
 
     schema = "chunk int, tokens long, weights binary"
-    rows = texts.select("text").coalesce(tasks).mapInArrow(learned, schema).groupBy("chunk").applyInArrow(mean, schema).collect()
+    coded = texts if "ids" in texts.columns else _coded_texts(texts.select(F.lit(0).alias("row"), F.lit(0).alias("id"), "text", F.lit(0).alias("round")), model)
+    rows = coded.select("ids").coalesce(tasks).mapInArrow(learned, schema).groupBy("chunk").applyInArrow(mean, schema).collect()
     shared.unpersist()
     if not rows:
         return model.p, 0
@@ -530,6 +566,26 @@ def _averaged(texts: DataFrame, model: Model, tasks: int) -> tuple[dict[str, np.
 
 def train(texts: DataFrame, counts: DataFrame, rounds: int = 3) -> Model:
     """Model from training texts (``id, text``) and their stored word counts. The driver gets HELD counts, the first sample and averaged weights."""
+    model = _started(texts, counts, rounds)
+    return _taught(model, _coded_texts(texts.select(F.lit(0).alias("row"), "id", "text", _round().alias("round")), model))
+
+
+def _round() -> Column:
+    """The round in which a training text is learned from."""
+    return F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)).cast("int")
+
+
+def _taught(model: Model, coded: DataFrame) -> Model:
+    """The model after ROUNDS rounds over the coded training texts; rows without round are left out."""
+    tasks = max(1, int(model.held_count.sum()) // (ROUNDS * TASK_TOKENS))
+    for k in range(ROUNDS if len(model.held) else 0):
+        model.p, fitted = _averaged(coded.where(F.col("round") == k), model, tasks)
+        model.fitted += fitted
+    return model
+
+
+def _started(texts: DataFrame, counts: DataFrame, rounds: int = 3) -> Model:
+    """Model with its counts, its network trained on the first sample."""
     plain = counts.where(F.col("form") >= 0)
     top = plain.groupBy("h").agg(F.sum("c").alias("c"), F.min("form").alias("form")).orderBy(F.desc("c"), "h").limit(HELD).toArrow()
     h, c = np.asarray(top["h"].combine_chunks()).view(np.uint64), np.asarray(top["c"].combine_chunks())
@@ -563,10 +619,6 @@ def train(texts: DataFrame, counts: DataFrame, rounds: int = 3) -> Model:
     if len(h) and len(first) > 1:
         first = first[: max(cut, 2)]
         _grow(model, ids[: first[-1]], first, rounds)
-    tasks = max(1, int(c.sum()) // (ROUNDS * TASK_TOKENS))
-    for k in range(ROUNDS if len(h) else 0):
-        model.p, fitted = _averaged(texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k), model, tasks)
-        model.fitted += fitted
     return model
 
 
@@ -581,11 +633,11 @@ def _coded(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of ``docs`` (row, id, text): tokens, known tokens, sums over held words, the network's sum, and the words not held."""
+def _coded_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row of ``docs`` (row, id, text, round): tokens, known tokens, sums over held words, the words not held, and the token numbers in two bytes each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = "n_tokens long, n_known long, base double, model double, rare array<struct<h:long,form:int,n:int>>"
-    schema = StructType(docs.select("row", "id").schema.fields + StructType.fromDDL(added).fields)
+    added = "n_tokens long, n_known long, base double, tail double, rare array<struct<h:long,form:int,n:int>>, ids binary"
+    schema = StructType(docs.select("row", "id", "round").schema.fields + StructType.fromDDL(added).fields)
     kind = pa.list_(pa.struct([("h", pa.int64()), ("form", pa.int32()), ("n", pa.int32())]))
 
     def passed(batches):
@@ -595,7 +647,7 @@ def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
             for block in W.blocks(batch.column(2)):
                 found, ids, count, form = m.tokens(block)
                 texts = len(block)
-                coded.append(np.insert(ids, found.first[1:], m.start).astype(np.int32))
+                coded.append(np.insert(ids.astype("<i2"), found.first[1:], m.start))
                 first.append(first[-1][-1] + np.cumsum(found.counts() + 1))
                 here = count > 0
                 n_known.append(np.bincount(found.text[here], minlength=texts))
@@ -613,14 +665,31 @@ def _first_pass(docs: DataFrame, model: Model) -> DataFrame:
             if not coded:
                 continue
             first = np.concatenate(first)
-            network = score_texts(m, np.concatenate(coded), first) / LOG10
             fields = [np.concatenate(x) for x in zip(*rare, strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(rare_first).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in fields], fields=list(kind.value_type)))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(np.concatenate(n_known)), pa.array(np.concatenate(base)), pa.array(network + np.concatenate(tail)), lists], names=["row", "id", "n_tokens", "n_known", "base", "model", "rare"])
+            ids = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(np.concatenate(coded))])
+            sums = [pa.array(x) for x in (np.diff(first), *map(np.concatenate, (n_known, base, tail)))]
+            sums[2:] = [x.cast(pa.float64()) for x in sums[2:]]  # without words bincount() counts in whole numbers
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), *sums, lists, ids], names=schema.names)
 
     return docs.mapInArrow(passed, schema)
 
 
+def _network(coded: DataFrame, model: Model) -> DataFrame:
+    """``row, id, n_tokens, n_known, base, model``: the network's sum in place of the token numbers."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
+    frame = coded.select("row", "id", "n_tokens", "n_known", "base", F.col("tail").alias("model"), "ids")
+
+    def scored(batches):
+        m = shared.value
+        for batch in batches:
+            ids, first = _numbers(batch.column(6))
+            total = score_texts(m, ids, first) / LOG10 + np.asarray(batch.column(5))
+            yield pa.record_batch([*batch.columns[:5], pa.array(total)], names=batch.schema.names[:6])
+
+    return frame.mapInArrow(scored, frame.drop("ids").schema)
+
+
 def score(docs: DataFrame, training: Column, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_tokens, n_known, train_tokens, base_score, score`` of every document; ``training`` says which ones to learn from.
 
@@ -632,10 +701,11 @@ def score(docs: DataFrame, training: Column, scratch: Scratch, id_col: str = "do
     counts = scratch.store(count_words(texts))
     total = counts.agg(F.sum("c").alias("n"), F.count_distinct("h").alias("v"), F.sum(F.when(F.col("form") < 0, F.col("c"))).alias("ends")).first()
     n, v, ends = total["n"] or 0, total["v"] or 0, total["ends"] or 0
-    model = train(texts, counts)
+    model = _started(texts, counts)
     # Rows are numbered once and stored with their number.
-    passed = scratch.store(_first_pass(own.select(F.monotonically_increasing_id().alias("row"), "id", "text"), model))
-    rare = passed.select("row", F.explode("rare").alias("w")).select("row", "w.*")
+    coded = scratch.store(_coded_texts(own.select(F.monotonically_increasing_id().alias("row"), "id", "text", F.when(F.col("training"), _round()).alias("round")), model))
+    passed = scratch.store(_network(coded, _taught(model, coded)))
+    rare = coded.select("row", F.explode("rare").alias("w")).select("row", "w.*")
     met = rare.join(counts.select("h", "c").groupBy("h").agg(F.sum("c").alias("c")), "h", "left")
     listed = lambda x: F.array(*[F.lit(float(i / LOG10)) for i in x])
     form = F.col("form") + 1
@@ -645,7 +715,7 @@ def score(docs: DataFrame, training: Column, scratch: Scratch, id_col: str = "do
         F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("more_known"),
     )
     scale = float(np.log10(n + 0.1 * (v + 1)))
-    full = passed.drop("rare").join(sums, "row", "left")
+    full = passed.join(sums, "row", "left")
     end_base, end_known = float(np.log10(ends + 0.1)), int(ends > 0)
     none = F.lit(0)
     return full.select(

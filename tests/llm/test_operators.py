@@ -230,6 +230,27 @@ def test_language_model_learns_from_every_training_token(docs):
     assert tokens == total and not np.array_equal(language._flat(again), start)
 
 
+def test_language_model_learns_from_token_numbers(spark, monkeypatch):
+    """Training and scoring read stored token numbers: texts are coded once, and the weights are those of the texts."""
+    rng = random.Random(8)
+    rows = [(i, None if i == 3 else " ".join(f"w{min(rng.randint(0, 90), rng.randint(0, 90))}" for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    texts = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    monkeypatch.setattr(language, "HEAD", 64)
+    monkeypatch.setattr(language, "LEAST_UPDATES", 2)
+    with Scratch(spark) as scratch:
+        model = language._started(texts, scratch.store(language.count_words(texts)), 1)
+        coded = scratch.store(language._coded_texts(texts.select(F.col("id").alias("row"), "id", "text", language._round().alias("round")), model).coalesce(1))
+        table = coded.orderBy("row").toArrow()
+        ids, first = language._numbers(table["ids"].combine_chunks())
+        want, starts = language._coded(model, pa.array([t for _, t in rows]))
+        assert np.array_equal(ids, want) and np.array_equal(first, starts) and table["n_tokens"].to_pylist() == np.diff(starts).tolist()
+        part, part_first = language._numbers(table["ids"].combine_chunks().slice(7, 5))
+        assert np.array_equal(part, want[starts[7] : starts[12]]) and part_first[0] == 0
+        one, n = language._averaged(coded.select("ids"), model, 1)
+        two, m = language._averaged(texts, model, 1)
+        assert n == m == len(want) and np.allclose(language._flat(one), language._flat(two), atol=1e-5)
+
+
 def test_language_model_state_crosses_windows_and_sums_to_one():
     rng = np.random.default_rng(0)
     groups, h = 2, language.HIDDEN
