@@ -71,10 +71,11 @@ def assess(cells: DataFrame, blocks: Column, curve: DataFrame, stat: DataFrame,
 
     The cells are read twice, for the averages of the stamps and for the losses, so they should be stored.
     """
-    rows = cells.withColumn("Energy_To_Use", E.energy_to_use(settings.source))
-    rows = T.tiled(rows, E.running_means(rows), blocks, settings.step, MARGIN)
+    use = E.energy_to_use(settings.source)
+    rows = T.tiled(cells, E.running_means(cells.withColumn("Energy_To_Use", use)), blocks, settings.step, MARGIN)
     rows = L.neighbour_values(rows.withColumns(T.from_stamp(["_mean", "_count"])), keys=(*T.TILE, "TimeStamp"))
-    rows = E.choose_potential(rows.where(F.col("StationId").isNotNull()), curve, stat, settings.turbines, settings.availability_loss)
+    rows = rows.where(F.col("StationId").isNotNull()).withColumn("Energy_To_Use", use)
+    rows = E.choose_potential(rows, curve, stat, settings.turbines, settings.availability_loss)
     rows = L.wind_patterns(L.split_losses(rows), keys=SERIES)
     return T.inner_cells(L.misassigned(rows))
 
@@ -82,21 +83,19 @@ def assess(cells: DataFrame, blocks: Column, curve: DataFrame, stat: DataFrame,
 def joined_cells(
     frames: dict[str, DataFrame], stopped: DataFrame, limited: DataFrame, stations: DataFrame, bounds: DataFrame, step: timedelta
 ) -> DataFrame:
-    """The station x stamp grid with all signals, counter gaps filled.
+    """The station x stamp grid with the signals of its stations, counter gaps filled.
 
-    All signals are joined on one key before the gaps, so that the wide rows move once more, to
-    their station's month.
+    Each signal moves once, to its station's month, where the stamps are laid out, all signals are
+    joined and the gaps are filled; the wide rows do not move.
     """
-    grid = G.make_grid(stations, bounds, step)
-    # Masts join on the stamp alone: done first, while the cells are only keys.
-    cells = G.join_signals(grid, [], frames["met"]) if "met" in frames else grid
+    cells = G.make_grid(stations, bounds, step, placed=True)
     wind = frames["tur"].select(*G.CELL, "wtc_AcWindSp_mean", "wtc_ActualWindDirection_mean")
     cells = G.join_signals(
         cells,
         [stopped.withColumnRenamed("StationNr", "StationId"), limited, frames["cnt"], frames["grd"], wind, frames["din"], frames["flg"]],
     )
     seconds = ("EffectiveAlarmTime", "Period 0(s)", "Period 1(s)", "Duration 2006(s)")
-    return E.impute_energy(cells.withColumns({c: or_zero(F.col(f"`{c}`")) for c in seconds}))
+    return E.impute_energy(cells.withColumns({c: or_zero(F.col(f"`{c}`")) for c in seconds}), keys=(G.PLACE, *E.STATION_MONTH)).drop(G.PLACE)
 
 
 class Calculation(NamedTuple):
@@ -137,9 +136,15 @@ def calculate(
 
     placed = T.station_blocks(stations)
     cells = settle(joined_cells(sane, stopped, limited, placed, bounds, step))
+    # The grid has no cell without a month. Where Spark knows that, results ordered by tiles are stored by month as they come.
+    cells = cells.withColumn("period", F.coalesce("period", F.lit("")))
     blocks = F.sequence(F.lit(0), placed.agg(F.max(F.col(T.BLOCKS)[0])).scalar())
     stat = E.statistical_energy(curve, distribution, season, settings.efficiency)
-    results = round_numeric(assess(cells, blocks, curve, stat, settings), settings.digits)
+    results = assess(cells, blocks, curve, stat, settings)
+    if "met" in sane:
+        # Masts join on the stamp alone, one row for all its stations: last, so that no shuffle of cells carries their values.
+        results = G.join_signals(results, [], settle(sane["met"]))
+    results = round_numeric(results, settings.digits)
 
     flagged = flagged_alarms(frames["sum"], codes)
     open_only = production_of_open(flagged, production)

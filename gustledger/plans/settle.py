@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gustledger.sources.writers import shuffles_removed
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; a temporary one only for a local session without a setting."""
@@ -25,5 +27,6 @@ def settle(df: DataFrame) -> DataFrame:
     They are stored as Parquet: each reader takes its columns only, and Spark knows the size of what it joins next.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

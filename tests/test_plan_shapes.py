@@ -1,6 +1,7 @@
 """The physical plans keep the properties the library promises at scale."""
 
 import re
+import time
 from datetime import timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from gustledger.functions import timegrid as tg
 from gustledger.operators import alarms as A
 from gustledger.operators import energy as E
+from gustledger.operators import grid as G
 from gustledger.operators import losses as L
 from gustledger.operators import quality as Q
 from gustledger.operators import tiles as T
@@ -16,6 +18,7 @@ from gustledger.operators.blocks import first_at_or_after
 from gustledger.plans import monthly
 from gustledger.plans.settle import settle
 from gustledger.sources import journal as J
+from gustledger.sources import writers
 
 
 def month():
@@ -161,6 +164,66 @@ def test_imputation_shuffles_once(large, tmp_path):
     assert exchanges(E.impute_energy(large.read.parquet(path))) == ["period, StationId"]
 
 
+def signals(spark, station="long"):
+    """Signal tables of two months, with cells that are missing, come twice or have no station, and what joins them."""
+    key = [month(), F.when(F.col("id") % 50 != 7, F.col("id") % 5).cast(station).alias("StationId"), F.timestamp_add("MINUTE", F.col("id").cast("int") % 40 * 10, tg.ntz("2024-01-01 00:00:00")).alias("TimeStamp")]
+    later = F.when(F.col("period") == "x", "2024-02").otherwise("2024-01")
+
+    def table(first, *columns):
+        rows = spark.range(first, 150).select(*key, *[(F.col("id") + i).cast("double").alias(c) for i, c in enumerate(columns)])
+        return rows.unionByName(rows.limit(3)).withColumn("period", later)
+
+    frames = {
+        "cnt": table(20, E.ACCUM, E.COUNTER), "grd": table(0, "wtc_ActPower_min"), "tur": table(5, "wtc_AcWindSp_mean", "wtc_ActualWindDirection_mean"),
+        "din": table(9, "wtc_PowerRed_timeon"), "flg": table(0, "wtc_ScInOper_timeon"), "met": spark.createDataFrame([], "period string, TimeStamp timestamp_ntz, met double"),
+    }
+    stopped = table(60, "EffectiveAlarmTime", "Period 0(s)", "Period 1(s)").withColumnRenamed("StationId", "StationNr")
+    bounds = spark.createDataFrame([("2024-01",)], "period string").select("period", tg.ntz("2024-01-01 00:00:00").alias("period_start"), tg.ntz("2024-01-01 06:30:00").alias("period_end"))
+    return frames, stopped, table(90, "Duration 2006(s)"), T.station_blocks(spark.range(6).withColumnRenamed("id", "StationId")), bounds
+
+
+def test_cells_are_joined_and_filled_where_their_signals_come_to(large):
+    """Each signal moves once, to its station's month; the wide rows, and the masts' values, do not move."""
+    df = monthly.joined_cells(*signals(large), timedelta(minutes=10))
+    shown = plan(df)
+    # The grid and seven tables; what is left are the list of stations and the parts of the tables themselves.
+    assert shown.count("Exchange shufflepartitionidpassthrough") == 8
+    assert exchanges(df) == [] and "SortMergeJoin" in shown and "met" not in df.columns
+    first = shown.index("SortMergeJoin")
+    assert "Exchange" not in shown[:first]
+
+
+@pytest.mark.parametrize("station", ["long", "int"])
+def test_cells_joined_in_place_are_those_of_plain_joins(spark, station):
+    frames, stopped, limited, stations, bounds = signals(spark, station)
+    step = timedelta(minutes=10)
+    got = monthly.joined_cells(frames, stopped, limited, stations, bounds, step)
+    wide = G.join_signals(G.make_grid(stations, bounds, step), [stopped.withColumnRenamed("StationNr", "StationId"), limited, *[frames[k] for k in ("cnt", "grd", "tur", "din", "flg")]])
+    names = ("EffectiveAlarmTime", "Period 0(s)", "Period 1(s)", "Duration 2006(s)")
+    plain = E.impute_energy(wide.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in names}))
+    assert sorted(got.columns) == sorted(plain.columns) and got.count() > 6 * 40
+    # Of cells that come twice the gap windows may take either first: compared without what they fill.
+    kept = [f"`{c}`" for c in plain.columns if c not in (E.ACCUM, "Energy_Source")]
+    assert sorted(map(str, got.select(*kept).collect())) == sorted(map(str, plain.select(*kept).collect()))
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_cut_points_leave_no_shuffle_files(spark, tmp_path):
+    """The shuffles of a frame that is stored are of no use afterwards; a long plan must not pile them up."""
+    before = shuffle_files(spark)
+    kept = settle(spark.range(5000).repartition(4, "id"))
+    writers.write_results(spark.range(5000).select(month(), "id").repartition(4, "id"), str(tmp_path / "res"))
+    until = time.time() + 10
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and kept.count() == 5000
+    assert spark.conf.get(writers.CLEANUP, None) in (None, "false")
+
+
 def test_scan_never_shuffles_by_month_alone(large):
     met = large.range(1000).select(
         month(), (F.col("id") % 3).alias("StationId"),
