@@ -67,7 +67,8 @@ def process_week(
     frames = read(periods)
     raw = frames["sum"]
     done = calculate({**frames, "sum": J.apply_adjustments(raw, adjustments)}, settings=settings, **lookups)
-    writers.write_results(done.results, path)
+    # Results come out of tiles, evenly dealt over the tasks, and a week touches two months at most.
+    writers.write_results(done.results, path, rebalance=False)
     kept = J.remove_adjustments(adjustments, J.stale_adjustments(raw, adjustments))
     listed = settle(J.upsert_adjustments(kept, done.imputed, now))
     report, top = weekly(spark, path, periods, start, end, settings.turbines, masts, first_station)

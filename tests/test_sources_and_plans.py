@@ -246,6 +246,29 @@ def test_week_over_two_months_from_signals_to_report(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(path).drop("UK Text").collect())) == first
 
 
+def test_a_week_stores_its_results_without_moving_or_sorting_them(spark, tmp_path, monkeypatch):
+    """The rows are stored where the losses were made; the plan of the write has no shuffle or sort above its windows."""
+    plans, write = [], writers.write_partitioned
+
+    def seen(df, path, *args, **choice):
+        if not path.endswith("res"):
+            return write(df, path, *args, **choice)
+        rows = df.hint("rebalance", "period") if choice.get("rebalance", True) else df
+        plans.append(rows.sortWithinPartitions("period")._jdf.queryExecution().executedPlan().toString())
+        return write(df, path, *args, **choice)
+
+    monkeypatch.setattr(writers, "write_partitioned", seen)
+    path = str(tmp_path / "res")
+    process_week(
+        spark, lambda periods: farm(spark, periods), lookups(spark), path, "2024-02-26 00:00:00", "2024-03-03 23:50:00", "now", spark.createDataFrame([], LISTED),
+        monthly.Settings(step=STEP, turbines=4), first_station=1, masts=(38,),
+    )
+    above = plans[0][: plans[0].index("Window [")]
+    assert len(plans) == 1 and "Exchange hash" not in above and "REBALANCE" not in above and "Sort [" not in above
+    got = spark.read.parquet(path)
+    assert got.count() == 2 * 4 * 24 and got.where("met_WindSpeedRot_mean_38 IS NULL").count() == 0
+
+
 def test_what_a_calculation_says_of_open_alarms(spark):
     done = monthly.calculate(farm(spark, ["2024-02"]), settings=monthly.Settings(step=STEP, turbines=4), **lookups(spark))
     assert [r["id"] for r in done.imputed.collect()] == [4] and done.left_open.count() == 0
